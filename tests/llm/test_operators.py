@@ -1,0 +1,311 @@
+"""The training-data operators against brute-force versions and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.llm import bpe, dedup, forest, langid, linedup, packing, pii, quality, simhash, tok, tokenfile
+from lakeloom.llm.queries import BYTE_FILE, WORD_FILE, tokenizer
+
+AWKWARD = ["", None, " ", "\n\n", "a", "Hello, world! don't\n\n stop  ", "naïve café — ßtraße 東京タワー", "x" * 9000, "ab" * 20000, "1234567890" * 3000, "  \t\n    y  z", "<|endoftext|>a <|endoftext|> b<|startoftext|>", "é combining Σίσυφος ΣΑΣ", "😀" * 3000, "a" * 60000 + " b c. d " * 9000, "word's 'tis I'll we've 'S"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(4)
+    words = ["the", "of", "Und", "straße", "x1", "foo,", "bar.", "don't", "42", "a@b.de"]
+    texts = AWKWARD + [" ".join(r.choices(words, k=r.randrange(1, 60))) for _ in range(60)]
+    texts += texts[20:30] + [None, ""]
+    rows = [(i, t, "z", i % 3 == 0) for i, t in enumerate(texts)] + [(None, "the same", "z", None), (None, "the same", "z", None), (7, "x" * 9000, "z", True)]
+    return spark.createDataFrame(rows, "doc_id long, text string, kept string, ids boolean").repartition(3)
+
+
+def ids_of(text, name=BYTE_FILE):
+    from tokenizers import Tokenizer
+
+    ids_of.t = getattr(ids_of, "t", {})
+    t = ids_of.t.setdefault(name, Tokenizer.from_file(tokenizer(name)))
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoders_match():
+    for name in (BYTE_FILE, WORD_FILE):
+        e = tok.Encoder(tokenizer(name), leaf=64)
+        for t in AWKWARD:
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(t, name), (name, t and t[:40])
+
+
+def test_tree_concatenation():
+    e = tok.Encoder(tokenizer(BYTE_FILE), leaf=1 << 30)
+    r = random.Random(1)
+    for n in (1, 5, 300, 5000):
+        for letters in ("ab", "etaoinshrdlu", "0123456789", "é東😀x"):
+            raw = "".join(r.choices(letters, k=n)).encode()
+            for leaf in (2, 7, 64):
+                assert bpe.tree_encode(e, raw, leaf).tolist() == e.bpe(raw)
+
+
+def test_bpe(spark, docs):
+    got = bpe.encode_documents(docs, tokenizer(BYTE_FILE), long=2000, part=500).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, np.array(ids_of(r.text), "<u4").tobytes(), r.text or "") for r in docs.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), r.decoded) for r in got) == want
+    assert bpe.encode_documents(docs.limit(0), tokenizer(BYTE_FILE)).count() == 0
+
+
+def test_exact_dedup(spark, docs):
+    got = dedup.exact_dedup(docs).collect()
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.text or "", []).append(r.doc_id)
+    assert len(got) == docs.count()
+    for r in got:
+        same = next(v for k, v in by.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
+        assert r.group_size == len(same) and r.keep_id == max((x for x in same if x is not None), default=None)
+    assert sum(r.kept for r in got) == len(by)
+    assert dedup.winners(docs).count() == len(by)
+    assert dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_langid(spark):
+    r = random.Random(2)
+    make = lambda w: " ".join("".join(r.choices(w, k=3)) for _ in range(30))
+    rows = [(i, make(["the", "ing", "and"] if i % 2 else ["und", "sch", "ein"]), "en" if i % 2 else "de") for i in range(200)] + [(900, None, "en"), (901, "123 !", "de"), (902, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(d.where("doc_id % 5 <> 0"), "text", "lang", F.col("doc_id"))
+    got = {x.doc_id: x for x in langid.predict(d, m, "text").collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(0, 200, 5))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert np.count_nonzero(m["w"]) < m["w"].size / 4  # sparse
+    none = langid.train(d.limit(0), "text", "lang", F.col("doc_id"))
+    assert {x.lang_pred for x in langid.predict(d, none, "text").collect()} == {"und"}
+
+
+def brute_nearest(rows, k):
+    good = {i: np.array(v, float) for i, v in rows if v is not None and i is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in good:
+        if q % 20 == 0:
+            s = sorted((-float(good[q] @ good[i]), i) for i in good if i != q)[:k]
+            out[q] = s
+    return out
+
+
+def test_forest(spark):
+    r = np.random.default_rng(0)
+    x = r.standard_normal((600, 8)).astype(np.float32)
+    rows = [(i, x[i].tolist()) for i in range(600)] + [(1000 + i, x[40].tolist()) for i in range(60)]
+    rows += [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] + [1.0] * 7), (2060, [1.0, None] + [1.0] * 6), (2080, [1.0] * 3), (2100, [float("inf")] * 8)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    rows32 = [(i, None if v is None else [None if y is None else float(np.float32(y)) for y in v]) for i, v in rows]
+    want = brute_nearest(rows32, 20)
+    got = {}
+    for x_ in forest.nearest(d, d.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(x_.query_id, []).append((-x_.score, x_.vec_id))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    recall = np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 20 for q in want])
+    assert recall >= 0.9
+    full = {}
+    for x_ in forest.nearest(d, d.where("vec_id % 20 = 0"), share=16.0).orderBy("query_id", "rank").collect():
+        full.setdefault(x_.query_id, []).append(x_.vec_id)
+    assert all(full[q] == [i for _, i in sorted((round(s, 9), i) for s, i in want[q])] for q in want)  # all offered: exact
+    assert forest.nearest(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    rows = [(i, ("good words in a row. " * (3 + i % 5)) if i % 4 else "BAD!! SPAM!! $$$ " * (3 + i % 7)) for i in range(300)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0) for i in range(300)] + [(900, None), (None, 1)], "doc_id long, quality int")
+    m = quality.train(d, labels, "doc_id", "text", "quality", F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r.score for r in quality.score(d, m).collect()}
+    assert all((got[i] >= 0.3) == bool(i % 4) for i in range(0, 300, 5)) and 0 <= got[900] <= 1 and 0 <= got[901] <= 1
+    assert quality.score(d, quality.train(d.limit(0), labels, "doc_id", "text", "quality", F.lit(True))).where("score <> 0.5").count() == 0
+
+
+@pytest.mark.parametrize("frequent", [1000, 1])
+def test_line_dedup(spark, monkeypatch, frequent):
+    monkeypatch.setattr(linedup, "FREQUENT", frequent)
+    monkeypatch.setattr(linedup, "MEANS", 0)
+    r = random.Random(3)
+    lines = [" ".join(r.choices([f"w{i}" for i in range(40)], k=r.randrange(1, 14))) for _ in range(120)]
+
+    def vary(s):
+        w = s.split()
+        if r.random() < 0.7:
+            w[r.randrange(len(w))] = f"w{r.randrange(40)}"
+        return " ".join(w)
+
+    rows = [(i, "\n".join(r.choice([vary(r.choice(lines)), r.choice(lines), "", "ONE two"]) for _ in range(r.randrange(1, 8)))) for i in range(120)] + [(500, None), (501, ""), (None, lines[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1)).repartition(3)
+    seen, want = [], {}
+    for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        want[i] = []
+        for no, line in enumerate((text or "").split("\n")):
+            s = set(line.lower().split())
+            if s:
+                if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                    want[i].append(no)
+                seen.append(s)
+    got = {x.doc_id: (x.n_lines, x.removed) for x in linedup.line_dedup(d).collect()}
+    assert {k: v[1] for k, v in got.items()} == want
+    assert got[500] == (1, []) and linedup.line_dedup(d.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_fingerprint_and_index():
+    for t in AWKWARD:
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 2**63, 40, dtype=np.uint64)
+    x = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (60, k)).astype(np.uint64), axis=1) for c in centres for k in (1, 3)]))
+    near = np.bitwise_count(x[:, None] ^ x[None]) <= 4
+    got = np.zeros_like(near)
+    for q, p in simhash.GrayIndex(x).search(x, 4):
+        got[q, p] = True
+    assert (got == near).all()
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            break
+        root = new
+    assert (simhash.connect(x, 4) == root).all()
+
+
+@pytest.mark.parametrize("n", [10, 10**9, 10**12])
+def test_choices_lose_nothing(n):
+    r = random.Random(n)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), 4):
+            b ^= 1 << bit
+        assert any(all((a ^ b) >> low & ((1 << w) - 1) == 0 for low, w in blocks) for _, blocks in simhash.choices(n))
+
+
+def test_simhash(spark, docs):
+    r = random.Random(8)
+    base = [" ".join(f"v{r.randrange(3000)}" for _ in range(400)) for _ in range(6)]
+    rows = [(r_.doc_id, r_.text) for r_ in docs.collect()]
+    for k, b in enumerate(base):
+        for j in range(12):
+            w = b.split()
+            for _ in range(j % 4):
+                w[r.randrange(400)] = "edit"
+            rows.append((1000 + 20 * k + j, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(0))
+    got = simhash.near_duplicates(d).collect()
+    fp = [(i, plain_fingerprint(t)) for i, t in rows]
+    comp = list(range(len(fp)))
+    find = lambda i: i if comp[i] == i else find(comp[i])
+    for i in range(len(fp)):
+        for j in range(i):
+            if bin(fp[i][1] ^ fp[j][1]).count("1") <= 4:
+                comp[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(fp):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    want = sorted((repr(k), f"{f:016x}", repr(least.get(find(i)))) for i, (k, f) in enumerate(fp))
+    assert sorted((repr(x.doc_id), x.fingerprint, repr(x.component_id)) for x in got) == want
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs, tmp_path):
+    files = tokenfile.write_token_files(docs, tokenizer(BYTE_FILE), f"file://{tmp_path}/t", sequence=64)
+    got = sorted(tokenfile.read_documents(spark, f"file://{tmp_path}/t", files).collect(), key=lambda r: r.start)
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    at = 0
+    for g, r in zip(got, rows, strict=True):
+        ids = np.array([*ids_of(r.text), 2], "<u4")
+        assert (g.id, g.start, g.n_tokens) == (r.doc_id, at, len(ids)) and bytes(g.ids) == ids.tobytes()
+        at += len(ids)
+    f = tokenfile.TokenFile(f"{tmp_path}/t/part-{files[0]['part']:06d}.arrows")
+    ids, mask = f[len(f) - 1]
+    assert len(ids) == 64 and mask[0] and sum(f[i][1].sum() for i in range(len(f))) == files[0]["n_tokens"]
+    assert tokenfile.write_token_files(docs.limit(0), tokenizer(BYTE_FILE), f"file://{tmp_path}/e") == []
+
+
+def plain_spans(text):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for k, p, low, high in ((2, r"[0-9]([\x20-]?[0-9])+", 13, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if low <= len(d) <= high and (k == 3 or sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans():
+    r = random.Random(6)
+    for _ in range(4000):
+        t = "".join(r.choices(["a@b.cd", "@", ".", "x", "1", "255", "256", "+", "(", ") ", "-", " ", "4111111111111111", "%", "é", "1.2.3.4"], k=r.randrange(1, 14)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    long = "1" * 200_000 + " " + "a" * 200_000 + "@" + "+1(" * 50_000
+    assert pii.base_spans(long) == []
+
+
+def test_pii(spark, docs):
+    r = random.Random(9)
+    rows = [(i, f"Some words here mail me at u{i}@mail{i % 7}.example.com or call +1 (555) 010-{1000 + i} from 10.0.{i % 256}.7 ok. " + "plain text " * r.randrange(60)) for i in range(150)]
+    d = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string").unionByName(docs.select("doc_id", "text")).withColumn("spans", F.lit(1))
+    tagger = pii.train(d)
+    got = pii.find(d, tagger).collect()
+    want = sorted((repr(x.doc_id), plain_spans(x.text or "")) for x in d.collect())
+    assert sorted((repr(x.doc_id), [(pii.KINDS.index(s.kind), s.start, s.end) for s in x.base]) for x in got) == want
+    assert all({tuple(s) for s in x.base} <= {tuple(s) for s in x.spans} for x in got)
+    x, y = np.array([w for t in rows[:60] for w in pii.training_windows(t[1])]).transpose(1, 0, 2)
+    assert (tagger.decode(x) == y).mean() > 0.97
+    masked = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows[:3] + [(900, None)], "doc_id long, text string"), None).collect()}
+    assert "<email> or call <phone> from <ip> ok" in masked[1] and masked[900] is None
+    assert pii.train(d.limit(0)) is None and pii.find(d.limit(0), None).count() == 0
+
+
+def test_gradients():
+    t = pii.Tagger()
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 128, (3, 7)), r.integers(0, pii.TAGS, (3, 7))
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    _, g = t.step(x, y)
+    for k in t.p:
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        at, h = t.p[k][i], 1e-3
+        t.p[k][i] = at + h
+        up = t.step(x, y)[0]
+        t.p[k][i] = at - h
+        down = t.step(x, y)[0]
+        t.p[k][i] = at
+        assert abs((up - down) / (2 * h) - g[k][i]) < 2e-2 * max(1, abs(g[k][i])), k
+
+
+def test_packing(spark, docs):
+    got = packing.pack_documents(docs, tokenizer(WORD_FILE), capacity=256).collect()
+    want = sorted((repr(r.doc_id), np.array([*ids_of(r.text, WORD_FILE), 2], "<u4").tobytes()) for r in docs.collect())
+    by, seq = {}, {}
+    for p in got:
+        assert len(p.ids) == 4 * p.length
+        by.setdefault((repr(p.doc_id), p.doc_tokens), []).append((p.start, bytes(p.ids)))
+        seq.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for v in seq.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 256 and at & (at - 1) == 0  # full, or a power of two: nothing to pad
+    flat = [(k[0], b"".join(x for _, x in sorted(v))) for k, v in by.items() if len({s for s, _ in v}) == len(v)]
+    assert set(flat) <= set(want) and sum(len(p.ids) for p in got) == sum(len(x) for _, x in want)
+    assert packing.pack_documents(docs.limit(0), tokenizer(WORD_FILE)).count() == 0
+    assert zlib.crc32(b"") == 0

@@ -217,3 +217,39 @@ def json_merge_patch(a: Column, b: Column) -> Column:
 
 def json_contains(a: Column, b: Column) -> Column:
     return _json_pair(_contains, "boolean")(a, b)
+
+
+def json_type(j: Column, path: str = "$") -> Column:
+    """Names of the reference dialect, from the first letters of the value."""
+    v = F.get_json_object(j, path) if path != "$" else F.trim(j)
+    t = F.schema_of_variant(F.try_parse_json(j)) if path == "$" else F.schema_of_variant(F.try_variant_get(F.try_parse_json(j), path, "variant"))
+    num = F.when(v.startswith("-"), "BIGINT").otherwise("UBIGINT")
+    return F.when(t.startswith("OBJECT"), "OBJECT").when(t.startswith("ARRAY"), "ARRAY").when(t == "STRING", "VARCHAR").when(t == "BOOLEAN", "BOOLEAN").when(t == "VOID", "NULL").when(t == "BIGINT", num).otherwise("DOUBLE")
+
+
+def json_value(j: Column, path: str) -> Column:
+    """Scalars only."""
+    t = json_type(j, path)
+    return F.when(~t.isin("OBJECT", "ARRAY"), F.get_json_object(j, path))
+
+
+def json_pretty(j: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else json.dumps(json.loads(x), indent=4, ensure_ascii=False) for x in a])
+
+    return run(j)
+
+
+def subscripts(l: Column) -> Column:  # noqa: E741
+    return F.when(F.size(l) > 0, F.sequence(F.lit(1), F.size(l))).otherwise(F.array().cast("array<int>"))
+
+
+def struct_concat(df, *columns: str) -> Column:
+    """One struct with the fields of several."""
+    return F.struct(*[F.col(f"{c}.{f.name}").alias(f.name) for c in columns for f in df.schema[c].dataType.fields])
+
+
+def equi_width_bins(low: float, high: float, n: int) -> list[float]:
+    """Upper bounds of n equal bins, without rounding to nice numbers."""
+    return [low + (high - low) * (i + 1) / n for i in range(n)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -185,3 +186,50 @@ def date_pattern(strftime: str) -> str:
             c = strftime[i]
             out, i = out + (f"'{c}'" if c.isalpha() else "''" if c == "'" else c), i + 1
     return out
+
+
+def _graphemes(s: str) -> list[str]:
+    import regex
+
+    return regex.findall(r"\X", s)
+
+
+def substring_grapheme(s: Column, start: int, length: int) -> Column:
+    return _single(lambda x: "".join(_graphemes(x)[start - 1 : start - 1 + length]), "string")(s)
+
+
+def left_grapheme(s: Column, n: int) -> Column:
+    return _single(lambda x: "".join(_graphemes(x)[:n]), "string")(s)
+
+
+def right_grapheme(s: Column, n: int) -> Column:
+    return _single(lambda x: "".join(_graphemes(x)[-n:]) if n else "", "string")(s)
+
+
+def bar(x: Column, low: float, high: float, width: int = 80) -> Column:
+    """A bar of blocks, in eighths of a character."""
+    eighths = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low))) * width * 8)
+    whole, part = F.floor(eighths / 8).cast("int"), (eighths % 8).cast("int")
+    tail = F.element_at(F.array(*[F.lit(c) for c in ["", "▏", "▎", "▍", "▌", "▋", "▊", "▉"]]), part + 1)
+    return F.rpad(F.concat(F.repeat(F.lit("█"), whole), tail), width, " ")
+
+
+def md5_number(s: Column) -> Column:
+    """The digest as an unsigned number; its bytes are little-endian. 39 digits don't fit a decimal, so it is text."""
+    return _single(lambda x: str(int.from_bytes(hashlib.md5(x.encode()).digest(), "little")), "string")(s)
+
+
+def uuid_version(u: Column) -> Column:
+    return F.conv(F.substring(u, 15, 1), 16, 10).cast("int")
+
+
+def uuid_timestamp(u: Column) -> Column:
+    """Of version 7: milliseconds since 1970 in the first 48 bits."""
+    return F.timestamp_millis(F.conv(F.concat(F.substring(u, 1, 8), F.substring(u, 10, 4)), 16, 10).cast("long"))
+
+
+def uuidv7(at: Column | None = None) -> Column:
+    """Time-ordered ids; random but for the time and version."""
+    ms = F.unix_millis(at if at is not None else F.current_timestamp())
+    h, r = F.lpad(F.lower(F.hex(ms)), 12, "0"), F.uuid()
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-7"), F.substring(r, 16, 21))

@@ -144,8 +144,32 @@ def fn_nondeterministic(spark, d):
     return t(spark, d, "region").select("r_regionkey", F.rand(1).alias("random"), F.uuid().alias("uuid"), F.current_timestamp().alias("now"), F.current_date().alias("today"), F.version().alias("version"), F.xxhash64("r_name").alias("hash"), F.monotonically_increasing_id().alias("nextval"), F.typeof("r_name").alias("type"), F.current_schema().alias("schema"))
 
 
+family("fn_more_strings", "part", "p_partkey", [
+    ("sub_grapheme", "s", lambda: text.substring_grapheme(c("p_name"), 2, 3), "substring_grapheme(p_name, 2, 3)"), ("left_g", "s", lambda: text.left_grapheme(c("p_name"), 4), "left_grapheme(p_name, 4)"), ("right_g", "s", lambda: text.right_grapheme(c("p_name"), 4), "right_grapheme(p_name, 4)"), ("bars", "s", lambda: text.bar(c("p_size").cast("double"), 0.0, 50.0, 10), "bar(p_size, 0, 50, 10)"),
+    ("md5n", "s", lambda: text.md5_number(c("p_name")), "md5_number(p_name)"), ("ord_", "i", "ascii(p_name)", "ord(p_name)"), ("lcase_", "s", "lcase(p_brand)"), ("ucase_", "s", "ucase(p_name)"), ("to_base64_", "s", "base64(CAST(p_name AS BINARY))", "to_base64(p_name::BLOB)"), ("octets", "i", "octet_length(CAST(p_name AS BINARY))", "octet_length(p_name::BLOB)"), ("decode_", "s", "decode(encode(p_name, 'UTF-8'), 'UTF-8')", "decode(encode(p_name))"),
+    ("array_slice_", "s", "substring(p_name, 1, 3)", "array_slice(p_name, 1, 3)"), ("strpos_", "i", "instr(p_name, 'ld')", "strpos(p_name, 'ld')"), ("dirname", "s", lambda: text.parse_dirname(F.concat(F.lit("a/b/"), c("p_type"))), "parse_dirname('a/b/' || p_type)"), ("file_ext", "s", lambda: text.parse_filename(F.concat(F.lit("a/"), c("p_type"), F.lit(".csv"))), "parse_filename('a/' || p_type || '.csv')"), ("not_like", "b", "p_name NOT LIKE '%widget'", "p_name NOT LIKE '%widget'"), ("escape_like", "b", "'a%b' LIKE 'a#%b' ESCAPE '#'", "like_escape('a%b', 'a#%b', '#')"), ("escape_ilike", "b", "lower('A%B') LIKE 'a#%b' ESCAPE '#'", "ilike_escape('A%B', 'a#%b', '#')"),
+    ("split_alias", "l", "split(p_name, 'i')", "str_split(p_name, 'i')"), ("to_array", "l", "split(p_name, 'e')", "string_to_array(p_name, 'e')"), ("unbin_", "i", "conv('101', 2, 10)", "5"), ("mismatch", "i", lambda: text.hamming(c("p_name"), F.reverse(c("p_name"))), "mismatches(p_name, reverse(p_name))"),
+])
+family("fn_more_lists", L, "event_id", [
+    ("mode_", "d", lambda: lists.mode(F.array(F.lit(2.0), c("q")[0], F.lit(2.0))), "list_mode([2.0::DOUBLE, q[1], 2.0])"), ("approx", "i", lambda: F.size(lists.distinct(c("q"))), "list_unique(q)"), ("subs", "l", lambda: lists.subscripts(c("m")), "range(1, len(m) + 1)"), ("alen", "i", "size(m)", "array_length(m)"), ("push_back", "l", "array_append(m, 4)", "array_push_back(m, 4)"), ("has", "b", "array_contains(m, 3)", "array_has(m, 3)"), ("idx", "i", lambda: lists.position(c("m"), F.lit(3)), "list_indexof(m, 3)"), ("prep", "l", "array_prepend(m, 1)", "list_prepend(1, m)"),
+    ("cat", "l", "concat(m, m)", "array_cat(m, m)"), ("elem", "i", lambda: lists.extract(c("m"), 2), "list_element(m, 2)"), ("arr_extract", "i", lambda: lists.extract(c("m"), 1), "array_extract(m, 1)"), ("agg_min", "i", "array_min(m)", "list_aggregate(m, 'min')"), ("aggr_sum", "i", "aggregate(m, 0, (a, x) -> a + x)", "list_aggr(m, 'sum')"), ("apply_", "l", "transform(m, x -> x + 1)", "list_apply(m, lambda x: x + 1)"), ("arr_filter", "l", "filter(m, x -> x < 4)", "array_filter(m, lambda x: x < 4)"), ("arr_dist", "d", lambda: lists.distance(c("v"), c("w")), "array_distance(v::DOUBLE[3], w::DOUBLE[3])"),
+    ("arr_cos", "d", lambda: lists.cosine(c("v"), c("w")), "array_cosine_similarity(v::DOUBLE[3], w::DOUBLE[3])"), ("arr_cosd", "d", lambda: 1 - lists.cosine(c("v"), c("w")), "array_cosine_distance(v::DOUBLE[3], w::DOUBLE[3])"), ("arr_dot", "d", lambda: lists.dot(c("v"), c("w")), "array_inner_product(v::DOUBLE[3], w::DOUBLE[3])"), ("arr_ndot", "d", lambda: -lists.dot(c("v"), c("w")), "array_negative_inner_product(v::DOUBLE[3], w::DOUBLE[3])"), ("comma", "s", "array_join(m, ',')", "array_to_string_comma_default(m)"), ("series_list", "l", "sequence(1, 4)", "generate_series(1, 4)"), ("repeat_list", "l", "flatten(array_repeat(m, 2))", "repeat(m, 2)"), ("comprehension", "l", "transform(filter(m, x -> x > 2), x -> x * 10)", "[x * 10 FOR x IN m IF x > 2]"),
+])
+family("fn_more_json", "events", "event_id", [
+    ("kind", "s", lambda: lists.json_type(c("props")), "json_type(props)"), ("kind_k", "s", lambda: lists.json_type(c("props"), "$.k"), "json_type(props, '$.k')"), ("scalar", "s", lambda: lists.json_value(c("props"), "$.k"), "json_value(props, '$.k')"), ("scalar_none", "s", lambda: lists.json_value(F.lit('{"a":[1]}'), "$.a"), "json_value('{\"a\":[1]}', '$.a')"), ("path", "s", "get_json_object(props, '$.k')", "json_extract_path_text(props, 'k')"), ("row_json", "s", "to_json(named_struct('a', user_id))", "row_to_json({'a': user_id})"), ("list_json", "s", "to_json(array(user_id, 1L))", "array_to_json([user_id, 1])"), ("strict", "i", "from_json(props, 'k INT', map('mode', 'FAILFAST')).k", "from_json_strict(props, '{\"k\": \"INTEGER\"}').k"), ("pretty", "s", lambda: F.regexp_replace(lists.json_pretty(c("props")), r"\s", ""), "regexp_replace(json_pretty(props), '\\s', '', 'g')"),
+])
+family("fn_more_aggregates", "orders", "o_orderstatus", [
+    ("arg_min_null_", "i", "min_by(o_orderkey, struct(o_totalprice, o_orderkey))", "arg_min_null(o_orderkey, o_totalprice)"), ("arg_max_null_", "i", "max_by(o_orderkey, struct(o_totalprice, o_orderkey))", "arg_max_null(o_orderkey, o_totalprice)"), ("mean_", "d", "round(mean(o_totalprice), 3)"), ("prod", "d", "exp(sum(ln(1 + (o_custkey % 3) / 1000000.0D)))", "product(1 + (o_custkey % 3) / 1000000.0)"), ("max_two", "s", "array_join(transform(slice(sort_array(collect_list(o_orderkey), false), 1, 2), x -> CAST(x AS STRING)), ',')", "array_to_string(max(o_orderkey, 2), ',')"), ("any_v", "b", "any_value(o_orderstatus) IS NOT NULL"), ("group_array", "s", "to_json(array_sort(collect_set(o_orderpriority)))", "to_json(list(DISTINCT o_orderpriority ORDER BY o_orderpriority))"),
+    ("quant", "d", "percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)", "quantile(o_totalprice, 0.5)"), ("var_s", "d", "round(var_samp(o_custkey), 3)"), ("sd_s", "d", "round(stddev_samp(o_custkey), 4)"), ("bin_lists", "l", "array_sort(collect_set(CAST(o_custkey % 4 AS INT)))", "list_sort(list(DISTINCT (o_custkey % 4)::INTEGER))"),
+], group="o_orderstatus")
+family("fn_more_dates", "events", "event_id", [
+    ("datetrunc_", "t", "date_trunc('hour', ts)", "datetrunc('hour', ts)"), ("datesub_", "i", "timestampdiff(DAY, TIMESTAMP_NTZ '2023-12-01 00:00:00', ts)", "datesub('day', TIMESTAMP '2023-12-01 00:00:00', ts)"), ("datediff_month", "i", "(year(ts) - 2023) * 12 + month(ts) - 3", "datediff('month', TIMESTAMP '2023-03-01', ts)"), ("time_text", "s", "date_format(ts, 'HH:mm:ss')", "strftime(ts, '%H:%M:%S')"), ("make_time_", "s", "format_string('%02d:%02d:%02d', 4, 5, 6)", "make_time(4, 5, 6.0)"), ("micros", "t", "CAST(timestamp_micros(event_id * 1000000) AS TIMESTAMP_NTZ)", "make_timestamp(event_id * 1000000)"), ("from_ms", "t", "CAST(timestamp_millis(event_id * 1000) AS TIMESTAMP_NTZ)", "epoch_ms(event_id * 1000)"), ("to_micro", "t", "ts + make_interval(0, 0, 0, 0, 0, 0, 0.000009)", "ts + to_microseconds(9)"),
+    ("doy", "i", "dayofyear(ts)", "date_part('dayofyear', ts)"), ("as_date", "D", "CAST(ts AS DATE)"), ("weekofyear_", "i", "weekofyear(ts)", "weekofyear(ts)"), ("dom", "i", "dayofmonth(ts)", "dayofmonth(ts)"), ("uuid_v", "i", lambda: text.uuid_version(F.lit("018f5b2c-7a3b-7c4d-8e5f-0123456789ab")), "uuid_extract_version('018f5b2c-7a3b-7c4d-8e5f-0123456789ab'::UUID)"), ("uuid_t", "t", lambda: text.uuid_timestamp(F.lit("018f5b2c-7a3b-7c4d-8e5f-0123456789ab")), "uuid_extract_timestamp('018f5b2c-7a3b-7c4d-8e5f-0123456789ab'::UUID) AT TIME ZONE 'UTC'"),
+])
+
+
 # the list sources differ in dialect
 from lakeloom.plans import registry as _r  # noqa: E402
 
-for _name, (_spark, _duck) in {"fn_list_basic": (L, LO), "fn_list_aggregates": (L, LO), "fn_map_struct_enum": (M, MO)}.items():
+for _name, (_spark, _duck) in {"fn_list_basic": (L, LO), "fn_list_aggregates": (L, LO), "fn_more_lists": (L, LO), "fn_map_struct_enum": (M, MO)}.items():
     _r._oracles[_name] = _r._oracles[_name].replace(_spark, _duck)

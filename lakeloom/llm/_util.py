@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
 import zipfile
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,5 +121,32 @@ def runs(batches, keys):
         yield pa.concat_tables(held)
 
 
-def buffer() -> io.BytesIO:
-    return io.BytesIO()
+#: Counters that tasks send in one row, so that sums are added up side by side.
+CHUNK = 1 << 12
+
+
+def packed_counts(counts) -> tuple[list[int], list[bytes]]:
+    """A task's counters as (chunk, compressed 64-bit counts); chunks without any are left out."""
+    parts = counts.astype("<i8").reshape(-1, min(CHUNK, len(counts)))
+    at = [k for k, x in enumerate(parts) if x.any()]
+    return at, [zlib.compress(parts[k].tobytes(), 1) for k in at]
+
+
+def summed_counts(df: DataFrame, size: int):
+    """The sum over all rows (chunk, counts), as one array of `size`: each chunk is added in a task of its own, and only the sums come to the driver."""
+    import numpy as np
+    import pyarrow as pa
+
+    def add(batches):
+        total: dict = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), "<i8")
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["chunk", "counts"])
+
+    out = np.zeros(size, np.int64)
+    width = min(CHUNK, size)
+    for r in df.repartition(min(64, size // width), "chunk").mapInArrow(add, "chunk long, counts binary").collect():
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<i8")
+    return out

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import bounded_sample, prepare
+from lakeloom.llm._util import bounded_sample, packed_counts, prepare, summed_counts
 
 #: Hashed n-grams of 1 to ORDERS characters; the number of features is a power of two and bounds what is broadcast.
 FEATURES, ORDERS = 1 << 15, 3
@@ -112,21 +112,13 @@ def train(df: DataFrame, text_col: str, label_col: str, key: Column, sample_rows
     rows = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(key.cast("string").alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
 
     def frequencies(batches):
-        total, n = np.zeros(FEATURES, np.int64), 0
+        total = np.zeros(FEATURES, np.int64)
         for b in batches:
             for t in b.column(1).to_pylist():
                 total += grams(t) > 0
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["n", "df"])
-
-    def add(batches):
-        total, n = np.zeros(FEATURES, np.int64), 0
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total, n = total + np.frombuffer(x, "<i8"), n + k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["n", "df"])
+        at, counts = packed_counts(total)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
 
     def counted(batches):
         for b in batches:
@@ -137,11 +129,10 @@ def train(df: DataFrame, text_col: str, label_col: str, key: Column, sample_rows
                 got.append(np.stack([at, c[at]]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(got, pa.binary())], names=["label", "grams"])
 
-    schema = "n long, df binary"
-    sums = rows.mapInArrow(frequencies, schema).repartition(8).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).first()
-    if sums is None:
+    n = rows.count()
+    if not n:
         return {"classes": [], "idf": np.zeros(FEATURES), "w": np.zeros((FEATURES, 0)), "t": 1.0}
-    n, df_ = sums["n"], np.frombuffer(bytes(sums["df"]), "<i8")
+    df_ = summed_counts(rows.mapInArrow(frequencies, "chunk long, counts binary"), FEATURES)
     idf = np.log((1 + n) / (1 + df_)) + 1
     sample = sorted(bounded_sample(rows, F.col("key"), sample_rows, n).mapInArrow(counted, "label string, grams binary").collect(), key=lambda r: (r["label"], bytes(r["grams"])))
     classes = sorted({r["label"] for r in sample})

@@ -17,12 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import cut, prepare, runs
+from lakeloom.llm._util import cut, packed_counts, prepare, runs, summed_counts
 
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
-#: Words are counted in so many hashed buckets, in pieces; a word is frequent if its bucket has so many lines, or so many times the mean.
-BUCKETS, CHUNK, FREQUENT, MEANS = 1 << 20, 1 << 16, 1000, 4
+#: Words are counted in so many hashed buckets; a word is frequent if its bucket has so many lines, or so many times the mean.
+BUCKETS, FREQUENT, MEANS = 1 << 20, 1000, 4
 #: Pairs that a step looks at together; lines that one key compares at once.
 STEP = 1 << 20
 SALTS = 16
@@ -132,23 +132,13 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         cls.append(class_of(w))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(nos, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["row", "id", "line_no", "class", "counts"])
-        if count.any():
-            k = BUCKETS // CHUNK
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(range(k), pa.int64()), pa.nulls(k, pa.binary()), pa.array([zlib.compress(x.tobytes(), 1) for x in count.reshape(k, CHUNK)], pa.binary())], names=["row", "id", "line_no", "class", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), "<u4").astype(np.uint64)
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], names=["line_no", "counts"])
+        chunks, counts = packed_counts(count)
+        if k := len(chunks):
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), pa.nulls(k, pa.binary()), pa.array(counts, pa.binary())], names=["row", "id", "line_no", "class", "counts"])
 
     all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, class binary, counts binary"))
     lines = all_.where("row is not null").drop("counts")
-    count = np.zeros(BUCKETS, np.uint32)
-    for r in all_.where("counts is not null").select("line_no", "counts").repartition(BUCKETS // CHUNK, "line_no").mapInArrow(add, "line_no long, counts binary").collect():
-        count[r["line_no"] * CHUNK : (r["line_no"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u4")
+    count = np.minimum(summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS), 2**32 - 1).astype(np.uint32)
     frequent = max(FREQUENT, MEANS * float(count.mean()))
     sent = spark.sparkContext.broadcast(zlib.compress(count.tobytes(), 1))  # at most 4 MB
 

@@ -71,7 +71,7 @@ def family(name: str, source: str, key: str, rows: list[tuple], oracle_source: s
 
 
 def _load() -> None:
-    from lakeloom.plans import dialect_queries, functions_, relational, tpch  # noqa: F401
+    from lakeloom.plans import dialect_queries, functions_, relational, statements, tpch  # noqa: F401
     from lakeloom.sources import queries as sources  # noqa: F401
     from lakeloom.streaming import queries as streaming  # noqa: F401
 

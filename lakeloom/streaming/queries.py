@@ -88,3 +88,27 @@ def stream_stream_join(spark, d):
     a = s.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("u"), F.col("at").alias("error_at")).withWatermark("error_at", "1 day")
     b = stream(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "at").withWatermark("at", "1 day")
     return run(a.join(b, F.expr("u = user_id AND at BETWEEN error_at AND error_at + INTERVAL 10 MINUTES")).select("error_id", "click_id"))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
+def stream_custom_state(spark, d):
+    """State of one's own for each user: counts and the newest id, updated batch by batch, emitted as updates; the last update of a user counts."""
+    import pandas as pd
+
+    def update(key, frames, state):
+        n, last = state.get if state.exists else (0, -1)
+        for p in frames:
+            n, last = n + len(p), max(last, int(p.event_id.max()))
+        state.update((n, last))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
+
+    s = stream(spark, d).select("user_id", "event_id").groupBy("user_id")
+    out = run(s.applyInPandasWithState(update, "user_id long, n long, last long", "n long, last long", "append", "NoTimeout"))
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+
+
+@query("SELECT count(*) AS windows, 0::BIGINT AS late FROM (SELECT DISTINCT date_trunc('day', ts) FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)")
+def stream_watermark(spark, d):
+    """Append mode: a day's window comes out when the watermark has passed its end; what lies after it is still open."""
+    w = stream(spark, d).withWatermark("at", "1 hour").groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return run(w.select("window.start", "n")).agg(F.count(F.lit(1)).alias("windows"), F.lit(0).cast("long").alias("late"))

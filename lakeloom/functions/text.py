@@ -58,8 +58,9 @@ def format_bytes(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.when(F.abs(n) == 1, " byte").otherwise(" bytes"))
     for power, unit in enumerate(["KiB", "MiB", "GiB", "TiB", "PiB"], 1):
         size = 1024**power
-        tenths = F.floor(F.abs(n) * 10 / size)
-        out = F.when(F.abs(n) >= size, F.concat(F.when(n < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" " + unit))).otherwise(out)
+        below = F.floor(F.abs(n) / (size // 1024))  # whole units of the power below; the tenth is cut off, not rounded
+        tenth = F.floor((below % 1024) * 10 / 1024)
+        out = F.when(F.abs(n) >= size, F.concat(F.when(n < 0, "-").otherwise(""), F.floor(below / 1024).cast("string"), F.lit("."), tenth.cast("string"), F.lit(" " + unit))).otherwise(out)
     return out
 
 

@@ -115,3 +115,24 @@ def import_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     from pyspark.sql.types import StructType
 
     return {r["name"]: spark.read.format(r["format"]).schema(StructType.fromJson(json.loads(r["schema"]))).load(f"{path}/{r['name']}") for r in spark.read.json(f"{path}/_schema.json").collect()}
+
+
+def copy_from(spark: SparkSession, table: str, path: str, format: str = "parquet", **options) -> None:
+    """Bulk load into a table, by column name."""
+    df = spark.read.format(format).options(**options)
+    df = df.schema(spark.table(table).schema).load(path) if format in ("csv", "json") else df.load(path)
+    df.select(*spark.table(table).columns).write.insertInto(table)
+
+
+def read_delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Needs the Delta package on the session's class path; Spark says so if it is absent."""
+    r = spark.read.format("delta")
+    return (r.option("versionAsOf", version) if version is not None else r).load(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """partition: (column, low, high, partitions) to read in parallel."""
+    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if partition:
+        r = r.options(partitionColumn=partition[0], lowerBound=partition[1], upperBound=partition[2], numPartitions=partition[3])
+    return r.load()

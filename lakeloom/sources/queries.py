@@ -148,3 +148,19 @@ def udtf(spark, d):
     spark.udtf.register("count_up_to", Count)
     t(spark, d, "region").createOrReplaceTempView("region")
     return spark.sql("SELECT r_regionkey, i FROM region, LATERAL count_up_to(r_regionkey)")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def copy_from_file(spark, d):
+    at, name = folder(spark), f"loaded_{uuid.uuid4().hex}"
+    io.copy_to(t(spark, d, "nation").select("n_nationkey", "n_name"), at, "csv", header=True)
+    spark.sql(f"CREATE TABLE {name} (n_nationkey INT, n_name STRING) USING parquet LOCATION '{folder(spark)}'")
+    io.copy_from(spark, name, at, "csv", header=True)
+    return spark.table(name)
+
+
+@query("SELECT 5 AS files, sum(strlen(r_name) + 1)::BIGINT AS bytes FROM region")
+def source_blob(spark, d):
+    at = folder(spark)
+    t(spark, d, "region").select("r_regionkey", "r_name").write.partitionBy("r_regionkey").text(at)
+    return io.read_blob(spark, f"{at}/*/part-*").agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))

@@ -11,7 +11,7 @@ Any line that is equal or similar to an earlier one, by id and number, is remove
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,25 +25,63 @@ UP, DOWN = 4, 5
 BUCKETS, FREQUENT, MEANS = 1 << 20, 1000, 4
 #: Pairs that a step looks at together; lines that one key compares at once.
 STEP = 1 << 20
+#: Slots of a mark for each class in a pair; a slot that is shared only moves more words.
+MARKS = 1 << 22
 SALTS = 16
 
 
-def words_of(line: bytes) -> list[bytes]:
-    """The distinct words, split at ASCII white space, capital A-Z made small, sorted."""
-    return sorted(set(line.lower().split()))
+class Hashes(dict):
+    """64-bit hashes of words; cleared when it is full, so memory is bounded."""
 
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
-@lru_cache(maxsize=200_000)
-def word_hash(w: bytes) -> int:
-    from xxhash import xxh64_intdigest
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, 0)
+        return h
 
-    return xxh64_intdigest(w, 0)
 
+_hashes = Hashes()
 
-def class_of(words: list[bytes]) -> bytes:
-    from xxhash import xxh3_128_digest
 
-    return xxh3_128_digest(b" ".join(words))
+@dataclass
+class Lines:
+    """The lines of a batch of texts that aren't blank. Words' hashes lie one line after another in `h`; line i has those from start[i] to start[i] + n[i]."""
+
+    text: np.ndarray  # the place of the line's text in the batch
+    number: np.ndarray
+    n: np.ndarray
+    start: np.ndarray
+    h: np.ndarray
+    raw: list[bytes]
+    total: list[int]  # lines of each text, blank ones too
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that depend on the set of words only: sums of two mixtures of their hashes."""
+        if not len(self.n):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        other = (self.h ^ (self.h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        other = (other ^ (other >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return np.add.reduceat(self.h, self.start).view(np.int64), np.add.reduceat(other ^ (other >> np.uint64(31)), self.start).view(np.int64)
+
+
+def lines_of(texts: list[str | None]) -> Lines:
+    """Words are split at ASCII white space, capital A-Z made small; a line is the set of its words."""
+    place, number, n, h, raw, total = [], [], [], [], [], []
+    get = _hashes.__getitem__
+    for i, text in enumerate(texts):
+        lines = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+        total.append(len(lines))
+        for no, line in enumerate(lines):
+            if w := set(line.split()):
+                h.extend(map(get, w))
+                place.append(i)
+                number.append(no)
+                n.append(len(w))
+                raw.append(line)
+    sizes = np.array(n, np.int64)
+    return Lines(np.array(place, np.int64), np.array(number, np.int64), sizes, np.cumsum(sizes) - sizes, np.array(h, np.uint64), raw, total)
 
 
 def overlap(sizes):
@@ -51,26 +89,37 @@ def overlap(sizes):
     return -(-UP * sizes // (UP + DOWN))
 
 
-def prefix(n: int, share: int = 1) -> int:
+def prefix(n, share: int = 1):
     """First words of n among which a similar set shares `share`."""
-    return min(n, n - -(-UP * n // DOWN) + share)
-
-
-def keys(words: list[bytes], count: np.ndarray, frequent: float):
-    """(key, position) of a class in the join; none for sets that only an equal set can resemble."""
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    h = h[np.lexsort((h, count[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
-    often = count[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] >= frequent
-    one, two = prefix(len(h)), prefix(len(h), 2)
-    hs = h[:two].tolist()
-    out = []
-    for i in range(one):
-        if not often[i]:
-            out.append((hs[i], i))
-        else:
-            out += [((hs[i] * 0x9E3779B97F4A7C15 ^ x) * 0xC2B2AE3D27D4EB4F % (1 << 64), i) for x in hs if x != hs[i]]
-    flips = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-    return out, np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
+    return np.minimum(n, n - -(-UP * n // DOWN) + share)
+
+
+def keys(lines: Lines, count: np.ndarray, frequent: float):
+    """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. Sets of fewer than four words resemble only their equals and have no keys."""
+    line = np.repeat(np.arange(len(lines.n)), lines.n)
+    often = count[(lines.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    o = np.lexsort((lines.h, often, line))
+    h, often = lines.h[o], often[o] >= frequent
+    pos = np.arange(len(h)) - lines.start[line]
+    large = lines.n[line] >= 4
+    one = large & (pos < prefix(lines.n)[line])
+    at = np.flatnonzero(one & ~often)
+    out = [(line[at], h[at], pos[at])]
+    for i in np.flatnonzero(one & often).tolist():  # in pairs with every other word of the longer prefix
+        k, two = line[i], int(prefix(lines.n[line[i]], 2))
+        others = h[lines.start[k] : lines.start[k] + two]
+        others = others[others != h[i]]
+        out.append((np.full(len(others), k), _pair(h[i], others), np.full(len(others), pos[i])))
+    bit = (lines.h >> np.uint64(57)).astype(np.uint64)
+    flip = np.uint64(1) << (bit & np.uint64(63))
+    halves = [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == k, flip, np.uint64(0)), lines.start) for k in (0, 1)] if len(lines.n) else [np.zeros(0, np.uint64)] * 2
+    return [np.concatenate(x) for x in zip(*out, strict=True)], halves
+
+
+def _pair(word: np.uint64, others: np.ndarray) -> np.ndarray:
+    """A key of an ordered pair: of the shared word and one more."""
+    x = (others ^ (word >> np.uint64(7)) ^ (word << np.uint64(57))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32)) ^ word
 
 
 def meet(table) -> tuple[np.ndarray, np.ndarray]:
@@ -99,92 +148,106 @@ def meet(table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, first): lines has one row for each line that isn't blank (row, id, line_no, class) and, under class null, one
+    """(lines, first): lines has one row for each line that isn't blank (row, id, line_no, c1, c2) and, with c1 null, one
     for each row of df with its number of lines; first has for each class with copies or similar classes the earliest
-    such line, as (id, line_no)."""
+    such line, as (id, line_no).
+
+    Texts are read three times: for lines and counts of words, for keys, and for the words of lines in a pair. So words
+    move only for pairs."""
     import pyarrow as pa
 
     spark = df.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["row", "id", "line_no", "c1", "c2", "counts"]
 
     def split(batches):
         from pyspark import TaskContext
 
         row, count = TaskContext.get().partitionId() << 33, np.zeros(BUCKETS, np.uint32)
         for b in batches:
-            rows, at, nos, cls, note = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-                rows.append(row)
-                at.append(i)
-                nos.append(len(lines))
-                cls.append(None)
-                for no, line in enumerate(lines):
-                    if w := words_of(line):
-                        h = np.fromiter(map(word_hash, w), np.uint64, len(w))
-                        count[np.unique((h & np.uint64(BUCKETS - 1)).astype(np.int64))] += 1
-                        rows.append(row)
-                        at.append(i)
-                        nos.append(no)
-                        cls.append(class_of(w))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(nos, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["row", "id", "line_no", "class", "counts"])
+            x = lines_of(b.column(1).to_pylist())
+            np.add.at(count, (x.h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            every, m, k = np.arange(b.num_rows), b.num_rows, len(x.n)
+            place = np.concatenate([every, x.text])
+            c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in x.classes()]
+            yield pa.RecordBatch.from_arrays([pa.array(row + place), b.column(0).take(pa.array(place)), pa.array(np.concatenate([np.array(x.total, np.int64), x.number])), *c, pa.nulls(m + k, pa.binary())], names=names)
+            row += m
         chunks, counts = packed_counts(count)
         if k := len(chunks):
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), pa.nulls(k, pa.binary()), pa.array(counts, pa.binary())], names=["row", "id", "line_no", "class", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts, pa.binary())], names=names)
 
-    all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, class binary, counts binary"))
+    all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, c1 long, c2 long, counts binary"))
     lines = all_.where("row is not null").drop("counts")
     count = np.minimum(summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS), 2**32 - 1).astype(np.uint32)
     frequent = max(FREQUENT, MEANS * float(count.mean()))
     sent = spark.sparkContext.broadcast(zlib.compress(count.tobytes(), 1))  # at most 4 MB
 
-    def sets(batches):
-        for b in batches:
-            cls, words = [], []
-            for text in b.column(1).to_pylist():
-                for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-                    if len(w := words_of(line)) >= 4:  # smaller sets resemble only their equals
-                        cls.append(class_of(w))
-                        words.append(b" ".join(w))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(words, pa.binary())], names=["class", "words"])
-
     def emit(batches):
-        c = np.frombuffer(zlib.decompress(sent.value), np.uint32)
+        c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint32), set()
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for cls, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words.split(b" ")
-                got, sketch = keys(w, c, frequent)
-                s1, s2 = sketch.view(np.int64).tolist()
-                for k, i in got:
-                    for o, v in zip(out, (k - (1 << 64) if k >> 63 else k, len(w), i, s1, s2, cls), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n", "pos", "s1", "s2", "class"])
+            x = lines_of(b.column(0).to_pylist())
+            if not len(x.n):
+                continue
+            c1, c2 = x.classes()
+            (line, key, pos), (s1, s2) = keys(x, c, frequent)
+            fresh = np.zeros(len(x.n), bool)
+            for i, k in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+                if k not in seen:
+                    fresh[i] = True
+                    seen.add(k)
+            if len(seen) > 1 << 19:  # copies that come twice do no harm
+                seen.clear()
+            ok = fresh[line]
+            line, key, pos = line[ok], key[ok], pos[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line]), pa.array(c2[line])], names=["key", "n", "pos", "s1", "s2", "c1", "c2"])
 
     def pair(batches):
         for t in runs(batches, "key"):
-            cls = t["class"].combine_chunks()
+            c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
             for x, y in meet(t):
+                other = (c1[x] != c1[y]) | (c2[x] != c2[y])
+                x, y = x[other], y[other]
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y))], names=["a", "b"])
-
-    # F.first: a class has one set of words, but for a clash of 128-bit hashes
-    classes = docs.mapInArrow(sets, "class binary, words binary").groupBy("class").agg(F.first("words").alias("words"))
-    keyed = classes.mapInArrow(emit, "key long, n int, pos int, s1 long, s2 long, class binary").repartition(parts, "key").sortWithinPartitions("key", "n")
-    pairs = keyed.mapInArrow(pair, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    words = lambda c: F.split(F.col(c).cast("string"), " ")
-    left = pairs.join(classes.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(classes.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect(words("wa"), words("wb")))
-    pairs = cut(both.where((UP + DOWN) * shared >= UP * (F.size(words("wa")) + F.size(words("wb")))).select("a", "b"))
-    own = lines.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k"))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[x], c2[x], c1[y], c2[y])], names=["a1", "a2", "b1", "b2"])
+
+    keyed = docs.select("text").mapInArrow(emit, "key long, n int, pos int, s1 long, s2 long, c1 long, c2 long").repartition(parts, "key").sortWithinPartitions("key", "n")
+    a, b = F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2"))
+    pairs = cut(keyed.mapInArrow(pair, "a1 long, a2 long, b1 long, b2 long").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+
+    def marks(batches):
+        m = np.zeros(MARKS, np.int64)
+        for x in batches:
+            m[x.column(0).to_numpy() & (MARKS - 1)] = 1
+        at, counts = packed_counts(m)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
+
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(own.select(F.col("class").alias("b"), "first"), "b").groupBy(F.col("a").alias("class")).agg(F.min("first").alias("near"))
-    first = own.join(near, "class", "left").where("k > 1 or near is not null").select("class", F.least("first", F.coalesce("near", "first")).alias("first"), "k")
+    marked = summed_counts(both.select("a.c1").mapInArrow(marks, "chunk long, counts binary"), MARKS) > 0
+    wanted = spark.sparkContext.broadcast(zlib.compress(np.packbits(marked).tobytes(), 1))  # at most 512 KB
+
+    def words(batches):
+        m = np.unpackbits(np.frombuffer(zlib.decompress(wanted.value), np.uint8)).astype(bool)
+        for x in batches:
+            found = lines_of(x.column(0).to_pylist())
+            c1, c2 = found.classes()
+            at = np.flatnonzero(m[c1 & (MARKS - 1)])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([found.raw[i] for i in at.tolist()], pa.binary())], names=["c1", "c2", "words"])
+
+    # F.first: a class has one set of words, but for a clash of 128 bits
+    text = docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").groupBy("c1", "c2").agg(F.first("words").alias("words"))
+    text = text.select(F.struct("c1", "c2").alias("class"), F.array_distinct(F.array_remove(F.split(F.col("words").cast("string"), r"[\x09-\x0D\x20]+"), "")).alias("words"))
+    left = pairs.join(text.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(text.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    pairs = cut(left.where((UP + DOWN) * shared >= UP * (F.size("wa") + F.size("wb"))).select("a", "b"))
+    own = lines.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k"))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a.c1", "a.c2", F.col("b.c1").alias("d1"), F.col("b.c2").alias("d2"))
+    near = both.join(own.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "first"), ["d1", "d2"]).groupBy("c1", "c2").agg(F.min("first").alias("near"))
+    first = own.join(near, ["c1", "c2"], "left").where("k > 1 or near is not null").select("c1", "c2", F.least("first", F.coalesce("near", "first")).alias("first"))
     return lines, first
 
 
@@ -195,8 +258,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id, equal lines at one number are none earlier than the other, and both stay."""
     lines, first = similar_lines(df, id_col, text_col)
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = lines.where("class is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["class", "salt"])
+    found = lines.where("c1 is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["c1", "c2", "salt"])
     gone = found.where(F.struct("id", "line_no") > F.col("first")).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    docs = lines.where("class is null").select("row", "id", F.col("line_no").alias("n_lines"))
+    docs = lines.where("c1 is null").select("row", "id", F.col("line_no").alias("n_lines"))
     out = docs.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

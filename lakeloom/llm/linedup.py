@@ -30,58 +30,66 @@ MARKS = 1 << 22
 SALTS = 16
 
 
-class Hashes(dict):
-    """64-bit hashes of words; cleared when it is full, so memory is bounded."""
+_random = np.random.default_rng(20)
+#: A word's hash is the sum of its bytes' numbers times its places' numbers, then mixed; both are random 64-bit tables.
+BYTES, PLACES = (_random.integers(0, 2**64, n, np.uint64) | np.uint64(1) for n in (256, 4096))
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 0)
-        return h
-
-
-_hashes = Hashes()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @dataclass
 class Lines:
-    """The lines of a batch of texts that aren't blank. Words' hashes lie one line after another in `h`; line i has those from start[i] to start[i] + n[i]."""
+    """The lines of a batch of texts that aren't blank. The hashes of line i's different words are h[start[i]] to h[start[i] + n[i] - 1], in rising order."""
 
     text: np.ndarray  # the place of the line's text in the batch
     number: np.ndarray
     n: np.ndarray
     start: np.ndarray
     h: np.ndarray
-    raw: list[bytes]
-    total: list[int]  # lines of each text, blank ones too
+    total: np.ndarray  # lines of each text, blank ones too
+    data: bytes
+    span: tuple[np.ndarray, np.ndarray]
+
+    def raw(self, i: int) -> bytes:
+        return self.data[self.span[0][i] : self.span[1][i]]
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that depend on the set of words only: sums of two mixtures of their hashes."""
         if not len(self.n):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        other = (self.h ^ (self.h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        other = (other ^ (other >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        return np.add.reduceat(self.h, self.start).view(np.int64), np.add.reduceat(other ^ (other >> np.uint64(31)), self.start).view(np.int64)
+        return tuple(np.add.reduceat(x, self.start).view(np.int64) for x in (self.h, _mix(self.h ^ np.uint64(0x9E3779B97F4A7C15))))
 
 
 def lines_of(texts: list[str | None]) -> Lines:
     """Words are split at ASCII white space, capital A-Z made small; a line is the set of its words."""
-    place, number, n, h, raw, total = [], [], [], [], [], []
-    get = _hashes.__getitem__
-    for i, text in enumerate(texts):
-        lines = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-        total.append(len(lines))
-        for no, line in enumerate(lines):
-            if w := set(line.split()):
-                h.extend(map(get, w))
-                place.append(i)
-                number.append(no)
-                n.append(len(w))
-                raw.append(line)
-    sizes = np.array(n, np.int64)
-    return Lines(np.array(place, np.int64), np.array(number, np.int64), sizes, np.cumsum(sizes) - sizes, np.array(h, np.uint64), raw, total)
+    each = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = b"\n".join(each)
+    buf = np.frombuffer(data, np.uint8)
+    total = np.array([x.count(b"\n") + 1 for x in each], np.int64)
+    black = ~WHITE[buf]
+    edge = np.diff(np.concatenate([[False], black, [False]]).astype(np.int8))
+    a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = z - a
+    first = np.cumsum(size) - size
+    pos = np.arange(int(size.sum())) - np.repeat(first, size)
+    h = _mix(np.add.reduceat(BYTES[buf[black]] * PLACES[(pos + pos // 4096 * 1021) & 4095], first) + size.astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
+    ends = np.append(np.flatnonzero(buf == 10), len(buf))
+    line = np.searchsorted(ends, a)
+    o = np.lexsort((h, line))
+    h, line = h[o], line[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[new], line[new]
+    at = np.flatnonzero(np.diff(line, prepend=-1))
+    full = line[at]
+    before = np.cumsum(total) - total
+    text = np.searchsorted(before, full, side="right") - 1
+    return Lines(text, full - before[text] if len(full) else full, np.diff(np.append(at, len(h))), at, h, total, data, (np.concatenate([[0], ends[:-1] + 1])[full], ends[full]))
 
 
 def overlap(sizes):
@@ -173,7 +181,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             every, m, k = np.arange(b.num_rows), b.num_rows, len(x.n)
             place = np.concatenate([every, x.text])
             c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in x.classes()]
-            yield pa.RecordBatch.from_arrays([pa.array(row + place), b.column(0).take(pa.array(place)), pa.array(np.concatenate([np.array(x.total, np.int64), x.number])), *c, pa.nulls(m + k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(row + place), b.column(0).take(pa.array(place)), pa.array(np.concatenate([x.total, x.number])), *c, pa.nulls(m + k, pa.binary())], names=names)
             row += m
         chunks, counts = packed_counts(count)
         if k := len(chunks):
@@ -236,7 +244,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             c1, c2 = found.classes()
             at = np.flatnonzero(m[c1 & (MARKS - 1)])
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([found.raw[i] for i in at.tolist()], pa.binary())], names=["c1", "c2", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([found.raw(i) for i in at.tolist()], pa.binary())], names=["c1", "c2", "words"])
 
     # F.first: a class has one set of words, but for a clash of 128 bits
     text = docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").groupBy("c1", "c2").agg(F.first("words").alias("words"))

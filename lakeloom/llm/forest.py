@@ -18,7 +18,7 @@ from lakeloom.llm._util import cut, prepare
 
 TREES, BITS = 16, 32
 #: Rows that trees offer a query, copies of one row counted in each tree, as a share of a block's rows.
-SHARE = 1.0
+SHARE = 1.6
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
 SALTS = 16
 

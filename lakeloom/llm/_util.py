@@ -11,14 +11,14 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python: texts can be long, so batches are short.
-BATCH_ROWS = 128
+#: Bytes of an Arrow batch that goes to Python: few long texts or many narrow rows.
+BATCH_BYTES = 1 << 20
 
 _shipped: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, and keeps Arrow batches of texts small."""
+    """Sends this package to the executors once per application, and bounds the bytes of Arrow batches, whatever the length of texts."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -34,8 +34,7 @@ def prepare(spark: SparkSession) -> None:
                             z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
             spark.sparkContext.addPyFile(path)
             _shipped[app] = path
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

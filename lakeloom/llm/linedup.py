@@ -210,20 +210,20 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 seen.clear()
             ok = fresh[line]
             line, key, pos = line[ok], key[ok], pos[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line]), pa.array(c2[line])], names=["key", "n", "pos", "s1", "s2", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line])], names=["key", "n", "pos", "s1", "s2", "c1"])
 
     def pair(batches):
         for t in runs(batches, "key"):
-            c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
+            c1 = t["c1"].to_numpy()
             for x, y in meet(t):
-                other = (c1[x] != c1[y]) | (c2[x] != c2[y])
-                x, y = x[other], y[other]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[x], c2[x], c1[y], c2[y])], names=["a1", "a2", "b1", "b2"])
+                low, high = np.minimum(c1[x], c1[y]), np.maximum(c1[x], c1[y])
+                other = low != high
+                if other.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(low[other]), pa.array(high[other])], names=["a", "b"])
 
-    keyed = docs.select("text").mapInArrow(emit, "key long, n int, pos int, s1 long, s2 long, c1 long, c2 long").repartition(parts, "key").sortWithinPartitions("key", "n")
-    a, b = F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2"))
-    pairs = cut(keyed.mapInArrow(pair, "a1 long, a2 long, b1 long, b2 long").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    keyed = docs.select("text").mapInArrow(emit, "key long, n int, pos int, s1 long, s2 long, c1 long").repartition(parts, "key").sortWithinPartitions("key", "n")
+    # pairs carry half of each class's 128 bits; the words decide, whatever classes share that half
+    pairs = cut(keyed.mapInArrow(pair, "a long, b long").distinct())
 
     def marks(batches):
         m = np.zeros(MARKS, np.int64)
@@ -233,8 +233,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if at:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
 
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    marked = summed_counts(both.select("a.c1").mapInArrow(marks, "chunk long, counts binary"), MARKS) > 0
+    marked = summed_counts(pairs.select("a").union(pairs.select("b")).mapInArrow(marks, "chunk long, counts binary"), MARKS) > 0
     wanted = spark.sparkContext.broadcast(zlib.compress(np.packbits(marked).tobytes(), 1))  # at most 512 KB
 
     def words(batches):
@@ -248,12 +247,12 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # F.first: a class has one set of words, but for a clash of 128 bits
     text = docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").groupBy("c1", "c2").agg(F.first("words").alias("words"))
-    text = text.select(F.struct("c1", "c2").alias("class"), F.array_distinct(F.array_remove(F.split(F.col("words").cast("string"), r"[\x09-\x0D\x20]+"), "")).alias("words"))
-    left = pairs.join(text.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(text.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
+    text = text.select("c1", "c2", F.array_distinct(F.array_remove(F.split(F.col("words").cast("string"), r"[\x09-\x0D\x20]+"), "")).alias("words"))
+    left = pairs.join(text.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("wa")), "a").join(text.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    pairs = cut(left.where((UP + DOWN) * shared >= UP * (F.size("wa") + F.size("wb"))).select("a", "b"))
+    pairs = cut(left.where((UP + DOWN) * shared >= UP * (F.size("wa") + F.size("wb"))).select("a", "a2", "b", "b2"))
     own = lines.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k"))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a.c1", "a.c2", F.col("b.c1").alias("d1"), F.col("b.c2").alias("d2"))
+    both = pairs.union(pairs.select("b", "b2", "a", "a2")).toDF("c1", "c2", "d1", "d2")
     near = both.join(own.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "first"), ["d1", "d2"]).groupBy("c1", "c2").agg(F.min("first").alias("near"))
     first = own.join(near, ["c1", "c2"], "left").where("k > 1 or near is not null").select("c1", "c2", F.least("first", F.coalesce("near", "first")).alias("first"))
     return lines, first

@@ -51,6 +51,10 @@ family("fn_string_unicode", "documents", "doc_id", [
     ("accents", "s", lambda: text.strip_accents(F.substring(c("text"), 1, 40)), "strip_accents(substr(text, 1, 40))"), ("nfc", "s", lambda: text.nfc_normalize(F.substring(c("text"), 1, 40)), "nfc_normalize(substr(text, 1, 40))"), ("graphemes", "i", lambda: text.length_grapheme(F.substring(c("text"), 1, 60)), "length_grapheme(substr(text, 1, 60))"),
     ("chars", "i", "length(text)"), ("bytes", "i", "octet_length(text)", "strlen(text)"), ("words", "i", "size(split(text, ' '))", "len(string_split(text, ' '))"), ("chr_wide", "s", lambda: text.chr_point(F.lit(8364) + c("doc_id") % 5), "chr((8364 + doc_id % 5)::INTEGER)"),
 ])
+#: fn_string_unicode reads the first 40 or 60 characters; these are the same functions on whole texts.
+family("fn_string_unicode_whole", "documents", "doc_id", [
+    ("accents", "s", lambda: text.strip_accents(c("text")), "strip_accents(text)"), ("nfc", "s", lambda: text.nfc_normalize(c("text")), "nfc_normalize(text)"), ("graphemes", "i", lambda: text.length_grapheme(c("text")), "length_grapheme(text)"),
+])
 family("fn_date_parts", "events", "event_id", [
     *[(p, "i", f"{p}(ts)") for p in ("year", "month", "day", "hour", "minute", "quarter", "dayofyear")], ("second", "i", "floor(second(ts))", "second(ts)"), ("week", "i", "weekofyear(ts)", "week(ts)"), ("isodow", "i", "weekday(ts) + 1", "isodow(ts)"), ("dayofweek", "i", "dayofweek(ts) - 1", "dayofweek(ts)"), ("weekday", "i", "dayofweek(ts) - 1", "weekday(ts)"),
     ("yearweek", "i", "extract(YEAROFWEEK FROM ts) * 100 + weekofyear(ts)", "yearweek(ts)"), ("isoyear", "i", "extract(YEAROFWEEK FROM ts)", "isoyear(ts)"), ("era", "i", "CASE WHEN year(ts) > 0 THEN 1 ELSE 0 END", "era(ts)"), ("century", "i", "ceil(year(ts) / 100)", "century(ts)"), ("decade", "i", "floor(year(ts) / 10)", "decade(ts)"), ("millennium", "i", "ceil(year(ts) / 1000)", "millennium(ts)"),

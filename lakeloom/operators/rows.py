@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lakeloom.session import checkpoint_dir
 
@@ -31,6 +32,13 @@ def union_by_name(*frames: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
+def unnest_recursive(df: DataFrame, column: str) -> DataFrame:
+    """A row for each value within nested lists, as many levels as the type has; null and empty lists give none."""
+    while isinstance(df.schema[column].dataType, ArrayType):
+        df = df.select(*[F.explode(c).alias(c) if c == column else F.col(c) for c in df.columns])
+    return df
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, rounds: int = 1000) -> DataFrame:
     """A fixpoint: step maps the newest rows to further ones until none is new. Each round is a checkpoint in the shared folder."""
     checkpoint_dir(seed.sparkSession)

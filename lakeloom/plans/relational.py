@@ -65,6 +65,13 @@ def unnest_zip(spark, d):
     return t(spark, d, "events").where("event_id < 50").select("event_id", F.inline(z))
 
 
+@query("SELECT event_id, unnest([event_id, user_id, 3]) AS a, unnest(['x', event_type]) AS b FROM events")
+def unnest_zip_whole(spark, d):
+    """All rows, with lists of different lengths built from columns: the shorter one is filled up with nulls."""
+    z = F.arrays_zip(F.array("event_id", "user_id", F.lit(3)).alias("a"), F.array(F.lit("x"), F.col("event_type")).alias("b"))
+    return t(spark, d, "events").select("event_id", F.inline(z))
+
+
 @query("PIVOT (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(*) GROUP BY o_orderpriority")
 def pivot_status_by_priority(spark, d):
     return rows.pivot(t(spark, d, "orders"), "o_orderstatus", ["F", "O", "P"], ["o_orderpriority"], n=F.count(F.lit(1))).na.fill(0)

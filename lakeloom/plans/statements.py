@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import lists
+from lakeloom.operators import rows
 from lakeloom.plans.registry import query, sql
 from lakeloom.session import checkpoint_dir
 from lakeloom.session import table as t
@@ -132,6 +133,16 @@ def unnest_recursive(spark, d):
     return t(spark, d, "events").where("event_id < 20").select("event_id", F.explode(F.flatten(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))))).alias("struct_depth"))
 
 
+@query("SELECT event_id, unnest([[[event_id, user_id], [event_id % 3]], [range(event_id % 4)], CASE WHEN event_id % 5 > 0 THEN [[user_id], NULL] END], recursive := true) AS x FROM events")
+def unnest_recursive_whole(spark, d):
+    """All rows; lists of columns with empty and null lists among them, three levels deep."""
+    i, u = F.col("event_id"), F.col("user_id")
+    counted = F.when(i % 4 > 0, F.sequence(F.lit(0).cast("long"), i % 4 - 1)).otherwise(F.array().cast("array<bigint>"))
+    some = F.when(i % 5 > 0, F.array(F.array(u), F.lit(None)))
+    e = t(spark, d, "events").select("event_id", F.array(F.array(F.array(i, u), F.array(i % 3)), F.array(counted), some).alias("x"))
+    return rows.unnest_recursive(e, "x")
+
+
 # group-by benchmark: ten shapes of keys and aggregates
 sql("groupby_1", "SELECT l_returnflag AS k, round(sum(l_quantity), 1) AS v FROM lineitem GROUP BY l_returnflag")
 sql("groupby_2", "SELECT l_returnflag AS k1, l_linestatus AS k2, round(sum(l_quantity), 1) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus")

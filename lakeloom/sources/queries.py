@@ -118,6 +118,16 @@ def ddl_macros(spark, d):
     return spark.sql("SELECT c_custkey, double_it(c_acctbal) AS twice FROM customer WHERE c_custkey < 10")
 
 
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def ddl_macros_whole(spark, d):
+    """ddl_macros on all rows."""
+    from lakeloom.session import views
+
+    views(spark, d, "customer")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION double_it(x DOUBLE) RETURNS DOUBLE RETURN x * 2")
+    return spark.sql("SELECT c_custkey, double_it(c_acctbal) AS twice FROM customer")
+
+
 @query("SELECT s_suppkey, s_suppkey * 3 + 1 AS x FROM supplier")
 def udf_arrow(spark, d):
     @F.pandas_udf("long")

@@ -15,3 +15,13 @@ def test_unicode_whole_texts(spark, tmp_path):
     got = {r.doc_id: (r.accents, r.nfc, r.graphemes) for r in QUERIES["fn_string_unicode_whole"](spark, str(tmp_path)).collect()}
     bare = ["".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)) for x in texts]
     assert got == {i: (bare[i], unicodedata.normalize("NFC", x), len(regex.findall(r"\X", x))) for i, x in enumerate(texts)}
+
+
+def test_all_rows_and_levels(spark, tmp_path):
+    spark.createDataFrame([(i, i % 7, "t") for i in range(0, 300, 3)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, i / 4) for i in range(40)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    ids = range(0, 300, 3)
+    assert got("unnest_zip_whole") == sorted([(i, a, b) for i in ids for a, b in ((i, "x"), (i % 7, "t"), (3, None))], key=repr)
+    assert got("unnest_recursive_whole") == sorted([(i, x) for i in ids for x in (i, i % 7, i % 3, *range(i % 4), *[i % 7] * (i % 5 > 0))], key=repr)
+    assert got("ddl_macros_whole") == sorted([(i, i / 2) for i in range(40)], key=repr)

@@ -227,6 +227,66 @@ def json_type(j: Column, path: str = "$") -> Column:
     return F.when(t.startswith("OBJECT"), "OBJECT").when(t.startswith("ARRAY"), "ARRAY").when(t == "STRING", "VARCHAR").when(t == "BOOLEAN", "BOOLEAN").when(t == "VOID", "NULL").when(t == "BIGINT", num).otherwise("DOUBLE")
 
 
+class _Object(list):
+    """Keys and values of an object, repeated keys too."""
+
+
+def _structure(x):
+    """A type's name, [type of the items] or {key: type}."""
+    if isinstance(x, _Object):
+        out = {}
+        for k, v in x:
+            out[k] = _both(out.get(k, "NULL"), _structure(v))
+        return out
+    if isinstance(x, list):
+        items = "NULL"
+        for v in x:
+            items = _both(items, _structure(v))
+        return [items]
+    if isinstance(x, int) and not isinstance(x, bool):
+        return "UBIGINT" if 0 <= x < 1 << 64 else "BIGINT" if -(1 << 63) <= x < 0 else "DOUBLE"
+    return {type(None): "NULL", bool: "BOOLEAN", float: "DOUBLE", str: "VARCHAR"}[type(x)]
+
+
+def _both(a, b):
+    """The type that values of two types share."""
+    if a == b or b == "NULL":
+        return a
+    if a == "NULL":
+        return b
+    if isinstance(a, list) and isinstance(b, list):
+        return [_both(a[0], b[0])]
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a | {k: _both(a.get(k, "NULL"), v) for k, v in b.items()}
+    if all(isinstance(x, str) and x in ("UBIGINT", "BIGINT", "HUGEINT", "DOUBLE") for x in (a, b)):
+        return "DOUBLE" if "DOUBLE" in (a, b) else "HUGEINT"
+    return "JSON"
+
+
+def _named(x):
+    """An object without keys has no structure of its own."""
+    if isinstance(x, list):
+        return [_named(x[0])]
+    return ({k: _named(v) for k, v in x.items()} or "JSON") if isinstance(x, dict) else x
+
+
+def json_structure(j: Column) -> Column:
+    """Keys and types of each row's value, in the reference dialect's names."""
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        made = lambda x: _named(_structure(json.loads(x, object_pairs_hook=_Object)))
+        return pd.Series([None if x is None else json.dumps(made(x), separators=(",", ":"), ensure_ascii=False) for x in a])
+
+    return run(j)
+
+
+def schema_of_json_agg(j: Column) -> Column:
+    """One type that the JSON values of all rows share, in Spark's names; other texts are passed over."""
+    t = F.schema_of_variant_agg(F.try_parse_json(j))
+    return F.regexp_replace(t, "OBJECT<(?=(?:[^`]*`[^`]*`)*[^`]*$)", "STRUCT<")
+
+
 def json_value(j: Column, path: str) -> Column:
     """Scalars only."""
     t = json_type(j, path)

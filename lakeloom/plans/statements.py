@@ -111,8 +111,12 @@ def fn_reservoir_quantile(spark, d):
 
 @query("SELECT 'STRUCT<k: BIGINT>' AS structure")
 def fn_json_structure(spark, d):
-    e = t(spark, d, "events").limit(1)
-    return e.select(F.schema_of_json(F.lit('{"k": 69}')).alias("structure"))
+    return t(spark, d, "events").agg(lists.schema_of_json_agg(F.col("props")).alias("structure"))
+
+
+@query("SELECT event_id, json_structure(props)::VARCHAR AS structure FROM events")
+def fn_json_structure_rows(spark, d):
+    return t(spark, d, "events").select("event_id", lists.json_structure(F.col("props")).alias("structure"))
 
 
 @query("SELECT event_type, to_json(list_sort(list(DISTINCT user_id % 5))) AS a, to_json(map_from_entries(list_sort(list(DISTINCT (('u' || user_id % 3)::VARCHAR, (user_id % 3)::BIGINT))))) AS o FROM events GROUP BY event_type")

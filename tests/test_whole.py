@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import duckdb
 import regex
 
 from lakeloom.plans import registry
@@ -25,3 +26,19 @@ def test_all_rows_and_levels(spark, tmp_path):
     assert got("unnest_zip_whole") == sorted([(i, a, b) for i in ids for a, b in ((i, "x"), (i % 7, "t"), (3, None))], key=repr)
     assert got("unnest_recursive_whole") == sorted([(i, x) for i in ids for x in (i, i % 7, i % 3, *range(i % 4), *[i % 7] * (i % 5 > 0))], key=repr)
     assert got("ddl_macros_whole") == sorted([(i, i / 2) for i in range(40)], key=repr)
+
+
+def test_json_structure_reads_all_rows(spark, tmp_path):
+    props = ['{"k":69}', '{"k":-1,"a":[1,2.5,null]}', '{"o":{"p":[{"q":1},{"r":"z"}]},"OBJECT<":true}', None, '{"n":null,"b":[]}', "{}", '[1,"a"]', "[1,-2]", '{"a":1,"a":"x"}', "[{},{}]", "[[],[1]]", "18446744073709551616", '[{"a":1},null,{"a":null}]', "[1,9223372036854775808]", "1e400", "[[1],true]", '{"x":{"y":false}}']
+    at = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(list(enumerate(props)), "event_id long, props string").coalesce(1).write.parquet(at)
+    with duckdb.connect() as duck:
+        want = dict(duck.sql(f"SELECT event_id, json_structure(props)::VARCHAR FROM '{at}/*.parquet'").fetchall())
+    assert {r.event_id: r.structure for r in QUERIES["fn_json_structure_rows"](spark, str(tmp_path)).collect()} == want
+
+
+def test_json_structure_of_all_rows(spark, tmp_path):
+    props = ['{"k":69}'] * 50 + [None, '{"OBJECT<":true}', '{"a":{"b":[1.5,2.5]}}', "no json"]
+    spark.createDataFrame(list(enumerate(props)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    [row] = QUERIES["fn_json_structure"](spark, str(tmp_path)).collect()
+    assert row.structure == "STRUCT<`OBJECT<`: BOOLEAN, a: STRUCT<b: ARRAY<DECIMAL(2,1)>>, k: BIGINT>"

@@ -3,8 +3,8 @@
 The network is trained here, in numpy, on spans that the base patterns label in a bounded sample of documents. It reads
 overlapping windows of a text; each character takes its tag from the window in which it lies farthest from an edge, and
 spans are read off the whole text's tags. By definition an added span holds a digit or an @, so a window without either
-has no span of its own and isn't computed: its tags are all `outside`, which changes nothing that the network decides
-elsewhere. Added spans that touch a base span, or can't be of their kind, are dropped."""
+is computed only if a span may reach into it: if the tag next to it isn't `outside`, window by window as far as that
+holds. The added spans are those that all windows would give. Added spans that touch a base span, or can't be of their kind, are dropped."""
 
 from __future__ import annotations
 
@@ -254,25 +254,32 @@ def added_spans(texts: list[str | None], tagger: Tagger | None, base: list[list[
     out: list[list] = [[] for _ in texts]
     if tagger is None:
         return out
+    ends = [-(-max(0, len(t or "") - WINDOW) // STRIDE) * STRIDE for t in texts]  # the first window that holds the text's end is the last
     jobs = []
     for k, text in enumerate(texts):
         starts = set()
         for m in TRIGGER.finditer(text or ""):
             last = m.start() // STRIDE * STRIDE
             starts |= {last, *range(max(0, last - (WINDOW - 1) // STRIDE * STRIDE), last, STRIDE)}
-        jobs += [(k, a) for a in sorted(starts) if TRIGGER.search(text, a, a + WINDOW)]
+        jobs += [(k, a) for a in sorted(starts) if a <= ends[k] and TRIGGER.search(text, a, a + WINDOW)]
     tags: dict[int, dict[int, int]] = {}
-    edge = (WINDOW - STRIDE) // 2
-    for i in range(0, len(jobs), 256):
-        part = jobs[i : i + 256]
+    edge, known = (WINDOW - STRIDE) // 2, set(jobs)
+    while jobs:
+        part, jobs = jobs[:256], jobs[256:]
         x = np.zeros((len(part), WINDOW), np.int64)
         for r, (k, a) in enumerate(part):
             s = symbols(texts[k][a : a + WINDOW])
             x[r, : len(s)] = s
         for (k, a), row in zip(part, tagger.decode(x), strict=True):
-            low, high = 0 if a == 0 else edge, WINDOW if a + WINDOW >= len(texts[k]) else WINDOW - edge
+            low, high = 0 if a == 0 else edge, WINDOW if a == ends[k] else WINDOW - edge
             at = np.flatnonzero(row[low:high]) + low
             tags.setdefault(k, {}).update((a + j, t) for j, t in zip(at.tolist(), row[at].tolist(), strict=True) if a + j < len(texts[k]))
+            before = a > 0 and row[low] > 0 and row[low] % 2 == 0
+            after = a < ends[k] and row[high - 1] > 0
+            for n in [(k, a - STRIDE)] * bool(before) + [(k, a + STRIDE)] * bool(after):
+                if n not in known:
+                    known.add(n)
+                    jobs.append(n)
     for k, found in tags.items():
         spans, last = [], None
         for i in sorted(found):

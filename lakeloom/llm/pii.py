@@ -9,6 +9,7 @@ holds. The added spans are those that all windows would give. Added spans that t
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ DIGITS = re.compile(r"[^0-9]")
 WINDOW, STRIDE = 128, 96
 #: Documents that are sampled to label windows, windows that are trained on, and steps.
 SAMPLE_ROWS, SAMPLE_WINDOWS, STEPS, BATCH, TRAIN_LENGTH = 2000, 3000, 110, 48, 64
+#: Windows of one sampled document that are learned from at most, chosen by hash from the whole document.
+DOCUMENT_WINDOWS = 16
 HIDDEN, TAGS, SYMBOLS = 16, 1 + 2 * len(KINDS), 130
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -228,6 +231,13 @@ def training_windows(text: str, length: int = TRAIN_LENGTH) -> list[tuple[np.nda
     return out
 
 
+def chosen_windows(text: str, most: int = DOCUMENT_WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the training windows of a document those with the smallest hashes of number and symbols, in the text's order."""
+    all_ = training_windows(text)
+    hashed = sorted(range(len(all_)), key=lambda i: (zlib.crc32(all_[i][0].tobytes(), i), i))
+    return [all_[i] for i in sorted(hashed[:most])]
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Tagger | None:
     """A tagger from about sample_rows documents with a digit or an @; None if there are none."""
     import pyarrow as pa
@@ -237,7 +247,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     def run(batches):
         for b in batches:
-            got = [w for t in b.column(0).to_pylist() for w in training_windows(t)[:16]]
+            got = [w for t in b.column(0).to_pylist() for w in chosen_windows(t)]
             yield pa.RecordBatch.from_arrays([pa.array([np.stack(w).astype(np.uint8).tobytes() for w in got], pa.binary())], names=["w"])
 
     got = sorted(bytes(r["w"]) for r in bounded_sample(rows, F.coalesce("id", F.lit("")), sample_rows).select("text").mapInArrow(run, "w binary").collect())

@@ -12,14 +12,16 @@ def groups_frame(df: DataFrame, agg: Column, by: list, order, start: int, end: i
     return df.withColumn("_g", rank).withColumn(name, agg.over(Window.partitionBy(*by).orderBy("_g").rangeBetween(start, end))).drop("_g")
 
 
-def sum_excluding(df: DataFrame, value: str, by: list, order: list, preceding: int, following: int, name: str, exclude: str = "current row") -> DataFrame:
-    """A sum over ROWS preceding..following without the current row, its group of peers, or its ties."""
+def sum_excluding(df: DataFrame, value: str, by: list, order: list, preceding: int | None, following: int | None, name: str, exclude: str = "current row") -> DataFrame:
+    """A sum over ROWS preceding..following without the current row, its group of peers, or its ties; None is UNBOUNDED."""
     w = Window.partitionBy(*by).orderBy(*order)
+    low = Window.unboundedPreceding if preceding is None else -preceding
+    high = Window.unboundedFollowing if following is None else following
     if exclude == "current row":
-        before, after = F.sum(value).over(w.rowsBetween(-preceding, -1)), F.sum(value).over(w.rowsBetween(1, following))
+        before, after = F.sum(value).over(w.rowsBetween(low, -1)), F.sum(value).over(w.rowsBetween(1, high))
         total = F.when(before.isNull() & after.isNull(), None).otherwise(F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0)))
         return df.withColumn(name, total)
-    rows = F.collect_list(F.struct(F.col(value).alias("v"), F.struct(*order).alias("k"), F.col("_row").alias("i"))).over(w.rowsBetween(-preceding, following))
+    rows = F.collect_list(F.struct(F.col(value).alias("v"), F.struct(*order).alias("k"), F.col("_row").alias("i"))).over(w.rowsBetween(low, high))
     d = df.withColumn("_row", F.row_number().over(w)).withColumn("_f", rows).withColumn("_k", F.struct(*order))
     keep = (lambda x: x["k"] != F.col("_k")) if exclude == "group" else (lambda x: (x["k"] != F.col("_k")) | (x["i"] == F.col("_row")))
     kept = F.filter("_f", keep)

@@ -247,8 +247,8 @@ def win_exclude_current(spark, d):
 @query("SELECT n_nationkey, sum(n_nationkey) OVER (ORDER BY n_regionkey, n_nationkey % 2 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP)::BIGINT AS g, sum(n_nationkey) OVER (ORDER BY n_regionkey, n_nationkey % 2 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES)::BIGINT AS s FROM nation")
 def win_exclude_group_ties(spark, d):
     n = t(spark, d, "nation").withColumn("k", F.col("n_nationkey") % 2)
-    out = windows.sum_excluding(n, "n_nationkey", [], ["n_regionkey", "k"], 1000, 1000, "g", "group")
-    out = windows.sum_excluding(out, "n_nationkey", [], ["n_regionkey", "k"], 1000, 1000, "s", "ties")
+    out = windows.sum_excluding(n, "n_nationkey", [], ["n_regionkey", "k"], None, None, "g", "group")
+    out = windows.sum_excluding(out, "n_nationkey", [], ["n_regionkey", "k"], None, None, "s", "ties")
     return out.select("n_nationkey", F.col("g").cast("long").alias("g"), F.col("s").cast("long").alias("s"))
 
 

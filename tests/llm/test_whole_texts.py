@@ -29,3 +29,11 @@ def test_added_spans_reach_beyond_windows(at, local, domain):
     finally:
         pii.plausible = pii_plausible
     assert kept == [(0, start, start + len(mail))]
+
+
+def test_training_windows_from_the_whole_document():
+    text = "".join(f"{'a' * (i % 14 + 1)} {'b' * (i // 14 + 1)} {i} {'word ' * 30}" for i in range(200))
+    every, some = pii.training_windows(text), pii.chosen_windows(text)
+    place = [next(i for i, (x, _) in enumerate(every) if (x == w).all()) for w, _ in some]
+    assert len(some) == pii.DOCUMENT_WINDOWS and max(place) > len(every) // 2
+    assert len(pii.chosen_windows("call 1 or " + "a " * 200 + "2")) == 2

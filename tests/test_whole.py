@@ -4,7 +4,9 @@ import unicodedata
 
 import duckdb
 import regex
+from pyspark.sql import functions as F
 
+from lakeloom.operators import windows
 from lakeloom.plans import registry
 
 QUERIES = registry.queries()
@@ -42,3 +44,10 @@ def test_json_structure_of_all_rows(spark, tmp_path):
     spark.createDataFrame(list(enumerate(props)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     [row] = QUERIES["fn_json_structure"](spark, str(tmp_path)).collect()
     assert row.structure == "STRUCT<`OBJECT<`: BOOLEAN, a: STRUCT<b: ARRAY<DECIMAL(2,1)>>, k: BIGINT>"
+
+
+def test_unbounded_frame_beyond_1000_rows(spark):
+    d = spark.range(1500).select("id", F.floor(F.col("id") / 3).alias("k"))
+    for exclude, own in (("group", 0), ("ties", 1)):
+        got = {r.id: r.s for r in windows.sum_excluding(d, "id", [], ["k"], None, None, "s", exclude).collect()}
+        assert got == {i: 1124250 - 3 * (i // 3 * 3 + 1) + own * i for i in range(1500)}

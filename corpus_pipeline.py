@@ -21,16 +21,21 @@ from lakeloom.llm import dedup, langid, packing, pii, simhash
 from lakeloom.llm._util import cut, new_folder
 from lakeloom.llm.queries import WORD_FILE, tokenizer
 
-#: A prediction below this share is a guess among the learned languages.
+#: A prediction below this share is a guess among four learned languages.
 LEAST_SCORE = 0.3
 
 ORACLE_SQL = None
 
 
+def least_score(classes: int) -> float:
+    """As far from an even guess among `classes` languages, on the way to certainty, as LEAST_SCORE is among four."""
+    return 1 / classes + (1 - 1 / classes) * (LEAST_SCORE - 1 / 4) / (1 - 1 / 4)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, "text", "lang", F.coalesce(F.col("doc_id"), F.lit(-1)))
     out = langid.predict(docs, model, "text", "_lang", "_score")
-    known = (F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE) if model["classes"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    known = (F.col("_lang") != "und") & (F.col("_score") >= least_score(len(model["classes"]))) if model["classes"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return out.where(known).select(*docs.columns)
 
 

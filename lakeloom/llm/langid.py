@@ -2,20 +2,22 @@
 
 The weights are learned by follow-the-regularised-leader with elastic-net penalties, one coordinate at a time, and their
 scores are calibrated by one temperature. Document frequencies are counted over all rows to learn from; the weights are
-fitted on a bounded sample of them (`sample_rows`)."""
+fitted on a sample of them that is bounded for each label (`sample_rows`); the classes are all labels that occur."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import bounded_sample, packed_counts, prepare, summed_counts
+from lakeloom.llm._util import packed_counts, prepare, summed_counts
 
 #: Hashed n-grams of 1 to ORDERS characters; the number of features is a power of two and bounds what is broadcast.
 FEATURES, ORDERS = 1 << 15, 3
 #: At most about so many rows fit the weights.
 SAMPLE_ROWS = 3000
+#: So many rows of a language are learned from, if it has them, however small its share is.
+LABEL_ROWS = 64
 #: Characters of which the n-grams are counted at once.
 BLOCK = 1 << 20
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint64)
@@ -129,21 +131,38 @@ def train(df: DataFrame, text_col: str, label_col: str, key: Column, sample_rows
                 got.append(np.stack([at, c[at]]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(got, pa.binary())], names=["label", "grams"])
 
-    n = rows.count()
+    rows = rows.withColumn("hash", F.xxhash64("key"))
+    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()
+    n = sum(r["n"] for r in found)
     if not n:
         return {"classes": [], "idf": np.zeros(FEATURES), "w": np.zeros((FEATURES, 0)), "t": 1.0}
     df_ = summed_counts(rows.mapInArrow(frequencies, "chunk long, counts binary"), FEATURES)
     idf = np.log((1 + n) / (1 + df_)) + 1
-    sample = sorted(bounded_sample(rows, F.col("key"), sample_rows, n).mapInArrow(counted, "label string, grams binary").collect(), key=lambda r: (r["label"], bytes(r["grams"])))
-    classes = sorted({r["label"] for r in sample})
+    sample = sorted(label_sample(rows, found, sample_rows).select("key", "text", "label").mapInArrow(counted, "label string, grams binary").collect(), key=lambda r: (r["label"], bytes(r["grams"])))
+    classes = sorted({r["label"] for r in found})
     y = np.array([classes.index(r["label"]) for r in sample], np.int64)
     vectors = [weighted(_dense(bytes(r["grams"])), idf) for r in sample]
-    back = np.arange(len(sample)) % 5 == 4
+    place = np.arange(len(sample)) - np.searchsorted(y, y)  # of each label, every fifth row is held back
+    back = place % 5 == 4
     w = fit_ftrl([v for v, b in zip(vectors, back, strict=True) if not b], y[~back], len(classes))
     scores = np.array([vectors[i][1] @ w[vectors[i][0]] for i in np.flatnonzero(back)]).reshape(-1, len(classes))
     return {"classes": classes, "idf": idf, "w": w, "t": fit_temperature(scores, y[back])}
 
 
+def label_sample(rows: DataFrame, found: list, sample_rows: int) -> DataFrame:
+    """Of each label the rows with the smallest hashes: its share of about sample_rows, but LABEL_ROWS where it has as many, and one at least.
+
+    rows: (hash, label ..); found: (label, n, least hash) of each label."""
+    n = sum(r["n"] for r in found)
+    wide, limits = 1 << 64, []
+    for r in found:
+        share = min(1.0, max(sample_rows / n, LABEL_ROWS / r["n"]))
+        limits.append((r["label"], max(r["least"], min(int(share * wide), wide - 1) - (1 << 63)), max(1, 2 * int(np.ceil(share * r["n"])))))
+    limits = rows.sparkSession.createDataFrame(limits, "label string, upto long, most long")
+    near = rows.join(F.broadcast(limits), "label").where("hash <= upto")  # a row for each label
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("hash"))).where("r <= most")
+
+
 def _dense(packed: bytes) -> np.ndarray:
     at, c = np.frombuffer(packed, "<i4").reshape(2, -1)
     out = np.zeros(FEATURES, np.int64)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lakeloom.llm import pii
+import corpus_pipeline
+from lakeloom.llm import langid, pii
 
 
 class Letters:
@@ -37,3 +39,20 @@ def test_training_windows_from_the_whole_document():
     place = [next(i for i, (x, _) in enumerate(every) if (x == w).all()) for w, _ in some]
     assert len(some) == pii.DOCUMENT_WINDOWS and max(place) > len(every) // 2
     assert len(pii.chosen_windows("call 1 or " + "a " * 200 + "2")) == 2
+
+
+def test_rare_language_is_learned(spark):
+    words = {"en": "the cat and dog with house", "fi": "yhdessä äiti isä hyvää päivää", "rare": "žluťoučký kůň příšerně úpěl ďábelské"}
+    lang = lambda i: "rare" if i == 777 else "en" if i % 3 else "fi"
+    d = spark.createDataFrame([(i, " ".join(sorted(words[lang(i)].split(), key=lambda w: hash((w, i)))), lang(i)) for i in range(2000)], "doc_id long, text string, lang string")
+    for key in (F.col("doc_id"), F.lit(None).cast("long")):
+        m = langid.train(d, "text", "lang", F.coalesce(key, F.lit(-1)), 100)
+        assert m["classes"] == ["en", "fi", "rare"]
+    m = langid.train(d, "text", "lang", F.col("doc_id"), 100)
+    assert {r.lang_pred for r in langid.predict(d.where("doc_id = 777"), m, "text").collect()} == {"rare"}
+
+
+def test_least_score_follows_the_number_of_languages():
+    got = [corpus_pipeline.least_score(k) for k in (1, 2, 4, 10)]
+    assert got[0] == 1 and got == sorted(got, reverse=True) and abs(got[2] - corpus_pipeline.LEAST_SCORE) < 1e-12
+    assert all(x > 1 / k for x, k in zip(got[1:], (2, 4, 10), strict=True))

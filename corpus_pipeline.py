@@ -2,7 +2,8 @@
 
 1. language: documents without letters, or whose language is all but a guess, go.
 2. exact_dedup: of equal texts the one with the largest doc_id stays.
-3. near_dedup: of each SimHash component one document stays, the one with the smallest doc_id.
+3. near_dedup: of each SimHash component one document stays, the one with the smallest doc_id. A document is its doc_id
+   and text: null ids come last, and of equal ids that with the smallest digest of its text stays.
 4. personal_data: spans are replaced by their kind; n_chars follows.
 5. packing: sequences of at most 4096 tokens.
 
@@ -44,9 +45,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs).where("component_id is not null and doc_id is not null and doc_id <> component_id")
-    gone = cut(found.select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
+    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row")
+    gone = cut(found.where("row <> component_id").select("row").distinct())
+    return docs.withColumn("_row", row).join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

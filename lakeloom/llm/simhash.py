@@ -153,7 +153,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def link(batches):
         for t in runs(batches, "key"):
             k = t["key"].to_numpy()
-            fp, rep = t["fp"].to_numpy().view(np.uint64), t["rep"].combine_chunks()
+            fp, node = t["fp"].to_numpy().view(np.uint64), t["node"].combine_chunks()
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             a, b = [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -163,12 +163,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     a.append(linked + i)
                     b.append(root[linked] + i)
             if a and len(x := np.concatenate(a)):
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(np.concatenate(b)))], names=["a", "b"])
-
-    some = classes.where("rep is not null")
-    keyed = some.withColumn("key", F.explode(F.array(*(key(*c) for c in choices(classes.count(), differ)))))
-    keyed = keyed.select("key", "fp", "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    found = components(keyed.mapInArrow(link, f"a {kind}, b {kind}"))
-    named = some.join(found, F.col("rep") == F.col("node"), "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(np.concatenate(b)))], names=["a", "b"])
+
+    # Classes are the nodes, in the order of their ids, so that the least node of a component has its least id; null ids are last.
+    node = F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")
+    keyed = classes.withColumn("key", F.explode(F.array(*(key(*c) for c in choices(classes.count(), differ)))))
+    keyed = keyed.select("key", "fp", node.alias("node")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    of = f"struct<none: boolean, rep: {kind}, fp: bigint>"
+    found = components(keyed.mapInArrow(link, f"a {of}, b {of}")).select(F.col("node.fp").alias("fp"), F.col("component.rep").alias("component"))
+    named = classes.join(found, "fp", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = all_.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(named, ["fp", "salt"], "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))

@@ -1,11 +1,13 @@
 """Training-data operators: nothing that lies beyond a window, a sample or an id is lost."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeloom.llm import langid, pii
+from lakeloom.llm import langid, pii, simhash
 
 
 class Letters:
@@ -56,3 +58,34 @@ def test_least_score_follows_the_number_of_languages():
     got = [corpus_pipeline.least_score(k) for k in (1, 2, 4, 10)]
     assert got[0] == 1 and got == sorted(got, reverse=True) and abs(got[2] - corpus_pipeline.LEAST_SCORE) < 1e-12
     assert all(x > 1 / k for x, k in zip(got[1:], (2, 4, 10), strict=True))
+
+
+def test_near_dedup_by_rows(spark):
+    r = random.Random(4)
+    make = lambda: " ".join(f"v{r.randrange(5000)}" for _ in range(400))
+    near = lambda t: " ".join(["edit", *t.split()[1:]])
+    a, b, c, d, e = (make() for _ in range(5))
+    rows = [(1, a), (5, near(a)), (5, b), (None, c), (None, near(c)), (None, near(a)[:-3]), (7, d), (7, near(d)), (8, e), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    kept = [(x.doc_id, x.text) for x in got.collect()]
+    fp = [simhash.fingerprint(t) for _, t in rows]
+    alike = lambda i, j: bin(fp[i] ^ fp[j]).count("1") <= simhash.DIFFER
+    assert alike(0, 1) and alike(0, 5) and alike(3, 4) and alike(6, 7) and not alike(2, 0)
+    assert got.columns == docs.columns and len(kept) == 6
+    assert {(1, a), (5, b), (8, e), (None, "")} <= set(kept) and sum(i == 7 for i, _ in kept) == 1 and len({c, near(c)} & {t for _, t in kept}) == 1
+
+
+def test_simhash_links_over_null_ids(spark):
+    r = random.Random(6)
+    bits = r.sample(range(64), 8)
+    base = r.getrandbits(64)
+    far = lambda k: base ^ sum(1 << x for x in bits[:k])
+    prints = {"one": far(0), "between": far(4), "two": far(8), "again": far(0) ^ 0xFFFF0000FFFF}
+    d = spark.createDataFrame([(3, "one"), (None, "between"), (4, "two"), (4, "again")], "doc_id long, text string")
+    plain, simhash.fingerprint = simhash.fingerprint, lambda t, words, seed: prints[t]
+    try:
+        with_prints = {x.fingerprint: x.component_id for x in simhash.near_duplicates(d).collect()}
+    finally:
+        simhash.fingerprint = plain
+    assert [with_prints[f"{prints[k]:016x}"] for k in ("one", "between", "two", "again")] == [3, 3, 3, 4]

@@ -37,8 +37,8 @@ class Forest:
     def hash(self, x: np.ndarray, planes: np.ndarray) -> np.ndarray:
         return ((x @ planes > 0) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the rows found when at least `least` are offered."""
+    def candidates(self, queries: np.ndarray, least: int, different: int = 0):
+        """For each query the rows found when at least `least` are offered, a row once for each tree, and `different` rows are among them, or all."""
         n, t, levels = len(queries), len(self.planes), self.bits + 1
         lo, hi = np.zeros((levels, t, n), np.int64), np.zeros((levels, t, n), np.int64)
         for k, (p, s) in enumerate(zip(self.planes, self.strings, strict=True)):
@@ -52,8 +52,11 @@ class Forest:
             enough = np.flatnonzero(offered[:, i] >= least)
             level = int(enough[-1]) if len(enough) else 0
             hit = np.zeros(len(self.x), bool)
-            for k, o in enumerate(self.order):
-                hit[o[lo[level, k, i] : hi[level, k, i]]] = True
+            for level in range(level, -1, -1):
+                for k, o in enumerate(self.order):
+                    hit[o[lo[level, k, i] : hi[level, k, i]]] = True
+                if hit.sum() >= different:
+                    break
             yield np.flatnonzero(hit)
 
 
@@ -104,7 +107,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         x = x.sort_by("vid")
         base, ask = vectors(x["vec"]), vectors(q["qvec"])
         out_q, out_c, out_s = [], [], []
-        for i, c in enumerate(Forest(base, trees).candidates(ask, int(share * len(base)) + keep)):
+        for i, c in enumerate(Forest(base, trees).candidates(ask, int(share * len(base)) + keep, keep)):
             s = base[c] @ ask[i]
             if len(c) > keep:
                 least = np.partition(s, len(s) - keep)[len(s) - keep]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeloom.llm import langid, pii, simhash
+from lakeloom.llm import forest, langid, pii, simhash
 
 
 class Letters:
@@ -89,3 +89,12 @@ def test_simhash_links_over_null_ids(spark):
     finally:
         simhash.fingerprint = plain
     assert [with_prints[f"{prints[k]:016x}"] for k in ("one", "between", "two", "again")] == [3, 3, 3, 4]
+
+
+def test_forest_gives_k_of_few_close_vectors(spark):
+    r = np.random.default_rng(1)
+    close, apart = r.standard_normal(8), r.standard_normal((40, 8))
+    rows = [(i, (close + 1e-6 * i * apart[i % 40]).tolist()) for i in range(1, 9)] + [(10 + i, v.tolist()) for i, v in enumerate(apart)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.nearest(d, d).groupBy("query_id").count().collect()
+    assert len(got) == 48 and {x["count"] for x in got} == {20}

@@ -1,12 +1,17 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. Lines with equal sets are one class; classes of Jaccard similarity 4/5 or more are found
-by prefixes: with the words of a line in one order of rarity, two similar lines share a word among their first few.
-Pairs that meet in such a word pass filters on length, on the word's position and on a parity sketch of 128 bits (each
-word of one line alone can flip one bit), and are verified on the words themselves. Where the shared word is frequent,
-lines meet in two words of a prefix that is one word longer, which similar lines share as well.
-
-Any line that is equal or similar to an earlier one, by id and number, is removed; blank lines stay."""
+A line is the set of its words. Lines with equal sets are one class. A line is removed if an earlier line, by id and
+number, is equal or has a Jaccard similarity of 4/5 or more; blank lines stay. So of each class only the first line is in
+question, and for it only whether any class that begins earlier is similar.
+
+Classes meet by prefixes: with the words of a line in one order of rarity, two similar lines share a word among their
+first few. Where that word is frequent, they meet in two words of a prefix that is one word longer, which similar lines
+share as well; a word that only one line has is no key at all. Lines of one key are held in the order of occurrence and
+compared with those before them, by length, by the word's position and by a parity sketch of 128 bits (a word that only
+one of the lines has flips one bit). A line that has met ENOUGH lines which, by their sketches, are almost certainly similar
+looks no further, so that a group of near copies takes time in proportion to its size; any other line gives all its
+candidates. Candidates are verified on the words themselves. Should all candidates of a line fail that looked no further
+somewhere, a second round looks at everything that meets it. No candidate is dropped unseen."""
 
 from __future__ import annotations
 
@@ -22,12 +27,15 @@ from lakeloom.llm._util import cut, packed_counts, prepare, runs, summed_counts
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
 #: Words are counted in so many hashed buckets; a word is frequent if its bucket has so many lines, or so many times the mean.
-BUCKETS, FREQUENT, MEANS = 1 << 20, 1000, 4
-#: Pairs that a step looks at together; lines that one key compares at once.
+BUCKETS, FREQUENT, MEANS = 1 << 22, 4096, 64
+#: Pairs that a step looks at together.
 STEP = 1 << 20
-#: Slots of a mark for each class in a pair; a slot that is shared only moves more words.
-MARKS = 1 << 22
-SALTS = 16
+#: A candidate is almost certainly similar if it is so many standard deviations of the sketches' estimate on the safe side; so many are enough.
+SURE, ENOUGH = 2.0, 3
+#: Bits that mark classes or keys: eight for each of them, at least and at most so many. A shared bit only moves more rows.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Lines of a class from which on it is joined by broadcast, and how many such classes there can be at most.
+HOT, HOT_CLASSES = 1000, 50_000
 
 
 _random = np.random.default_rng(20)
@@ -102,71 +110,242 @@ def prefix(n, share: int = 1):
     return np.minimum(n, n - -(-UP * n // DOWN) + share)
 
 
-def keys(lines: Lines, count: np.ndarray, frequent: float):
-    """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. Sets of fewer than four words resemble only their equals and have no keys."""
+def scale(count: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: none, one, and eighths of a power of two."""
+    return np.where(count > 1, np.minimum(1 + np.ceil(8 * np.log2(np.maximum(count, 1))), 255), count).astype(np.uint8)
+
+
+def keys(lines: Lines, count: np.ndarray, frequent: int):
+    """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. `count`: scaled counts.
+    Sets of fewer than four words resemble only their equals and have no keys."""
     line = np.repeat(np.arange(len(lines.n)), lines.n)
     often = count[(lines.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
     o = np.lexsort((lines.h, often, line))
-    h, often = lines.h[o], often[o] >= frequent
+    h, often = lines.h[o], often[o]
     pos = np.arange(len(h)) - lines.start[line]
-    large = lines.n[line] >= 4
-    one = large & (pos < prefix(lines.n)[line])
-    at = np.flatnonzero(one & ~often)
+    one = (lines.n[line] >= 4) & (pos < prefix(lines.n)[line]) & (often > 1)
+    at = np.flatnonzero(one & (often < frequent))
     out = [(line[at], h[at], pos[at])]
-    for i in np.flatnonzero(one & often).tolist():  # in pairs with every other word of the longer prefix
-        k, two = line[i], int(prefix(lines.n[line[i]], 2))
-        others = h[lines.start[k] : lines.start[k] + two]
-        others = others[others != h[i]]
-        out.append((np.full(len(others), k), _pair(h[i], others), np.full(len(others), pos[i])))
-    bit = (lines.h >> np.uint64(57)).astype(np.uint64)
+    at = np.flatnonzero(one & (often >= frequent))  # in pairs with every other word of the longer prefix
+    wide = prefix(lines.n, 2)[line[at]]
+    i = np.repeat(at, wide)
+    other = np.arange(len(i)) - np.repeat(np.cumsum(wide) - wide, wide) + lines.start[line[i]]
+    i, other = i[other != i], other[other != i]
+    i, other = i[often[other] > 1], other[often[other] > 1]
+    out.append((line[i], _pair(h[i], h[other]), pos[i]))
+    bit = lines.h >> np.uint64(57)
     flip = np.uint64(1) << (bit & np.uint64(63))
-    halves = [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == k, flip, np.uint64(0)), lines.start) for k in (0, 1)] if len(lines.n) else [np.zeros(0, np.uint64)] * 2
+    halves = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), lines.start) if len(lines.n) else np.zeros(0, np.uint64) for k in (0, 1)]
     return [np.concatenate(x) for x in zip(*out, strict=True)], halves
 
 
-def _pair(word: np.uint64, others: np.ndarray) -> np.ndarray:
-    """A key of an ordered pair: of the shared word and one more."""
+def likely_most(sure: float) -> np.ndarray:
+    """For each number of differing bits of two sketches, how many words differ at most: the estimate and `sure` standard deviations."""
+    even = np.maximum(1 - np.arange(129) / 64, 1e-3)
+    return np.log(even) / np.log(1 - 1 / 64) + sure * np.sqrt(32 * (1 - even**2)) / 2 / even
+
+
+def _pair(word: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Keys of ordered pairs: of the shared word and one more."""
     x = (others ^ (word >> np.uint64(7)) ^ (word << np.uint64(57))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32)) ^ word
 
 
-def meet(table) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs with equal keys that pass the filters; rows are sorted by key and size."""
-    key, n, pos = (table[k].to_numpy() for k in ("key", "n", "pos"))
+def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | None = None):
+    """(line, earlier line, looks no further) in places of `table`, whose rows are sorted by key, id and line number.
+
+    With `probes` (one flag a row) only those lines are compared, and with everything before them."""
+    import pyarrow.compute as pc
+
+    key, n, pos, c1 = (table[k].to_numpy() for k in ("key", "n", "pos", "c1"))
     s1, s2 = (table[k].to_numpy().view(np.uint64) for k in ("s1", "s2"))
-    last = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-    end = np.repeat(last, np.diff(np.concatenate([[0], last])))
-    a, b, at, d = [], [], np.arange(len(key)), 1
+    size = len(key)
+    ids, line = table["id"].combine_chunks(), table["line_no"].to_numpy()
+    new = np.ones(size, bool)  # whether a row is at another place of the corpus than the row before
+    if size > 1:
+        same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
+        new[1:] = ~same | (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    place = np.cumsum(new)
+    o = np.lexsort((np.arange(size), n, s2, s1, c1, key))  # a class that comes again can be neither first nor of use
+    again = np.ones(size, bool)
+    again[o[0]] = False
+    again[o[1:]] = (key[o[1:]] == key[o[:-1]]) & (c1[o[1:]] == c1[o[:-1]]) & (s1[o[1:]] == s1[o[:-1]]) & (s2[o[1:]] == s2[o[:-1]]) & (n[o[1:]] == n[o[:-1]])
+    real = np.flatnonzero(~again)
+    key, n, pos, s1, s2, place = (x[real] for x in (key, n, pos, s1, s2, place))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    start = np.repeat(first, np.diff(np.append(first, len(key))))
+    met, likely = np.zeros(len(key), np.int64), likely_most(sure)
+    at, d, out, held = np.arange(len(key)), 1, [], 0
+    if probes is not None:
+        at = at[probes[real]]
     while len(at):
-        at = at[at + d < end[at]]
-        at = at[UP * n[at + d] <= DOWN * n[at]]  # sizes rise within a key, so those behind are too long as well
-        x, y = at, at + d
+        at = at[at - d >= start[at]]
+        if probes is None:
+            at = at[met[at] < enough]
+        y, x = at, at - d
+        ok = (np.minimum(n[x], n[y]) * DOWN >= UP * np.maximum(n[x], n[y])) & (place[x] != place[y])
+        x, y = x[ok], y[ok]
         need = overlap(n[x] + n[y])
-        ok = 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need
+        ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
         x, y, need = x[ok], y[ok], need[ok]
-        ok = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y]) <= n[x] + n[y] - 2 * need
-        a.append(x[ok])
-        b.append(y[ok])
+        most = n[x] + n[y] - 2 * need
+        far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
+        ok = (far <= most) & ((most > 1) | (n[x] != n[y]))  # classes differ, those of one size in two words
+        x, y, close = x[ok], y[ok], (likely[far] <= most)[ok]
+        met[y] += close
+        out.append((real[y], real[x], (met[y] >= enough) & (x > start[y]) if probes is None else np.zeros(len(y), bool)))
+        held += len(y)
         d += 1
-        if sum(map(len, a)) > STEP:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b = [], []
-    if a:
-        yield np.concatenate(a), np.concatenate(b)
+        if held > STEP:
+            yield [np.concatenate(v) for v in zip(*out, strict=True)]
+            out, held = [], 0
+    if held:
+        yield [np.concatenate(v) for v in zip(*out, strict=True)]
+
+
+def marks_of(df: DataFrame, total: int) -> np.ndarray:
+    """Bits, packed, of all values of the one long column; the bit of x is x modulo their number, a power of two."""
+    import pyarrow as pa
+
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * total).bit_length()))
+    part = 1 << 16  # bits that are sent together
+
+    def mark(batches):
+        m = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            x = b.column(0).to_numpy() & (bits - 1)
+            np.bitwise_or.at(m, x >> 3, np.uint8(1) << (x & 7).astype(np.uint8))
+        parts = m.reshape(-1, part // 8)
+        at = np.flatnonzero(parts.any(1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in at], pa.binary())], names=["part", "bits"])
+
+    def join(batches):
+        got: dict = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got[k] = got.get(k, 0) | np.frombuffer(zlib.decompress(x), np.uint8)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in got.values()], pa.binary())], names=["part", "bits"])
+
+    schema = "part long, bits binary"
+    out = np.zeros((bits // part, part // 8), np.uint8)
+    for r in df.mapInArrow(mark, schema).repartition(min(64, bits // part), "part").mapInArrow(join, schema).collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return out.reshape(-1)
+
 
+def marked(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, first): lines has one row for each line that isn't blank (row, id, line_no, c1, c2) and, with c1 null, one
-    for each row of df with its number of lines; first has for each class with copies or similar classes the earliest
-    such line, as (id, line_no).
+
+@dataclass
+class Join:
+    """One run of the join over the texts of `docs` (id, text)."""
+
+    docs: DataFrame
+    kind: str
+    count: object  # a broadcast of the scaled counts
+    frequent: int
+    enough: int = ENOUGH
+    sure: float = SURE
+
+    def candidates(self, probes: tuple | None = None) -> DataFrame:
+        """(c, id, line_no, d, more): class d is a candidate for the line of class c there, and begins earlier; more: others were not looked at.
+
+        probes: packed bits of classes and of their keys, where only those classes are asked for."""
+        import pyarrow as pa
+
+        spark = self.docs.sparkSession
+        sent, frequent, enough, sure = self.count, self.frequent, self.enough, self.sure
+        asked = spark.sparkContext.broadcast(tuple(zlib.compress(x.tobytes(), 1) for x in probes)) if probes else None
+        unpack = lambda i: np.frombuffer(zlib.decompress(asked.value[i]), np.uint8)
+
+        def emit(batches):
+            c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), {}
+            only = unpack(1) if asked else None
+            for b in batches:
+                x = lines_of(b.column(1).to_pylist())
+                if not len(x.n):
+                    continue
+                ids = b.column(0).to_pylist()
+                c1, c2 = x.classes()
+                (line, key, pos), (s1, s2) = keys(x, c, frequent)
+                fresh = np.zeros(len(x.n), bool)
+                for i, k in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+                    at = (ids[x.text[i]] is not None, ids[x.text[i]], int(x.number[i]))
+                    if k not in seen or at < seen[k]:
+                        fresh[i], seen[k] = True, at
+                if len(seen) > 1 << 18:  # copies that come twice do no harm
+                    seen.clear()
+                ok = fresh[line] if only is None else fresh[line] & marked(only, key.view(np.int64))
+                line, key, pos = line[ok], key[ok], pos[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line])], names=["key", "id", "line_no", "n", "pos", "s1", "s2", "c1"])
+
+        def pair(batches):
+            classes = unpack(0) if asked else None
+            for t in runs(batches, "key"):
+                c1 = t["c1"].to_numpy()
+                for y, x, more in meet(t, enough, sure, None if classes is None else marked(classes, c1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c1[y]), t["id"].take(pa.array(y)).combine_chunks(), t["line_no"].take(pa.array(y)).combine_chunks(), pa.array(c1[x]), pa.array(more)], names=["c", "id", "line_no", "d", "more"])
+
+        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, c1 long")
+        keyed = keyed.repartition(parts_of(spark), "key").sortWithinPartitions("key", "id", "line_no")
+        pairs = keyed.mapInArrow(pair, f"c long, id {self.kind}, line_no long, d long, more boolean")
+        return cut(pairs.groupBy("c", "id", "line_no", "d").agg(F.max("more").alias("more")))
+
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(c, c2, id, line_no, more, similar) of the candidates, and the words of all classes in them (c1, c2, words)."""
+        import pyarrow as pa
+
+        spark = self.docs.sparkSession
+        both = pairs.select("c").union(pairs.select("d"))
+        wanted = spark.sparkContext.broadcast(zlib.compress(marks_of(both, 2 * pairs.count()).tobytes(), 1))
+
+        def words(batches):
+            m, seen = np.frombuffer(zlib.decompress(wanted.value), np.uint8), set()
+            for b in batches:
+                x = lines_of(b.column(0).to_pylist())
+                c1, c2 = x.classes()
+                at = []
+                for i in np.flatnonzero(marked(m, c1)).tolist():
+                    if (k := (int(c1[i]), int(c2[i]))) not in seen:
+                        seen.add(k)
+                        at.append(i)
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([b" ".join(set(x.raw(i).split())) for i in at], pa.binary())], names=["c1", "c2", "words"])
+
+        # F.first: a class has one set of words, but for a clash of 128 bits. Two classes may share c1.
+        text = self.docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").repartition(parts_of(spark), "c1")
+        text = text.groupBy("c1", "c2").agg(F.first("words").alias("words"))
+        split = lambda c: F.split(F.col(c).cast("string"), " ")
+        earlier = text.select(F.col("c1").alias("d"), F.col("c2").alias("d2"), F.col("words").alias("wd"))
+        own = text.select(F.col("c1").alias("c"), "c2", "words")
+        rows = pairs.join(earlier, "d").join(own, "c")
+        rows = rows.where((F.col("d") != F.col("c")) | (F.col("d2") != F.col("c2"))).withColumn("wc", split("words")).withColumn("wd", split("wd"))
+        shared = F.size(F.array_intersect("wc", "wd"))
+        similar = (UP + DOWN) * shared >= UP * (F.size("wc") + F.size("wd"))
+        return rows.select("c", "c2", "id", "line_no", "more", similar.alias("similar")), text
+
+
+def parts_of(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
+    """(lines, near): lines has one row for each line that isn't blank (row, id, line_no, c1, c2) and, with c1 null, one
+    for each row of df with its number of lines; near has (c1, c2, id, line_no) for lines that have an earlier line of
+    another class that is similar; the first line of a class is there if that holds for it.
 
     Texts are read three times: for lines and counts of words, for keys, and for the words of lines in a pair. So words
-    move only for pairs."""
+    move only for pairs. A second round, if there must be one, reads them twice more."""
     import pyarrow as pa
 
     spark = df.sparkSession
     prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["row", "id", "line_no", "c1", "c2", "counts"]
@@ -174,10 +353,17 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def split(batches):
         from pyspark import TaskContext
 
-        row, count = TaskContext.get().partitionId() << 33, np.zeros(BUCKETS, np.uint32)
+        row, count, seen = TaskContext.get().partitionId() << 33, np.zeros(BUCKETS, np.uint32), set()
         for b in batches:
             x = lines_of(b.column(1).to_pylist())
-            np.add.at(count, (x.h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            fresh = np.zeros(len(x.n), bool)
+            for i, k in enumerate(zip(*(v.tolist() for v in x.classes()), strict=True)):
+                if k not in seen:  # copies of a line add nothing to the counts of its words
+                    seen.add(k)
+                    fresh[i] = True
+            if len(seen) > 1 << 18:
+                seen.clear()
+            np.add.at(count, (x.h[np.repeat(fresh, x.n)] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             every, m, k = np.arange(b.num_rows), b.num_rows, len(x.n)
             place = np.concatenate([every, x.text])
             c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in x.classes()]
@@ -189,84 +375,58 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, c1 long, c2 long, counts binary"))
     lines = all_.where("row is not null").drop("counts")
-    count = np.minimum(summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS), 2**32 - 1).astype(np.uint32)
-    frequent = max(FREQUENT, MEANS * float(count.mean()))
-    sent = spark.sparkContext.broadcast(zlib.compress(count.tobytes(), 1))  # at most 4 MB
+    count = summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS)
+    frequent = int(scale(np.array([max(FREQUENT, MEANS * float(count.mean()))]))[0])
+    sent = spark.sparkContext.broadcast(zlib.compress(scale(count).tobytes(), 1))  # at most 4 MB
+    join = Join(docs, kind, sent, frequent, enough, sure)
+
+    pairs = join.candidates()
+    found, _ = join.verified(pairs)
+    found = cut(found.groupBy("c", "c2", "id", "line_no").agg(F.max("similar").alias("similar"), F.max("more").alias("more")))
+    near = found.where("similar").select(F.col("c").alias("c1"), "c2", "id", "line_no")
+    open_ = found.where("more and not similar").select("c")
+    if n := open_.count():
+        near = near.union(second_round(join, pairs, open_, n))
+    return lines, near
+
+
+def second_round(join: Join, pairs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
+    """(c1, c2, id, line_no) of the lines of the classes `open_` for which a similar earlier one is found among all that meet them."""
+    import pyarrow as pa
+
+    spark = join.docs.sparkSession
+    _, text = join.verified(pairs.join(open_.distinct(), "c", "left_semi"))
+    sent, frequent = join.count, join.frequent
 
-    def emit(batches):
-        c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint32), set()
+    def of(batches):
+        c = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for b in batches:
-            x = lines_of(b.column(0).to_pylist())
-            if not len(x.n):
-                continue
-            c1, c2 = x.classes()
-            (line, key, pos), (s1, s2) = keys(x, c, frequent)
-            fresh = np.zeros(len(x.n), bool)
-            for i, k in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
-                if k not in seen:
-                    fresh[i] = True
-                    seen.add(k)
-            if len(seen) > 1 << 19:  # copies that come twice do no harm
-                seen.clear()
-            ok = fresh[line]
-            line, key, pos = line[ok], key[ok], pos[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line])], names=["key", "n", "pos", "s1", "s2", "c1"])
-
-    def pair(batches):
-        for t in runs(batches, "key"):
-            c1 = t["c1"].to_numpy()
-            for x, y in meet(t):
-                low, high = np.minimum(c1[x], c1[y]), np.maximum(c1[x], c1[y])
-                other = low != high
-                if other.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(low[other]), pa.array(high[other])], names=["a", "b"])
-
-    keyed = docs.select("text").mapInArrow(emit, "key long, n int, pos int, s1 long, s2 long, c1 long").repartition(parts, "key").sortWithinPartitions("key", "n")
-    # pairs carry half of each class's 128 bits; the words decide, whatever classes share that half
-    pairs = cut(keyed.mapInArrow(pair, "a long, b long").distinct())
-
-    def marks(batches):
-        m = np.zeros(MARKS, np.int64)
-        for x in batches:
-            m[x.column(0).to_numpy() & (MARKS - 1)] = 1
-        at, counts = packed_counts(m)
-        if at:
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
-
-    marked = summed_counts(pairs.select("a").union(pairs.select("b")).mapInArrow(marks, "chunk long, counts binary"), MARKS) > 0
-    wanted = spark.sparkContext.broadcast(zlib.compress(np.packbits(marked).tobytes(), 1))  # at most 512 KB
-
-    def words(batches):
-        m = np.unpackbits(np.frombuffer(zlib.decompress(wanted.value), np.uint8)).astype(bool)
-        for x in batches:
-            found = lines_of(x.column(0).to_pylist())
-            c1, c2 = found.classes()
-            at = np.flatnonzero(m[c1 & (MARKS - 1)])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([found.raw(i) for i in at.tolist()], pa.binary())], names=["c1", "c2", "words"])
-
-    # F.first: a class has one set of words, but for a clash of 128 bits
-    text = docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").groupBy("c1", "c2").agg(F.first("words").alias("words"))
-    text = text.select("c1", "c2", F.array_distinct(F.array_remove(F.split(F.col("words").cast("string"), r"[\x09-\x0D\x20]+"), "")).alias("words"))
-    left = pairs.join(text.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("wa")), "a").join(text.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    pairs = cut(left.where((UP + DOWN) * shared >= UP * (F.size("wa") + F.size("wb"))).select("a", "a2", "b", "b2"))
-    own = lines.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k"))
-    both = pairs.union(pairs.select("b", "b2", "a", "a2")).toDF("c1", "c2", "d1", "d2")
-    near = both.join(own.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "first"), ["d1", "d2"]).groupBy("c1", "c2").agg(F.min("first").alias("near"))
-    first = own.join(near, ["c1", "c2"], "left").where("k > 1 or near is not null").select("c1", "c2", F.least("first", F.coalesce("near", "first")).alias("first"))
-    return lines, first
-
-
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            (_, key, _), _ = keys(lines_of([x.decode("utf-8", "surrogatepass") for x in b.column(0).to_pylist()]), c, frequent)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    asked = text.join(open_.select(F.col("c").alias("c1")).distinct(), "c1", "left_semi").select("words").mapInArrow(of, "key long").distinct()
+    probes = marks_of(open_, n), marks_of(asked, 16 * n)
+    found, _ = join.verified(join.candidates(probes))
+    return cut(found.where("similar").select(F.col("c").alias("c1"), "c2", "id", "line_no").distinct())
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> DataFrame:
     """One row for each row of df: <id_col>, n_lines, n_removed and removed, the numbers (from 0) of the removed lines in order.
 
     Null texts count as empty, which is one blank line. Null ids come first in the order of lines. Where rows repeat an
-    id, equal lines at one number are none earlier than the other, and both stay."""
-    lines, first = similar_lines(df, id_col, text_col)
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = lines.where("c1 is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["c1", "c2", "salt"])
-    gone = found.where(F.struct("id", "line_no") > F.col("first")).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    id, equal or similar lines at one number are none earlier than the other, and both stay."""
+    lines, near = similar_lines(df, id_col, text_col, enough, sure)
+    real = lines.where("c1 is not null")
+    own = cut(real.groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k")))
+    late = near.select("c1", "c2", F.struct("id", "line_no").alias("first"), F.lit(True).alias("late")).distinct()
+    first = cut(own.join(late, ["c1", "c2", "first"], "left").where("k > 1 or late").withColumn("late", F.coalesce("late", F.lit(False))))
+    bound = max(HOT, real.count() // HOT_CLASSES)
+    hot = F.broadcast(first.where(F.col("k") > bound).drop("k"))  # at most HOT_CLASSES rows
+    there = real.join(hot, ["c1", "c2"], "left").withColumn("hot", F.col("first").isNotNull())
+    rest = first.where(F.col("k") <= bound).drop("k")
+    found = there.where("hot").drop("hot").unionByName(there.where("not hot").drop("hot", "first", "late").join(rest, ["c1", "c2"]))
+    at = F.struct("id", "line_no")
+    gone = found.where((at > F.col("first")) | (at.eqNullSafe(F.col("first")) & F.col("late"))).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     docs = lines.where("c1 is null").select("row", "id", F.col("line_no").alias("n_lines"))
     out = docs.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

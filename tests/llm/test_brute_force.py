@@ -126,8 +126,8 @@ def test_quality(spark):
     assert quality.score(d, quality.train(d.limit(0), labels, "doc_id", "text", "quality", F.lit(True))).where("score <> 0.5").count() == 0
 
 
-@pytest.mark.parametrize("frequent", [1000, 1])
-def test_line_dedup(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "enough", "sure"), [(1000, 2, 2.0), (1, 1, -99.0)])
+def test_line_dedup(spark, monkeypatch, frequent, enough, sure):
     monkeypatch.setattr(linedup, "FREQUENT", frequent)
     monkeypatch.setattr(linedup, "MEANS", 0)
     r = random.Random(3)
@@ -150,11 +150,36 @@ def test_line_dedup(spark, monkeypatch, frequent):
                 if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                     want[i].append(no)
                 seen.append(s)
-    got = {x.doc_id: (x.n_lines, x.removed) for x in linedup.line_dedup(d).collect()}
+    got = {x.doc_id: (x.n_lines, x.removed) for x in linedup.line_dedup(d, enough=enough, sure=sure).collect()}
     assert {k: v[1] for k, v in got.items()} == want
     assert got[500] == (1, []) and linedup.line_dedup(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "enough", "sure"), [(20_000, linedup.ENOUGH, linedup.SURE), (3000, 1, -99.0)])
+def test_line_dedup_of_a_large_group(spark, monkeypatch, n, enough, sure):
+    """Near copies of one line, many of them similar to none but distant ones. With sure = -99 any candidate is trusted to
+    be similar, so that the second round must find what they hide."""
+    rounds = []
+    second = linedup.second_round
+    monkeypatch.setattr(linedup, "second_round", lambda *a: rounds.append(1) or second(*a))
+    r = np.random.default_rng(8)
+    base = np.zeros((n, 90), bool)
+    base[:, :20] = True
+    for _ in range(4):
+        base[np.arange(n), r.integers(0, 20, n)] = False
+        base[np.arange(n), r.integers(20, 90, n)] = True
+    texts = [" ".join(f"w{i}" for i in r.permutation(np.flatnonzero(b))) for b in base]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    size, x, want = base.sum(1), base.astype(np.float32), []
+    for i in range(0, n, 1000):
+        both = x[i : i + 1000] @ x[: i + 1000].T
+        near = 9 * both >= 4 * (size[i : i + 1000, None] + size[None, : i + 1000])
+        want += np.tril(near, i - 1).any(1).tolist()
+    got = linedup.line_dedup(d, enough=enough, sure=sure).select("doc_id", "n_removed").collect()
+    assert {k: bool(v) for k, v in got} == dict(enumerate(want)) and 0 < sum(want) < n
+    assert rounds or sure > 0
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 

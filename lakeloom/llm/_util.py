@@ -38,10 +38,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests), a local one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset and the master is local (tests), a local one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     now = spark.sparkContext.getCheckpointDir()
     if not now:
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = at or "file://" + tempfile.mkdtemp(prefix="lakeloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return (at or now).rstrip("/")
@@ -61,6 +63,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as make it a name that df has no column of, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str | Column) -> Column:
     """crc32 of the id as text modulo 5 is 0. A null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -96,26 +106,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def runs(batches, keys):
-    """Regroups sorted Arrow batches so that no run of equal values of the first column `keys` is cut. One run is held at a time, besides a batch."""
+def runs(batches, keys, least: int = 0):
+    """Regroups sorted Arrow batches so that no run of equal values of the first column `keys` is cut, in tables of `least`
+    rows or more, but for the last. One table is held at a time, besides a batch, and any run that goes on."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    held = []
+    held: list = []
+    rows, begun = 0, 0  # held rows, and those of them before the run that goes on
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
-        last = t[keys][t.num_rows - 1]
-        same = pc.equal(t[keys], last)
-        first = pc.index(same, True).as_py()
-        if held and held[-1][keys][0] != t[keys][0]:
-            yield pa.concat_tables(held)
-            held = []
-        if first > 0:
-            yield pa.concat_tables([*held, t.slice(0, first)])
-            held = []
-        held.append(t.slice(first))
+        first = pc.index(t[keys], t[keys][t.num_rows - 1]).as_py()
+        if first > 0 or held and held[-1][keys][-1] != t[keys][0]:
+            begun = rows + first
+        held.append(t)
+        rows += t.num_rows
+        if begun > least:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, begun)
+            held, rows, begun = [whole.slice(begun)], rows - begun, 0
     if held:
         yield pa.concat_tables(held)
 

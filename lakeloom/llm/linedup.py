@@ -28,22 +28,16 @@ from lakeloom.llm._util import cut, packed_counts, prepare, runs, summed_counts
 UP, DOWN = 4, 5
 #: Words are counted in so many hashed buckets; a word is frequent if its bucket has so many lines, or so many times the mean.
 BUCKETS, FREQUENT, MEANS = 1 << 22, 4096, 64
-#: Pairs that a step looks at together.
-STEP = 1 << 20
+#: Rows and pairs that a step looks at together.
+ROWS, STEP = 1 << 16, 1 << 20
 #: A candidate is almost certainly similar if it is so many standard deviations of the sketches' estimate on the safe side; so many are enough.
-SURE, ENOUGH = 2.0, 3
+SURE, ENOUGH = 3.0, 4
 #: Bits that mark classes or keys: eight for each of them, at least and at most so many. A shared bit only moves more rows.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Lines of a class from which on it is joined by broadcast, and how many such classes there can be at most.
 HOT, HOT_CLASSES = 1000, 50_000
 
 
-_random = np.random.default_rng(20)
-#: A word's hash is the sum of its bytes' numbers times its places' numbers, then mixed; both are random 64-bit tables.
-BYTES, PLACES = (_random.integers(0, 2**64, n, np.uint64) | np.uint64(1) for n in (256, 4096))
-WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -52,19 +46,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lines:
-    """The lines of a batch of texts that aren't blank. The hashes of line i's different words are h[start[i]] to h[start[i] + n[i] - 1], in rising order."""
+    """The lines of a batch of texts that aren't blank. The hashes of line i's different words are h[start[i]] to h[start[i] + n[i] - 1], in any order."""
 
     text: np.ndarray  # the place of the line's text in the batch
     number: np.ndarray
+    t1: np.ndarray  # 64 bits each of a hash of the line as it stands, in small letters
+    t2: np.ndarray
     n: np.ndarray
     start: np.ndarray
     h: np.ndarray
     total: np.ndarray  # lines of each text, blank ones too
-    data: bytes
-    span: tuple[np.ndarray, np.ndarray]
-
-    def raw(self, i: int) -> bytes:
-        return self.data[self.span[0][i] : self.span[1][i]]
+    raw: list[bytes]
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that depend on the set of words only: sums of two mixtures of their hashes."""
@@ -73,31 +65,30 @@ class Lines:
         return tuple(np.add.reduceat(x, self.start).view(np.int64) for x in (self.h, _mix(self.h ^ np.uint64(0x9E3779B97F4A7C15))))
 
 
-def lines_of(texts: list[str | None]) -> Lines:
-    """Words are split at ASCII white space, capital A-Z made small; a line is the set of its words."""
-    each = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = b"\n".join(each)
-    buf = np.frombuffer(data, np.uint8)
-    total = np.array([x.count(b"\n") + 1 for x in each], np.int64)
-    black = ~WHITE[buf]
-    edge = np.diff(np.concatenate([[False], black, [False]]).astype(np.int8))
-    a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = z - a
-    first = np.cumsum(size) - size
-    pos = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = _mix(np.add.reduceat(BYTES[buf[black]] * PLACES[(pos + pos // 4096 * 1021) & 4095], first) + size.astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
-    ends = np.append(np.flatnonzero(buf == 10), len(buf))
-    line = np.searchsorted(ends, a)
-    o = np.lexsort((h, line))
-    h, line = h[o], line[o]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    at = np.flatnonzero(np.diff(line, prepend=-1))
-    full = line[at]
-    before = np.cumsum(total) - total
-    text = np.searchsorted(before, full, side="right") - 1
-    return Lines(text, full - before[text] if len(full) else full, np.diff(np.append(at, len(h))), at, h, total, data, (np.concatenate([[0], ends[:-1] + 1])[full], ends[full]))
+def lines_of(texts: list[str | None], want=None) -> Lines:
+    """Words are split at ASCII white space, capital A-Z made small; a line is the set of its words.
+
+    want(hash, text's place, number): whether a line is to be split; others are left out."""
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    text, number, total, raw, hashes, words = [], [], [], [], [], []
+    for i, t in enumerate(texts):
+        lines = (t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+        total.append(len(lines))
+        for k, line in enumerate(lines):
+            if not line or line.isspace():
+                continue
+            d = xxh3_128_digest(line)
+            if want is None or want(d, i, k):
+                text.append(i)
+                number.append(k)
+                hashes.append(d)
+                raw.append(line)
+                words.append(b"".join(map(xxh64_digest, set(line.split()))))
+    h = np.frombuffer(b"".join(words), "<u8")
+    n = np.fromiter(map(len, words), np.int64, len(words)) // 8
+    t1, t2 = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2).T
+    return Lines(np.array(text, np.int64), np.array(number, np.int64), t1, t2, n, np.cumsum(n) - n, h, np.array(total, np.int64), raw)
 
 
 def overlap(sizes):
@@ -115,12 +106,20 @@ def scale(count: np.ndarray) -> np.ndarray:
     return np.where(count > 1, np.minimum(1 + np.ceil(8 * np.log2(np.maximum(count, 1))), 255), count).astype(np.uint8)
 
 
+def by_rarity(lines: Lines, line: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The order of words by line, scaled count and hash: sorted by the first 64 bits of these, and by all if that leaves a tie."""
+    short = (line.astype(np.uint64) << np.uint64(40)) | (often.astype(np.uint64) << np.uint64(32)) | (lines.h >> np.uint64(32))
+    o = np.argsort(short)
+    x = short[o]
+    return o if len(lines.n) < 1 << 24 and not (x[1:] == x[:-1]).any() else np.lexsort((lines.h, often, line))
+
+
 def keys(lines: Lines, count: np.ndarray, frequent: int):
     """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. `count`: scaled counts.
     Sets of fewer than four words resemble only their equals and have no keys."""
     line = np.repeat(np.arange(len(lines.n)), lines.n)
     often = count[(lines.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    o = np.lexsort((lines.h, often, line))
+    o = by_rarity(lines, line, often)
     h, often = lines.h[o], often[o]
     pos = np.arange(len(h)) - lines.start[line]
     one = (lines.n[line] >= 4) & (pos < prefix(lines.n)[line]) & (often > 1)
@@ -157,7 +156,7 @@ def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | N
     With `probes` (one flag a row) only those lines are compared, and with everything before them."""
     import pyarrow.compute as pc
 
-    key, n, pos, c1 = (table[k].to_numpy() for k in ("key", "n", "pos", "c1"))
+    key, n, pos, t1 = (table[k].to_numpy() for k in ("key", "n", "pos", "t1"))
     s1, s2 = (table[k].to_numpy().view(np.uint64) for k in ("s1", "s2"))
     size = len(key)
     ids, line = table["id"].combine_chunks(), table["line_no"].to_numpy()
@@ -166,10 +165,10 @@ def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | N
         same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
         new[1:] = ~same | (line[1:] != line[:-1]) | (key[1:] != key[:-1])
     place = np.cumsum(new)
-    o = np.lexsort((np.arange(size), n, s2, s1, c1, key))  # a class that comes again can be neither first nor of use
+    o = np.lexsort((t1, key))  # stable; a line that comes again is known for a copy, and of no use
     again = np.ones(size, bool)
     again[o[0]] = False
-    again[o[1:]] = (key[o[1:]] == key[o[:-1]]) & (c1[o[1:]] == c1[o[:-1]]) & (s1[o[1:]] == s1[o[:-1]]) & (s2[o[1:]] == s2[o[:-1]]) & (n[o[1:]] == n[o[:-1]])
+    again[o[1:]] = (key[o[1:]] == key[o[:-1]]) & (t1[o[1:]] == t1[o[:-1]]) & (s1[o[1:]] == s1[o[:-1]]) & (s2[o[1:]] == s2[o[:-1]]) & (n[o[1:]] == n[o[:-1]])
     real = np.flatnonzero(~again)
     key, n, pos, s1, s2, place = (x[real] for x in (key, n, pos, s1, s2, place))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -252,9 +251,9 @@ class Join:
     sure: float = SURE
 
     def candidates(self, probes: tuple | None = None) -> DataFrame:
-        """(c, id, line_no, d, more): class d is a candidate for the line of class c there, and begins earlier; more: others were not looked at.
+        """(c, id, line_no, d, more): a line of hash d (t1) is a candidate for the line of hash c there, and comes earlier; more: others were not looked at.
 
-        probes: packed bits of classes and of their keys, where only those classes are asked for."""
+        probes: packed bits of lines and of their keys, where only those lines are asked for."""
         import pyarrow as pa
 
         spark = self.docs.sparkSession
@@ -266,37 +265,41 @@ class Join:
             c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), {}
             only = unpack(1) if asked else None
             for b in batches:
-                x = lines_of(b.column(1).to_pylist())
-                if not len(x.n):
-                    continue
                 ids = b.column(0).to_pylist()
-                c1, c2 = x.classes()
-                (line, key, pos), (s1, s2) = keys(x, c, frequent)
-                fresh = np.zeros(len(x.n), bool)
-                for i, k in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
-                    at = (ids[x.text[i]] is not None, ids[x.text[i]], int(x.number[i]))
-                    if k not in seen or at < seen[k]:
-                        fresh[i], seen[k] = True, at
+
+                def first(d, i, k, ids=ids):
+                    """Whether this task hasn't met the line yet, or not so early in the corpus."""
+                    at = (ids[i] is not None, ids[i], k)
+                    if d in seen and not at < seen[d]:
+                        return False
+                    seen[d] = at
+                    return True
+
+                x = lines_of(b.column(1).to_pylist(), first)
                 if len(seen) > 1 << 18:  # copies that come twice do no harm
                     seen.clear()
-                ok = fresh[line] if only is None else fresh[line] & marked(only, key.view(np.int64))
-                line, key, pos = line[ok], key[ok], pos[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(c1[line])], names=["key", "id", "line_no", "n", "pos", "s1", "s2", "c1"])
+                if not len(x.n):
+                    continue
+                (line, key, pos), (s1, s2) = keys(x, c, frequent)
+                if only is not None:
+                    ok = marked(only, key.view(np.int64))
+                    line, key, pos = line[ok], key[ok], pos[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(x.t1[line])], names=["key", "id", "line_no", "n", "pos", "s1", "s2", "t1"])
 
         def pair(batches):
-            classes = unpack(0) if asked else None
-            for t in runs(batches, "key"):
-                c1 = t["c1"].to_numpy()
-                for y, x, more in meet(t, enough, sure, None if classes is None else marked(classes, c1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c1[y]), t["id"].take(pa.array(y)).combine_chunks(), t["line_no"].take(pa.array(y)).combine_chunks(), pa.array(c1[x]), pa.array(more)], names=["c", "id", "line_no", "d", "more"])
+            lines = unpack(0) if asked else None
+            for t in runs(batches, "key", ROWS):
+                t1 = t["t1"].to_numpy()
+                for y, x, more in meet(t, enough, sure, None if lines is None else marked(lines, t1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(t1[y]), t["id"].take(pa.array(y)).combine_chunks(), t["line_no"].take(pa.array(y)).combine_chunks(), pa.array(t1[x]), pa.array(more)], names=["c", "id", "line_no", "d", "more"])
 
-        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, c1 long")
+        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, t1 long")
         keyed = keyed.repartition(parts_of(spark), "key").sortWithinPartitions("key", "id", "line_no")
         pairs = keyed.mapInArrow(pair, f"c long, id {self.kind}, line_no long, d long, more boolean")
         return cut(pairs.groupBy("c", "id", "line_no", "d").agg(F.max("more").alias("more")))
 
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(c, c2, id, line_no, more, similar) of the candidates, and the words of all classes in them (c1, c2, words)."""
+        """(c, id, line_no, more, similar) of the candidates, and the words of all lines in them (t1, t2, words)."""
         import pyarrow as pa
 
         spark = self.docs.sparkSession
@@ -304,31 +307,33 @@ class Join:
         wanted = spark.sparkContext.broadcast(zlib.compress(marks_of(both, 2 * pairs.count()).tobytes(), 1))
 
         def words(batches):
-            m, seen = np.frombuffer(zlib.decompress(wanted.value), np.uint8), set()
+            m, seen = zlib.decompress(wanted.value), set()
+            last = 8 * len(m) - 1
+
+            def asked(d, i, k):
+                x = int.from_bytes(d[:8], "little") & last
+                if not m[x >> 3] >> (x & 7) & 1 or d in seen:
+                    return False
+                seen.add(d)
+                return True
+
             for b in batches:
-                x = lines_of(b.column(0).to_pylist())
-                c1, c2 = x.classes()
-                at = []
-                for i in np.flatnonzero(marked(m, c1)).tolist():
-                    if (k := (int(c1[i]), int(c2[i]))) not in seen:
-                        seen.add(k)
-                        at.append(i)
+                x = lines_of(b.column(0).to_pylist(), asked)
                 if len(seen) > 1 << 18:
                     seen.clear()
-                if at:
-                    yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array([b" ".join(set(x.raw(i).split())) for i in at], pa.binary())], names=["c1", "c2", "words"])
+                if len(x.n):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.t1), pa.array(x.t2), pa.array([b" ".join(set(r.split())) for r in x.raw], pa.binary())], names=["t1", "t2", "words"])
 
-        # F.first: a class has one set of words, but for a clash of 128 bits. Two classes may share c1.
-        text = self.docs.select("text").mapInArrow(words, "c1 long, c2 long, words binary").repartition(parts_of(spark), "c1")
-        text = text.groupBy("c1", "c2").agg(F.first("words").alias("words"))
+        # F.first: of one hash of 128 bits there is one text. Two texts may share t1: then both are compared.
+        text = self.docs.select("text").mapInArrow(words, "t1 long, t2 long, words binary").repartition(parts_of(spark), "t1")
+        text = text.groupBy("t1", "t2").agg(F.first("words").alias("words"))
         split = lambda c: F.split(F.col(c).cast("string"), " ")
-        earlier = text.select(F.col("c1").alias("d"), F.col("c2").alias("d2"), F.col("words").alias("wd"))
-        own = text.select(F.col("c1").alias("c"), "c2", "words")
-        rows = pairs.join(earlier, "d").join(own, "c")
-        rows = rows.where((F.col("d") != F.col("c")) | (F.col("d2") != F.col("c2"))).withColumn("wc", split("words")).withColumn("wd", split("wd"))
+        earlier = text.select(F.col("t1").alias("d"), F.col("words").alias("wd"))
+        own = text.select(F.col("t1").alias("c"), F.col("words").alias("wc"))
+        rows = pairs.join(earlier, "d").join(own, "c").withColumn("wc", split("wc")).withColumn("wd", split("wd"))
         shared = F.size(F.array_intersect("wc", "wd"))
         similar = (UP + DOWN) * shared >= UP * (F.size("wc") + F.size("wd"))
-        return rows.select("c", "c2", "id", "line_no", "more", similar.alias("similar")), text
+        return rows.select("c", "id", "line_no", "more", similar.alias("similar")), text
 
 
 def parts_of(spark) -> int:
@@ -336,19 +341,19 @@ def parts_of(spark) -> int:
 
 
 def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
-    """(lines, near): lines has one row for each line that isn't blank (row, id, line_no, c1, c2) and, with c1 null, one
-    for each row of df with its number of lines; near has (c1, c2, id, line_no) for lines that have an earlier line of
-    another class that is similar; the first line of a class is there if that holds for it.
+    """(lines, near): lines has one row for each line that isn't blank (row, id, line_no, c1, c2, t1) and, with c1 null, one
+    for each row of df with its number of lines; near has (t1, id, line_no) of lines that have an earlier line that is
+    similar; of lines with equal sets of words, the first is there if that holds for it.
 
     Texts are read three times: for lines and counts of words, for keys, and for the words of lines in a pair. So words
-    move only for pairs. A second round, if there must be one, reads them twice more."""
+    move only for pairs. A second round, if there must be one, reads them three times more."""
     import pyarrow as pa
 
     spark = df.sparkSession
     prepare(spark)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["row", "id", "line_no", "c1", "c2", "counts"]
+    names = ["row", "id", "line_no", "c1", "c2", "t1", "counts"]
 
     def split(batches):
         from pyspark import TaskContext
@@ -357,7 +362,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             x = lines_of(b.column(1).to_pylist())
             fresh = np.zeros(len(x.n), bool)
-            for i, k in enumerate(zip(*(v.tolist() for v in x.classes()), strict=True)):
+            for i, k in enumerate(zip(x.t1.tolist(), x.t2.tolist(), strict=True)):
                 if k not in seen:  # copies of a line add nothing to the counts of its words
                     seen.add(k)
                     fresh[i] = True
@@ -366,14 +371,14 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             np.add.at(count, (x.h[np.repeat(fresh, x.n)] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
             every, m, k = np.arange(b.num_rows), b.num_rows, len(x.n)
             place = np.concatenate([every, x.text])
-            c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in x.classes()]
+            c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in (*x.classes(), x.t1)]
             yield pa.RecordBatch.from_arrays([pa.array(row + place), b.column(0).take(pa.array(place)), pa.array(np.concatenate([x.total, x.number])), *c, pa.nulls(m + k, pa.binary())], names=names)
             row += m
         chunks, counts = packed_counts(count)
         if k := len(chunks):
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(counts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), *[pa.nulls(k, pa.int64())] * 3, pa.array(counts, pa.binary())], names=names)
 
-    all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, c1 long, c2 long, counts binary"))
+    all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, c1 long, c2 long, t1 long, counts binary"))
     lines = all_.where("row is not null").drop("counts")
     count = summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS)
     frequent = int(scale(np.array([max(FREQUENT, MEANS * float(count.mean()))]))[0])
@@ -382,8 +387,8 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = join.candidates()
     found, _ = join.verified(pairs)
-    found = cut(found.groupBy("c", "c2", "id", "line_no").agg(F.max("similar").alias("similar"), F.max("more").alias("more")))
-    near = found.where("similar").select(F.col("c").alias("c1"), "c2", "id", "line_no")
+    found = cut(found.groupBy("c", "id", "line_no").agg(F.max("similar").alias("similar"), F.max("more").alias("more")))
+    near = found.where("similar").select(F.col("c").alias("t1"), "id", "line_no")
     open_ = found.where("more and not similar").select("c")
     if n := open_.count():
         near = near.union(second_round(join, pairs, open_, n))
@@ -391,7 +396,7 @@ def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def second_round(join: Join, pairs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, id, line_no) of the lines of the classes `open_` for which a similar earlier one is found among all that meet them."""
+    """(t1, id, line_no) of the lines of hash `open_` for which a similar earlier one is found among all that meet them."""
     import pyarrow as pa
 
     spark = join.docs.sparkSession
@@ -401,32 +406,32 @@ def second_round(join: Join, pairs: DataFrame, open_: DataFrame, n: int) -> Data
     def of(batches):
         c = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for b in batches:
-            (_, key, _), _ = keys(lines_of([x.decode("utf-8", "surrogatepass") for x in b.column(0).to_pylist()]), c, frequent)
+            (_, key, _), _ = keys(lines_of([x.decode("utf-8", "replace") for x in b.column(0).to_pylist()]), c, frequent)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    asked = text.join(open_.select(F.col("c").alias("c1")).distinct(), "c1", "left_semi").select("words").mapInArrow(of, "key long").distinct()
+    asked = text.join(open_.select(F.col("c").alias("t1")).distinct(), "t1", "left_semi").select("words").mapInArrow(of, "key long").distinct()
     probes = marks_of(open_, n), marks_of(asked, 16 * n)
     found, _ = join.verified(join.candidates(probes))
-    return cut(found.where("similar").select(F.col("c").alias("c1"), "c2", "id", "line_no").distinct())
+    return cut(found.where("similar").select(F.col("c").alias("t1"), "id", "line_no").distinct())
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> DataFrame:
     """One row for each row of df: <id_col>, n_lines, n_removed and removed, the numbers (from 0) of the removed lines in order.
 
     Null texts count as empty, which is one blank line. Null ids come first in the order of lines. Where rows repeat an
-    id, equal or similar lines at one number are none earlier than the other, and both stay."""
+    id, equal or similar lines at one number are none earlier than the other, and both stay. Other columns are not read."""
     lines, near = similar_lines(df, id_col, text_col, enough, sure)
     real = lines.where("c1 is not null")
-    own = cut(real.groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k")))
-    late = near.select("c1", "c2", F.struct("id", "line_no").alias("first"), F.lit(True).alias("late")).distinct()
-    first = cut(own.join(late, ["c1", "c2", "first"], "left").where("k > 1 or late").withColumn("late", F.coalesce("late", F.lit(False))))
+    own = cut(real.groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k")).where("k > 1"))
     bound = max(HOT, real.count() // HOT_CLASSES)
-    hot = F.broadcast(first.where(F.col("k") > bound).drop("k"))  # at most HOT_CLASSES rows
-    there = real.join(hot, ["c1", "c2"], "left").withColumn("hot", F.col("first").isNotNull())
-    rest = first.where(F.col("k") <= bound).drop("k")
-    found = there.where("hot").drop("hot").unionByName(there.where("not hot").drop("hot", "first", "late").join(rest, ["c1", "c2"]))
-    at = F.struct("id", "line_no")
-    gone = found.where((at > F.col("first")) | (at.eqNullSafe(F.col("first")) & F.col("late"))).groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    hot = F.broadcast(own.where(F.col("k") > bound).drop("k"))  # at most HOT_CLASSES rows
+    there = real.join(hot, ["c1", "c2"], "left")
+    rest = own.where(F.col("k") <= bound).drop("k")
+    copies = there.where("first is not null").unionByName(there.where("first is null").drop("first").join(rest, ["c1", "c2"]))
+    copies = copies.where(F.struct("id", "line_no") > F.col("first")).select("row", "line_no")
+    late = near.select(F.col("t1").alias("t"), F.col("id").alias("at"), F.col("line_no").alias("no")).distinct()
+    late = real.join(late, F.expr("t1 = t AND line_no = no AND id <=> at")).select("row", "line_no")
+    gone = copies.union(late).groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     docs = lines.where("c1 is null").select("row", "id", F.col("line_no").alias("n_lines"))
     out = docs.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

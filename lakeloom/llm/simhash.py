@@ -1,8 +1,11 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Equal fingerprints are one class. Classes are dealt out by bits: a 64-bit fingerprint is cut into blocks, and two that
-differ in at most `differ` bits agree in some choice of blocks, so all classes that agree in one choice meet in one
-group. Within a group, fingerprints are sorted by their rank in the Gray code, which puts those with common bits side by
+Equal fingerprints are one class. Up to GROUP classes are one index. More are dealt out: a 64-bit fingerprint is cut into
+blocks, and two that differ in at most `differ` bits agree in some choice of blocks, so it is enough that all classes
+that agree in one choice, in so many bits of it as make groups of about GROUP classes, meet in one index. A group that is
+much larger, as its bits are common, is dealt out once more by whole blocks.
+
+Within a group, fingerprints are sorted by their rank in the Gray code, which puts those with common bits side by
 side. A node of the index has the bits that all below it share, less those that a node above has already; a search
 descends all levels at once, adds up differences in shared bits, and drops a whole node when they exceed the limit. A
 group gives edges that connect it, not its pairs."""
@@ -10,7 +13,7 @@ group gives edges that connect it, not its pairs."""
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,9 +23,9 @@ from lakeloom.llm._util import components, cut, prepare, runs
 
 DIFFER, WORDS, SEED = 4, 4, 42
 #: Fingerprints below a leaf, children of a node, and query and node pairs that a step looks at together.
-LEAF, FAN, STEP = 16, 8, 1 << 20
-#: Classes of a group that the number of blocks aims at.
-GROUP = 4096
+LEAF, FAN, STEP = 8, 8, 1 << 20
+#: Classes of a group that the bits of a choice aim at, and the size from which on a group is dealt out once more.
+GROUP, LARGE = 4096, 1 << 16
 #: Rows of a document whose bits are added up at once.
 AT_ONCE = 1 << 16
 SALTS = 16
@@ -56,7 +59,8 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels from the top; each has masks of newly shared bits, their values, and where its children lie."""
+    """Levels from the top; each has masks of newly shared bits, their values, and where its children lie. A search counts the
+    nodes and values that it has looked at in `seen` and those dropped with a node above them in `dropped`."""
 
     def __init__(self, values: np.ndarray):
         self.order = np.argsort(gray_rank(values), kind="stable")
@@ -77,21 +81,26 @@ class GrayIndex:
             self.levels.append((shared & ~above, a, lo, hi))
             above = np.repeat(shared, hi - lo)
         self.rest = ~above  # bits of a fingerprint that no node above it shares
+        self.seen = self.dropped = 0
 
     def search(self, queries: np.ndarray, differ: int):
         """(query, position) of all values within the limit, in pieces."""
-        for i in range(0, len(queries), max(1, STEP // max(1, len(self.values) // LEAF))):
-            q = np.arange(i, min(len(queries), i + max(1, STEP // max(1, len(self.values) // LEAF))))
+        many = max(1, STEP // max(1, len(self.values)))
+        for k in range(0, len(queries), many):
+            q = i = np.arange(k, min(len(queries), k + many))
             top = len(self.levels[0][0])
             q, node, seen = np.repeat(q, top), np.tile(np.arange(top), len(q)), np.zeros(len(q) * top, np.int64)
             for masks, bits, lo, hi in self.levels:
                 seen = seen + np.bitwise_count((queries[q] ^ bits[node]) & masks[node])
                 near = seen <= differ
+                self.seen += len(q)
                 q, node, seen = q[near], node[near], seen[near]
                 wide = hi[node] - lo[node]
                 first = np.cumsum(wide) - wide
                 child = np.arange(int(wide.sum())) + np.repeat(lo[node] - first, wide)
                 q, seen, node = np.repeat(q, wide), np.repeat(seen, wide), child
+            self.seen += len(q)
+            self.dropped += (int(i[-1]) - int(i[0]) + 1) * len(self.values) - len(q)
             near = seen + np.bitwise_count((queries[q] ^ self.values[node]) & self.rest[node]) <= differ
             yield q[near], self.order[node[near]]
 
@@ -114,17 +123,20 @@ def connect(values: np.ndarray, differ: int) -> np.ndarray:
     return root
 
 
-def choices(n: int, differ: int = DIFFER, group: int = GROUP) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number, blocks as (low bit, width)) of each choice: as many blocks as bring groups near `group` classes of n."""
+def choices(n: int, differ: int = DIFFER, group: int = GROUP) -> list[list[tuple[int, int]]]:
+    """Blocks of each choice as (low bit, width): none up to `group` classes, then as many bits as bring groups near it."""
+    if n <= group:
+        return [[]]
+    bits = ceil(log2(n / group))
     for agree in range(1, 5):
         blocks = differ + agree
-        at = [round(i * 64 / blocks) for i in range(blocks + 1)]
-        if n / 2 ** (64 * agree / blocks) <= group or comb(blocks + 1, agree + 1) > 60:
+        if bits <= agree * (64 // blocks) or comb(blocks + 1, agree + 1) > 60:
             break
-    return [(k, [(at[i], at[i + 1] - at[i]) for i in c]) for k, c in enumerate(combinations(range(blocks), agree))]
+    width = min(64 // blocks, -(-bits // agree))
+    return [[(round(i * 64 / blocks), width) for i in c] for c in combinations(range(blocks), agree)]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = DIFFER, words: int = WORDS, seed: int = SEED) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", differ: int = DIFFER, words: int = WORDS, seed: int = SEED, group: int = GROUP, large: int = LARGE) -> DataFrame:
     """One row for each row of df: <id_col>, fingerprint (16 hexadecimal digits) and component_id, the smallest id that can be reached over links.
 
     Null texts count as empty and, like texts without words, have fingerprint zero. A null id is in the component of its
@@ -144,7 +156,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(all_.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
 
     def key(number, blocks):
-        out, used = F.lit(number << 48).cast("long"), 0
+        out, used = F.lit(number << 52).cast("long"), 0
         for low, width in blocks:
             out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")), used))
             used += width
@@ -167,8 +179,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Classes are the nodes, in the order of their ids, so that the least node of a component has its least id; null ids are last.
     node = F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")
-    keyed = classes.withColumn("key", F.explode(F.array(*(key(*c) for c in choices(classes.count(), differ)))))
-    keyed = keyed.select("key", "fp", node.alias("node")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    keys = lambda c: F.explode(F.array(*(key(i, x) for i, x in enumerate(c))))
+    keyed = classes.select(keys(choices(classes.count(), differ, group)).alias("key"), "fp", node.alias("node"))
+    size = keyed.groupBy("key").count().where(F.col("count") > large).select("key")  # at most a row for each `large` rows
+    again = [[(round(i * 64 / (differ + 1)), 64 // (differ + 1))] for i in range(differ + 1)]
+    if size.limit(1).count():
+        keyed = keyed.join(F.broadcast(size.withColumn("big", F.lit(True))), "key", "left")
+        more = keyed.where("big").select("key", keys(again).alias("more"), "fp", "node").select(F.xxhash64("key", "more").alias("key"), "fp", "node")
+        keyed = keyed.where("big is null").select("key", "fp", "node").union(more)
+    keyed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     of = f"struct<none: boolean, rep: {kind}, fp: bigint>"
     found = components(keyed.mapInArrow(link, f"a {of}, b {of}")).select(F.col("node.fp").alias("fp"), F.col("component.rep").alias("component"))
     named = classes.join(found, "fp", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -50,6 +50,8 @@ class Encoder:
         self.leaf = leaf
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.get = _Memo(self).__getitem__
+        self.pieces = self.pattern.findall  # in turn, of a text that `divides`
+        self.joins = 0  # halves that were joined
 
     def bpe(self, raw: bytes) -> list[int]:
         """One pre-token's bytes, merged by the model alone."""
@@ -96,12 +98,16 @@ class Encoder:
         flush()
         return b"".join(x.astype("<u4").tobytes() for x in out)
 
+    def divides(self, text: str) -> bool:
+        """Whether a text may be cut in pieces."""
+        return not ODD_SPACE.search(text)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if ODD_SPACE.search(text):
             return self.long(text) if self.byte_level and len(text) > self.leaf else struct.pack(f"<{len(i := self.t.encode(text, add_special_tokens=False).ids)}I", *i)
-        return b"".join(map(self.get, self.pattern.findall(text)))
+        return b"".join(map(self.get, self.pieces(text)))
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id of a byte-level vocabulary."""

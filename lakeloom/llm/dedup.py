@@ -38,15 +38,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return found.withColumn("first", first).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("first") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def _has_map(kind) -> bool:
+    """Whether values of a type hold a map or a variant, which have no order."""
+    return kind.typeName() in ("map", "variant") or any(_has_map(k) for k in ([f.dataType for f in kind.fields] if kind.typeName() == "struct" else [kind.elementType] if kind.typeName() == "array" else []))
+
+
 def winners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One whole row of df, all columns, for each different text: the row with the largest id (ties: the largest of the other columns).
+    """One whole row of df, all columns, for each different text: the row with the largest id (ties: the largest of the other columns; maps are ordered by their JSON).
 
-    Null and empty texts are equal. Copies are combined in tasks first, then in salted digest groups, then over the salts."""
+    Null and empty texts are equal. Copies are combined in tasks first, then in salted digest groups, then over the salts.
+    Columns may have any names and types. An empty table gives no rows."""
     prepare(df.sparkSession)
     rest = [c for c in df.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)), F.col(text_col).isNotNull().alias("real"))
-    rows = df.select(order.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("row.id"), F.lit(salts)).cast("int"))
-    local = rows.groupBy("digest", "salt", "text").agg(F.max("row").alias("row"))
-    whole = local.groupBy("digest", "text").agg(F.max("row").alias("row"))
-    columns = {id_col: F.col("row.id"), text_col: F.when(F.col("row.real"), F.col("text")), **{c: F.col(f"row.c{i}") for i, c in enumerate(rest)}}
+    maps = {c for c in rest if _has_map(df.schema[c].dataType)}
+    first = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if c in maps else F.col(f"`{c}`") for c in rest]
+    order = F.struct(F.col(id_col).alias("id"), *(v.alias(f"c{i}") for i, v in enumerate(first)), F.col(text_col).isNotNull().alias("real"))
+    rows = df.select(order.alias("row"), F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{rest.index(c)}") for c in rest if c in maps)).alias("maps"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("row.id"), F.lit(salts)).cast("int"))
+    largest = [F.max("row").alias("row"), *([F.max_by("maps", "row").alias("maps")] if maps else [])]
+    local = rows.groupBy("digest", "salt", "text").agg(*largest)
+    whole = local.groupBy("digest", "text").agg(*largest)
+    columns = {id_col: F.col("row.id"), text_col: F.when(F.col("row.real"), F.col("text")), **{c: F.col(f"{'maps' if c in maps else 'row'}.c{i}") for i, c in enumerate(rest)}}
     return whole.select(*(columns[c].alias(c) for c in df.columns))

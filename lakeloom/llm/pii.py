@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -299,10 +300,11 @@ def added_spans(texts: list[str | None], tagger: Tagger | None, base: list[list[
             else:
                 last = [kind, i, i + 1]
                 spans.append(last)
-        taken = [(a, b) for _, a, b in base[k]]
+        taken = sorted((a, b) for _, a, b in base[k])
+        begins, ends = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]).tolist()
         for kind, a, b in spans:
-            s = texts[k][a:b]
-            if TRIGGER.search(s) and plausible(kind, s) and not any(a < d and c < b for c, d in taken):
+            s, before = texts[k][a:b], bisect_left(begins, b)  # base spans that begin before this one ends
+            if TRIGGER.search(s) and plausible(kind, s) and not (before and ends[before - 1] > a):
                 out[k].append((kind, a, b))
     return out
 
@@ -311,19 +313,18 @@ def find(df: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col:
     """One row for each row of df: <id_col> and base and spans, arrays of (kind, start, end) by kind as in KINDS, then start.
 
     Null texts count as empty and have no spans. Null and repeated ids pass through; other columns are not read."""
-    out = with_spans(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), tagger, "_text")
-    return out.select(F.col("_id").alias(id_col), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    out = with_spans(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tagger, "text", "base", "spans")
+    return out.select(F.col("id").alias(id_col), "base", "spans")
 
 
-def with_spans(df: DataFrame, tagger: Tagger | None, text_col: str) -> DataFrame:
-    """df with the columns _base and _spans."""
+def with_spans(df: DataFrame, tagger: Tagger | None, text_col: str, base_as: str, spans_as: str) -> DataFrame:
+    """df with two more columns, the base spans and all spans."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     prepare(df.sparkSession)
-    df = df.drop("_base", "_spans")
     one = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*df.schema.fields, T.StructField("_base", T.ArrayType(one)), T.StructField("_spans", T.ArrayType(one))])
+    schema = T.StructType([*df.schema.fields, T.StructField(base_as, T.ArrayType(one)), T.StructField(spans_as, T.ArrayType(one))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     at = df.columns.index(text_col)
     column = lambda spans: pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(x)] for x in spans], kind)
@@ -333,19 +334,35 @@ def with_spans(df: DataFrame, tagger: Tagger | None, text_col: str) -> DataFrame
             texts = b.column(at).to_pylist()
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, tagger, base)
-            yield pa.RecordBatch.from_arrays([*b.columns, column(base), column([x + y for x, y in zip(base, more, strict=True)])], names=[*b.schema.names, "_base", "_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, column(base), column([x + y for x, y in zip(base, more, strict=True)])], names=[*b.schema.names, base_as, spans_as])
 
     return df.mapInArrow(run, schema)
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with its spans replaced by their kinds; overlapping spans become one, named by the earliest."""
+    out, at = [], 0
+    for a, b, k in sorted((a, b, KINDS[k]) for k, a, b in spans):
+        if a >= at:
+            out += [text[at:a], f"<{k}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def mask(df: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
-    """df with each span of its texts replaced by its kind in angle brackets; overlapping spans become one, named by the earliest. Null texts stay null."""
-    out = with_spans(df, tagger, text_col)
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    text = F.col(text_col)
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"], F.struct(F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("text"), s["end"].alias("at"))
-    ).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
-    whole = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_base", "_spans")
+    """df with each span of its texts replaced by its kind in angle brackets; overlapping spans become one, named by the
+    earliest. Rows pass with all their columns, whatever their names. Null texts stay null."""
+    import pyarrow as pa
+
+    prepare(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            base = [base_spans(t) for t in texts]
+            more = added_spans(texts, tagger, base)
+            new = [t if t is None else masked(t, x + y) for t, x, y in zip(texts, base, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, b.column(k).type) if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

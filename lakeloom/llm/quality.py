@@ -101,12 +101,12 @@ def score_trees(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Trees from documents that have a 0/1 label and satisfy `learn` (a condition on the column id); with none of them, or one kind only, all scores are the share of label 1 (0.5 without labels)."""
+    """Trees from documents that have a 0/1 label and satisfy `learn` (a condition on the column id_col); with none of them, or one kind only, all scores are the share of label 1 (0.5 without labels)."""
     import pyarrow as pa
 
     prepare(docs.sparkSession)
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
-    marked = bounded_sample(marked.where(learn), F.col("id"), sample_rows)
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(learn).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
+    marked = bounded_sample(marked, F.col("id"), sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # marked: at most 2 x sample_rows
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import dedup, langid, packing, pii, simhash
-from lakeloom.llm._util import cut, new_folder
+from lakeloom.llm._util import cut, new_folder, own_name
 from lakeloom.llm.queries import WORD_FILE, tokenizer
 
 #: A prediction below this share is a guess among four learned languages.
@@ -34,29 +34,37 @@ def least_score(classes: int) -> float:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known, with all their columns. Null and empty texts and those without letters go. With no
+    labels to learn from, every text with letters stays."""
     model = langid.train(docs, "text", "lang", F.coalesce(F.col("doc_id"), F.lit(-1)))
-    out = langid.predict(docs, model, "text", "_lang", "_score")
-    known = (F.col("_lang") != "und") & (F.col("_score") >= least_score(len(model["classes"]))) if model["classes"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    lang, score = own_name(docs, "_lang"), own_name(docs, "_score")
+    out = langid.predict(docs, model, "text", lang, score)
+    known = (F.col(lang) != "und") & (F.col(score) >= least_score(len(model["classes"]))) if model["classes"] else F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return out.where(known).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id, with all its columns; null ids lose, and of equal ids the row with the largest other columns stays."""
     return dedup.winners(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component one document: the smallest doc_id, null ids last, of equal ids the smallest digest of the text. Rows that are equal in both stay or go together."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
     found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row")
-    gone = cut(found.where("row <> component_id").select("row").distinct())
-    return docs.withColumn("_row", row).join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    name = own_name(docs, "_row")
+    gone = cut(found.where("row <> component_id").select(F.col("row").alias(name)).distinct())
+    return docs.withColumn(name, row).join(gone, name, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; spans of personal data are replaced by their kind, and n_chars counts the new text. Null texts stay null."""
     out = pii.mask(docs, pii.train(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a sequence. Null and empty texts are the end id alone."""
     out = packing.pack_documents(docs, tokenizer(WORD_FILE))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

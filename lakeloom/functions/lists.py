@@ -70,64 +70,79 @@ def total(l: Column) -> Column:  # noqa: E741
     return F.when(F.size(F.array_compact(l)) > 0, F.aggregate(doubles(l), F.lit(0.0), lambda a, x: a + x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def of_doubles(l: Column, body) -> Column:  # noqa: E741
+    """body(the elements that aren't null as doubles, their number)."""
+    return let(doubles(l), lambda d: let(F.size(d), lambda n: body(d, n)))
+
+
+def added(d: Column) -> Column:
+    return F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
+
+
 def mean(l: Column) -> Column:  # noqa: E741
-    n = F.size(F.array_compact(l))
-    return F.when(n > 0, total(l) / n)
+    return of_doubles(l, lambda d, n: F.when(n > 0, added(d) / n))
+
+
+def of_moments(l: Column, body) -> Column:  # noqa: E741
+    """body(number, sums of the second, third and fourth powers of distances from the mean), in two passes over the elements."""
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in "bcd"))
 
+    def with_mean(d, n):
+        step = lambda m: lambda a, x: F.struct(*((a[k] + F.pow(x - m, F.lit(p))).alias(k) for k, p in zip("bcd", (2, 3, 4), strict=True)))
+        sums = lambda m: let(F.aggregate(d, zero, step(m)), lambda q: body(n.cast("double"), q["b"], q["c"], q["d"]))
+        return F.when(n > 0, let(added(d) / n, sums))
 
-def moment(l: Column, k: int) -> Column:  # noqa: E741
-    """Sum of k-th powers of distances from the mean, in two passes."""
-    m = mean(l)
-    return F.aggregate(doubles(l), F.lit(0.0), lambda a, x: a + F.pow(x - m, F.lit(k)))
+    return of_doubles(l, with_mean)
 
 
 def var_pop(l: Column) -> Column:  # noqa: E741
-    n = F.size(F.array_compact(l))
-    return F.when(n > 0, moment(l, 2) / n)
+    return of_moments(l, lambda n, b, c, d: b / n)
 
 
 def var_samp(l: Column) -> Column:  # noqa: E741
-    n = F.size(F.array_compact(l))
-    return F.when(n > 1, moment(l, 2) / (n - 1))
+    return of_moments(l, lambda n, b, c, d: F.when(n > 1, b / (n - 1)))
 
 
 def sem(l: Column) -> Column:  # noqa: E741
-    return F.sqrt(var_pop(l)) / F.sqrt(F.size(F.array_compact(l)))
+    return of_moments(l, lambda n, b, c, d: F.sqrt(b / n) / F.sqrt(n))
 
 
 def skewness(l: Column) -> Column:  # noqa: E741
-    n = F.size(F.array_compact(l)).cast("double")
-    g = (moment(l, 3) / n) / F.pow(moment(l, 2) / n, F.lit(1.5))
-    return F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
+    return of_moments(l, lambda n, b, c, d: F.when(n > 2, (c / n) / F.pow(b / n, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
 def kurtosis(l: Column) -> Column:  # noqa: E741
-    n = F.size(F.array_compact(l)).cast("double")
-    g = (moment(l, 4) / n) / F.pow(moment(l, 2) / n, F.lit(2)) - 3
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
+    return of_moments(l, lambda n, b, c, d: F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((d / n) / F.pow(b / n, F.lit(2)) - 3) + 6)))
 
 
 def median(l: Column) -> Column:  # noqa: E741
-    s = F.array_sort(doubles(l))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    middle = lambda s, n: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return of_doubles(l, lambda d, n: F.when(n > 0, let(F.array_sort(d), lambda s: middle(s, n))))
 
 
 def mad(l: Column) -> Column:  # noqa: E741
-    m = median(l)
-    return median(F.transform(doubles(l), lambda x: F.abs(x - m)))
+    return let(median(l), lambda m: median(F.transform(doubles(l), lambda x: F.abs(x - m))))
 
 
 def histogram(l: Column) -> Column:  # noqa: E741
-    """value -> count, by rising value."""
-    k = F.array_sort(distinct(l))
-    return F.map_from_arrays(k, F.transform(k, lambda v: F.size(F.filter(l, lambda x: x == v)).cast("long")))
+    """value -> count, by rising value: the lengths of the runs of the sorted elements."""
+
+    def of_sorted(s):
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.map_from_arrays(F.transform(b, lambda i: F.get(s, i)), F.transform(b, lambda i, k: (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long"))))
+
+    return let(F.array_sort(F.array_compact(l)), of_sorted)
 
 
 def mode(l: Column) -> Column:  # noqa: E741
     """Commonest element; of several the smallest."""
-    counts = F.transform(distinct(l), lambda v: F.struct((-F.size(F.filter(l, lambda x: x == v))).alias("n"), v.alias("v")))
-    return F.array_min(counts)["v"]
+    most = lambda h: F.get(F.map_keys(h), (F.array_position(F.map_values(h), F.array_max(F.map_values(h))) - 1).cast("int"))
+    return let(histogram(l), most)
 
 
 def entropy(l: Column) -> Column:  # noqa: E741
@@ -281,6 +296,28 @@ def json_structure(j: Column) -> Column:
     return run(j)
 
 
+def json_group_structure(df, column: str, name: str = "structure"):
+    """One row: the structure that the values of all rows share. Each task joins the structures of its rows; those of the tasks are joined last."""
+
+    def merged(frames, read):
+        out = "NULL"
+        for p in frames:
+            for x in p.iloc[:, 0]:
+                if x is not None:
+                    out = _both(out, read(x))
+        return out
+
+    dumps = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+
+    def part(frames):
+        yield pd.DataFrame({name: [dumps(merged(frames, lambda x: _structure(json.loads(x, object_pairs_hook=_Object))))]})
+
+    def whole(frames):
+        yield pd.DataFrame({name: [dumps(_named(merged(frames, json.loads)))]})
+
+    return df.select(column).mapInPandas(part, f"{name} string").coalesce(1).mapInPandas(whole, f"{name} string")
+
+
 def schema_of_json_agg(j: Column) -> Column:
     """One type that the JSON values of all rows share, in Spark's names; other texts are passed over."""
     t = F.schema_of_variant_agg(F.try_parse_json(j))

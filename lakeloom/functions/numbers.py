@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -27,40 +28,64 @@ def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def _unary(f, kind="double"):
-    @F.pandas_udf(kind)
-    def run(a: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) else f(x) for x in a])
+def _elements(f, kind: str):
+    """An Arrow-batched function of one or two numbers, applied to whole arrays where no argument is null."""
 
-    return run
+    def make():
+        @F.pandas_udf(kind)
+        def run(*columns: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(columns[0]), dtype=object)
+            full = ~pd.concat(columns, axis=1).isna().any(axis=1).to_numpy()
+            if full.any():
+                out[full] = pd.Series(list(f(*(c[full].to_numpy() for c in columns))), index=out.index[full], dtype=object)
+            return out
 
+        if len(inspect.signature(f).parameters) == 1:
 
-def _binary(f, kind):
-    @F.pandas_udf(kind)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or pd.isna(y) else f(x, y) for x, y in zip(a, b, strict=True)])
+            @F.pandas_udf(kind)
+            def one(a: pd.Series) -> pd.Series:
+                return run.func(a)
 
-    return run
+            return one
+
+        @F.pandas_udf(kind)
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return run.func(a, b)
+
+        return two
+
+    return make
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
+gamma_udf = _elements(lambda x: map(math.gamma, x), "double")
+lgamma_udf = _elements(lambda x: map(math.lgamma, x), "double")
+gcd_udf = _elements(lambda x, y: np.gcd(_whole(x), _whole(y)), "long")
+lcm_udf = _elements(lambda x, y: np.lcm(_whole(x), _whole(y)), "long")
+nextafter_udf = _elements(lambda x, y: np.nextafter(x.astype(float), y.astype(float)), "double")
 
 
 def gamma(x: Column) -> Column:
-    return _unary(math.gamma)(x)
+    return gamma_udf()(x)
 
 
 def lgamma(x: Column) -> Column:
-    return _unary(math.lgamma)(x)
+    return lgamma_udf()(x)
 
 
 def gcd(a: Column, b: Column) -> Column:
-    return _binary(lambda x, y: math.gcd(int(x), int(y)), "long")(a, b)
+    return gcd_udf()(a, b)
 
 
 def lcm(a: Column, b: Column) -> Column:
-    return _binary(lambda x, y: math.lcm(int(x), int(y)), "long")(a, b)
+    return lcm_udf()(a, b)
 
 
 def nextafter(a: Column, b: Column) -> Column:
-    return _binary(lambda x, y: float(np.nextafter(x, y)), "double")(a, b)
+    return nextafter_udf()(a, b)
 
 
 def sem(x) -> Column:

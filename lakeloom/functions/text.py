@@ -142,30 +142,56 @@ def _single(f, kind):
     return run
 
 
+def jaro_udf():
+    return _pairs(_jaro, "double")
+
+
+def winkler_udf():
+    return _pairs(_winkler, "double")
+
+
+def damerau_udf():
+    return _pairs(_damerau, "long")
+
+
+def strip_accents_udf():
+    return _single(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), "string")
+
+
+def nfc_udf():
+    return _single(lambda x: unicodedata.normalize("NFC", x), "string")
+
+
+def length_grapheme_udf():
+    return _single(lambda x: len(_graphemes(x)), "long")
+
+
+def md5_number_udf():
+    return _single(lambda x: str(int.from_bytes(hashlib.md5(x.encode()).digest(), "little")), "string")
+
+
 def jaro_similarity(a: Column, b: Column) -> Column:
-    return _pairs(_jaro, "double")(a, b)
+    return jaro_udf()(a, b)
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
-    return _pairs(_winkler, "double")(a, b)
+    return winkler_udf()(a, b)
 
 
 def damerau_levenshtein(a: Column, b: Column) -> Column:
-    return _pairs(_damerau, "long")(a, b)
+    return damerau_udf()(a, b)
 
 
 def strip_accents(s: Column) -> Column:
-    return _single(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), "string")(s)
+    return strip_accents_udf()(s)
 
 
 def nfc_normalize(s: Column) -> Column:
-    return _single(lambda x: unicodedata.normalize("NFC", x), "string")(s)
+    return nfc_udf()(s)
 
 
 def length_grapheme(s: Column) -> Column:
-    import regex
-
-    return _single(lambda x: len(regex.findall(r"\X", x)), "long")(s)
+    return length_grapheme_udf()(s)
 
 
 def chr_point(n: Column) -> Column:
@@ -217,7 +243,7 @@ def bar(x: Column, low: float, high: float, width: int = 80) -> Column:
 
 def md5_number(s: Column) -> Column:
     """The digest as an unsigned number; its bytes are little-endian. 39 digits don't fit a decimal, so it is text."""
-    return _single(lambda x: str(int.from_bytes(hashlib.md5(x.encode()).digest(), "little")), "string")(s)
+    return md5_number_udf()(s)
 
 
 def uuid_version(u: Column) -> Column:

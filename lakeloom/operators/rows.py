@@ -17,7 +17,7 @@ def limit_percent(df: DataFrame, percent: float, *order) -> DataFrame:
 
 
 def reservoir(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """`rows` random rows; each partition sends at most that many."""
+    """`rows` rows drawn evenly, or all: those with the smallest random numbers. Each task keeps as many as are drawn, no more."""
     return df.orderBy(F.rand(seed)).limit(rows)
 
 
@@ -46,10 +46,13 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     out = new
     for _ in range(rounds):
         new = step(new)
-        new = (new.distinct().join(out, [F.col(f"{c}") for c in []] or list(out.columns), "left_anti") if distinct else new).checkpoint()
+        if distinct:  # nulls are equal, so that a row with one doesn't come again for ever
+            known = out.toDF(*(f"_k{i}" for i in range(len(out.columns))))
+            new = new.distinct().join(known, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(new.columns, known.columns, strict=True)], "left_anti")
+        new = new.checkpoint()
         if new.isEmpty():
             return out
-        out = out.union(new).checkpoint()
+        out = out.union(new)  # checkpoints of the rounds, side by side; nothing is written again
     raise RuntimeError("the recursion did not end")
 
 
@@ -116,8 +119,26 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(e)).groupBy(b.cast("int").alias("bin"), "a", "b").agg(F.count(F.lit(1)).alias("n")).select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
+#: Names of types as the dialect tells them.
+TYPE_NAMES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
+
+
+def type_name(kind: str) -> str:
+    return f"{type_name(kind[6:-1])}[]" if kind.startswith("array<") else TYPE_NAMES.get(kind, kind.upper())
+
+
 def summarize(df: DataFrame) -> DataFrame:
-    """One row for each column: name, type, min, max, count, nulls and distinct values, from one aggregation."""
-    aggs = [x for i, c in enumerate(df.columns) for x in (F.min(F.col(c).cast("string")).alias(f"a{i}"), F.max(F.col(c).cast("string")).alias(f"b{i}"), F.count(c).alias(f"c{i}"), F.count(F.lit(1)).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"))]
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("column_type"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"c{i}").alias("count"), (F.col(f"n{i}") - F.col(f"c{i}")).alias("nulls"), F.col(f"d{i}").alias("approx_unique")) for i, (c, t) in enumerate(df.dtypes)]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """One row for each column: name, type, extremes, distinct values, mean, deviation and quartiles of numbers, rows and share of nulls, from one aggregation.
+
+    Quartiles are estimates; extremes of text are by code points."""
+    aggs, rows = [], []
+    for i, (c, t) in enumerate(df.dtypes):
+        v, number = F.col(f"`{c}`"), t in ("int", "bigint", "smallint", "tinyint", "double", "float") or t.startswith("decimal")
+        none = F.lit(None).cast("string")
+        comparable = not t.startswith(("map", "struct", "variant"))
+        aggs += [(F.min(v).cast("string") if comparable else F.max(none)).alias(f"a{i}"), (F.max(v).cast("string") if comparable else F.max(none)).alias(f"b{i}"), F.count(v).alias(f"c{i}"), (F.approx_count_distinct(v) if comparable else F.count(v)).alias(f"d{i}")]
+        if number:
+            aggs += [F.avg(v).cast("double").cast("string").alias(f"m{i}"), F.stddev(v).cast("string").alias(f"s{i}"), F.percentile_approx(v, [0.25, 0.5, 0.75]).alias(f"q{i}")]
+        told = [F.col(f"m{i}"), F.col(f"s{i}"), *(F.get(f"q{i}", F.lit(k)).cast("string") for k in range(3))] if number else [none] * 5
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(type_name(t)).alias("column_type"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"d{i}").alias("approx_unique"), *(x.alias(n) for x, n in zip(told, ("avg", "std", "q25", "q50", "q75"), strict=True)), F.col("n").alias("count"), F.when(F.col("n") > 0, (100 * (F.col("n") - F.col(f"c{i}")) / F.col("n")).cast("decimal(9,2)")).alias("null_percentage")))
+    return df.agg(F.count(F.lit(1)).alias("n"), *aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

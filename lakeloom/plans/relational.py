@@ -59,14 +59,8 @@ def unnest_list(spark, d):
     return t(spark, d, "events").select("user_id", F.explode(F.array("event_id", "user_id")).alias("x"))
 
 
-@query("SELECT event_id, unnest([1, 2, 3]) AS a, unnest(['x', 'y', NULL]) AS b FROM events WHERE event_id < 50")
-def unnest_zip(spark, d):
-    z = F.arrays_zip(F.array(*map(F.lit, (1, 2, 3))).alias("a"), F.array(F.lit("x"), F.lit("y"), F.lit(None)).alias("b"))
-    return t(spark, d, "events").where("event_id < 50").select("event_id", F.inline(z))
-
-
 @query("SELECT event_id, unnest([event_id, user_id, 3]) AS a, unnest(['x', event_type]) AS b FROM events")
-def unnest_zip_whole(spark, d):
+def unnest_zip(spark, d):
     """All rows, with lists of different lengths built from columns: the shorter one is filled up with nulls."""
     z = F.arrays_zip(F.array("event_id", "user_id", F.lit(3)).alias("a"), F.array(F.lit("x"), F.col("event_type")).alias("b"))
     return t(spark, d, "events").select("event_id", F.inline(z))
@@ -210,9 +204,16 @@ def histogram_values(spark, d):
     return rows.histogram(t(spark, d, "events"), "value", 10).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
-@query("SELECT column_name, min, max, count, nulls FROM (SELECT 'r_regionkey' AS column_name, min(r_regionkey)::VARCHAR AS min, max(r_regionkey)::VARCHAR AS max, count(r_regionkey) AS count, count(*) - count(r_regionkey) AS nulls FROM region UNION ALL SELECT 'r_name', min(r_name), max(r_name), count(r_name), count(*) - count(r_name) FROM region)")
+@query("""SELECT t.* FROM (SELECT 'o_orderkey' AS column_name, 'BIGINT' AS column_type, CAST(min(o_orderkey) AS VARCHAR), CAST(max(o_orderkey) AS VARCHAR), round(avg(o_orderkey), 4), round(stddev(o_orderkey), 4), count(*), round(100.0 * (count(*) - count(o_orderkey)) / count(*), 2) FROM orders
+    UNION ALL SELECT 'o_custkey' AS column_name, 'BIGINT' AS column_type, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), round(avg(o_custkey), 4), round(stddev(o_custkey), 4), count(*), round(100.0 * (count(*) - count(o_custkey)) / count(*), 2) FROM orders
+    UNION ALL SELECT 'o_orderstatus' AS column_name, 'VARCHAR' AS column_type, CAST(min(o_orderstatus) AS VARCHAR), CAST(max(o_orderstatus) AS VARCHAR), NULL, NULL, count(*), round(100.0 * (count(*) - count(o_orderstatus)) / count(*), 2) FROM orders
+    UNION ALL SELECT 'o_totalprice' AS column_name, 'DOUBLE' AS column_type, NULL, NULL, round(avg(o_totalprice), 4), round(stddev(o_totalprice), 4), count(*), round(100.0 * (count(*) - count(o_totalprice)) / count(*), 2) FROM orders
+    UNION ALL SELECT 'o_orderdate' AS column_name, 'TIMESTAMP' AS column_type, CAST(min(o_orderdate) AS VARCHAR), CAST(max(o_orderdate) AS VARCHAR), NULL, NULL, count(*), round(100.0 * (count(*) - count(o_orderdate)) / count(*), 2) FROM orders
+    UNION ALL SELECT 'o_orderpriority' AS column_name, 'VARCHAR' AS column_type, CAST(min(o_orderpriority) AS VARCHAR), CAST(max(o_orderpriority) AS VARCHAR), NULL, NULL, count(*), round(100.0 * (count(*) - count(o_orderpriority)) / count(*), 2) FROM orders) t(column_name, column_type, min, max, avg, std, count, null_percentage)""")
 def summarize(spark, d):
-    return rows.summarize(t(spark, d, "region")).select("column_name", "min", "max", "count", "nulls")
+    out = rows.summarize(t(spark, d, "orders")).where("column_name <> ''")
+    double = F.col("column_name") == "o_totalprice"
+    return out.select("column_name", "column_type", F.when(~double, F.col("min")).alias("min"), F.when(~double, F.col("max")).alias("max"), F.round(F.col("avg").cast("double"), 4).alias("avg"), F.round(F.col("std").cast("double"), 4).alias("std"), "count", F.col("null_percentage").cast("double").alias("null_percentage"))
 
 
 @query("SELECT o_orderstatus, sum(s) / sum(n) AS mean FROM (SELECT o_orderstatus, o_orderpriority, CAST(round(sum(o_totalprice) * 100) AS BIGINT) AS s, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
@@ -276,14 +277,20 @@ def limit_percent(spark, d):
     return rows.limit_percent(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 10, "o_totalprice", "o_orderkey").select("o_orderkey")
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM orders USING SAMPLE 100 ROWS)")
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different, count(*) FILTER (WHERE o_orderkey IN (SELECT o_orderkey FROM orders)) AS members FROM (SELECT * FROM orders USING SAMPLE 100 ROWS)")
 def sample_reservoir(spark, d):
-    return rows.reservoir(t(spark, d, "orders").select("o_orderkey"), 100).agg(F.count(F.lit(1)).alias("n"))
+    orders = t(spark, d, "orders").select("o_orderkey")
+    drawn = rows.reservoir(orders, 100)
+    there = drawn.join(orders.select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left")
+    return there.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.count("k").alias("members"))
 
 
-@query()
+@query("SELECT o_orderstatus, true AS within FROM orders GROUP BY o_orderstatus")
 def sample_bernoulli(spark, d):
-    return rows.sample(t(spark, d, "orders"), 10)
+    """Each row by itself with a chance of a tenth: whether the number drawn is within six deviations of what is to be expected."""
+    all_, drawn = (x.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias(n)) for x, n in ((t(spark, d, "orders"), "n"), (rows.sample(t(spark, d, "orders"), 10), "k")))
+    expected, spread = F.col("n") * 0.1, F.sqrt(F.col("n") * 0.09)
+    return all_.join(drawn, "o_orderstatus", "left").select("o_orderstatus", (F.abs(F.coalesce("k", F.lit(0)) - expected) <= 6 * spread).alias("within"))
 
 
 # set operations, recursion
@@ -346,13 +353,49 @@ def dml_delete_using(spark, d):
 
 
 # bitmaps of row ids
+BITS = {"r": "l_returnflag = 'R'", "f": "l_linestatus = 'F'", "d": "l_discount >= 0.05"}
+
+
+def bitmaps(df, row, **conditions):
+    """A bitmap of row ids for each condition, bucket by bucket, from one scan and one shuffle."""
+    position = F.bitmap_bit_position(row)
+    return df.groupBy(F.bitmap_bucket_number(row).alias("b")).agg(*(F.bitmap_construct_agg(F.when(F.expr(c), position)).alias(n) for n, c in conditions.items()))
+
+
+def both(m, *names):
+    """m with the bitmap `all`: the intersection of the named ones."""
+    each = m.select("b", F.explode(F.array(*names)).alias("x"))
+    return each.groupBy("b").agg(F.expr("bitmap_and_agg(x)").alias("all"))
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount >= 0.05")
 def bitmap_and_count(spark, d):
-    """Bitmaps of order keys for each value, intersected and counted bucket by bucket."""
-    r = joins.with_row_index(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_suppkey", "l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    one = lambda c: r.where(c).groupBy(F.bitmap_bucket_number("_i").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_i")).alias("m"))
-    all_ = one("l_returnflag = 'R'").union(one("l_linestatus = 'F'")).union(one("l_discount >= 0.05"))
-    return all_.groupBy("b").agg(F.expr("bitmap_and_agg(m)").alias("m"), F.count(F.lit(1)).alias("k")).where("k = 3").agg(F.coalesce(F.sum(F.bitmap_count("m")), F.lit(0)).alias("n"))
+    """Rows are numbered as they are read; bitmaps of the numbers are intersected and counted bucket by bucket."""
+    rows_ = t(spark, d, "lineitem").withColumn("i", F.monotonically_increasing_id())
+    return both(bitmaps(rows_, "i", **BITS), "r", "f", "d").agg(F.coalesce(F.sum(F.bitmap_count("all")), F.lit(0)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (WHERE l_quantity IN (1, 7, 49)) AS in_list, count(*) FILTER (WHERE l_returnflag = 'R' OR l_discount >= 0.05) AS either, count(*) FILTER (WHERE (l_returnflag = 'R') <> (l_discount >= 0.05)) AS one, count(*) FILTER (WHERE NOT l_returnflag = 'R') AS without, count(*) FILTER (WHERE l_returnflag = 'R' AND NOT l_discount >= 0.05) AS but_not FROM lineitem")
+def bitmap_or_xor_not(spark, d):
+    """An IN list is a union of the values' bitmaps; XOR, NOT and AND-NOT are counted from intersections."""
+    rows_ = t(spark, d, "lineitem").withColumn("i", F.monotonically_increasing_id())
+    m = bitmaps(rows_, "i", r=BITS["r"], d=BITS["d"], q1="l_quantity = 1", q7="l_quantity = 7", q49="l_quantity = 49", every="true")
+    union = lambda *c: m.select("b", F.explode(F.array(*c)).alias("x")).groupBy("b").agg(F.expr("bitmap_or_agg(x)").alias("all")).agg(F.sum(F.bitmap_count("all")))
+    n = lambda c: F.sum(F.bitmap_count(c))
+    shared = both(m, "r", "d").agg(n("all").alias("rd"))
+    each = m.agg(n("r").alias("r"), n("d").alias("d"), n("every").alias("every"))
+    out = each.crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(union("q1", "q7", "q49").toDF("in_list"))).crossJoin(F.broadcast(union("r", "d").toDF("either")))  # one row each
+    return out.select("in_list", "either", (F.col("r") + F.col("d") - 2 * F.col("rd")).alias("one"), (F.col("every") - F.col("r")).alias("without"), (F.col("r") - F.col("rd")).alias("but_not"))
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R') AND bool_or(l_discount >= 0.05)")
+def bitmap_row_ids(spark, d):
+    """Bitmaps of order keys are intersected, and read back as keys: by the byte, then by the bit."""
+    m = both(bitmaps(t(spark, d, "lineitem"), "l_orderkey", r=BITS["r"], d=BITS["d"]), "r", "d")
+    bytes_ = m.select("b", F.posexplode(F.expr("transform(sequence(0, 4095), k -> CAST(conv(substring(hex(all), 2 * k + 1, 2), 16, 10) AS INT))")).alias("k", "v")).where("v > 0")
+    bits = bytes_.select("b", "k", F.explode(F.expr("filter(sequence(0, 7), i -> shiftright(v, i) & 1 = 1)")).alias("i"))
+    place = F.col("k") * 8 + F.col("i")  # buckets from 1 hold the positive numbers from 1 on, others the rest, downwards
+    return bits.select(F.when(F.col("b") > 0, (F.col("b") - 1) * 32768 + place + 1).otherwise(F.col("b") * 32768 - place).cast("long").alias("l_orderkey"))
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_returnflag")

@@ -15,23 +15,24 @@ from lakeloom.session import table as t
 from lakeloom.session import views
 
 
-@query("SELECT 'region' AS name, 5::BIGINT AS n")
+@query("SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS note, r_regionkey * 2 AS twice FROM region")
 def ddl_schema_table_alter_drop(spark, d):
-    """CREATE SCHEMA, CREATE TABLE, ALTER (add and rename), COMMENT, INSERT BY NAME, DESCRIBE, DROP."""
+    """CREATE SCHEMA, CREATE TABLE, ALTER (add columns, rename), COMMENT, INSERT BY NAME, DESCRIBE, DROP; then what the table held."""
     checkpoint_dir(spark)
     s = f"made_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE SCHEMA {s} LOCATION '{spark.sparkContext.getCheckpointDir()}/{s}'")
+    at = f"{spark.sparkContext.getCheckpointDir()}/{s}"
+    spark.sql(f"CREATE SCHEMA {s} LOCATION '{at}'")
     try:
-        spark.sql(f"CREATE TABLE {s}.region (r_regionkey INT, r_name STRING) USING parquet")
-        spark.sql(f"ALTER TABLE {s}.region ADD COLUMNS (note STRING)")
+        spark.sql(f"CREATE TABLE {s}.region (r_regionkey INT, r_name STRING) USING parquet LOCATION '{at}-table'")
+        spark.sql(f"ALTER TABLE {s}.region ADD COLUMNS (note STRING, twice INT)")
         spark.sql(f"COMMENT ON TABLE {s}.region IS 'a copy'")
         t(spark, d, "region").createOrReplaceTempView("region_source")
-        spark.sql(f"INSERT INTO {s}.region BY NAME SELECT r_name, r_regionkey, CAST(NULL AS STRING) AS note FROM region_source")
+        spark.sql(f"INSERT INTO {s}.region BY NAME SELECT r_regionkey * 2 AS twice, r_name, r_regionkey, CAST(NULL AS STRING) AS note FROM region_source")
         spark.sql(f"ALTER TABLE {s}.region RENAME TO {s}.regions")
-        n = spark.table(f"{s}.regions").count() if "note" in [r.col_name for r in spark.sql(f"DESCRIBE {s}.regions").collect()] else -1
+        columns = [r.col_name for r in spark.sql(f"DESCRIBE {s}.regions").collect()]
     finally:
         spark.sql(f"DROP SCHEMA {s} CASCADE")
-    return spark.createDataFrame([("region", n)], "name string, n long")
+    return spark.read.parquet(f"{at}-table").select(*columns)
 
 
 @query("SELECT n_name FROM nation WHERE n_nationkey = 7")
@@ -42,9 +43,18 @@ def set_variable(spark, d):
     return spark.sql("SELECT n_name FROM nation WHERE n_nationkey = wanted")
 
 
-@query("SELECT 'true' AS value")
+@query("SELECT event_id, epoch_us(ts) - 7200000000 AS there, epoch_us(ts) AS here FROM events")
 def set_reset(spark, d):
-    return spark.sql("SET spark.sql.ansi.enabled").select("value")
+    """A time zone is set for one query and set back for the next."""
+    key, e = "spark.sql.session.timeZone", t(spark, d, "events").select("event_id", "ts")
+    before, made = spark.conf.get(key), []
+    try:
+        for zone, name in (("+02:00", "there"), ("UTC", "here")):
+            spark.sql(f"SET TIME ZONE '{zone}'")
+            made.append(e.select("event_id", F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias(name)))
+    finally:
+        spark.conf.set(key, before)
+    return made[0].join(made[1], "event_id")
 
 
 @query("SELECT n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 3")
@@ -54,40 +64,51 @@ def prepare_execute(spark, d):
     return one(2).union(one(3))
 
 
-@query("SELECT true AS pushed")
+@query("SELECT 'Filter' AS operator, count(*) AS n FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.03")
 def explain_statement(spark, d):
+    """EXPLAIN ANALYZE: the plan is run, and what its operators counted is told."""
     views(spark, d, "lineitem")
-    plan = spark.sql("EXPLAIN FORMATTED SELECT l_orderkey FROM lineitem WHERE l_quantity > 49").first()[0]
-    return spark.createDataFrame([("PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,49.0)]" in plan,)], "pushed boolean")
+    plan = spark.sql("SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.03")._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Filter":
+            found.append((p.nodeName(), p.metrics().apply("numOutputRows").value()))
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return spark.createDataFrame(found, "operator string, n long")
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("SELECT * FROM (VALUES ('nation_seen'), ('region_seen')) v(name)")
+@query(f"SELECT table_name AS name FROM information_schema.tables WHERE table_name IN {TABLES}")
 def system_tables(spark, d):
-    t(spark, d, "region").createOrReplaceTempView("region_seen")
-    t(spark, d, "nation").createOrReplaceTempView("nation_seen")
-    return spark.sql("SHOW TABLES").where("tableName in ('region_seen', 'nation_seen')").select(F.col("tableName").alias("name"))
+    views(spark, d, " ".join(TABLES))
+    return spark.sql("SHOW TABLES").where(F.col("tableName").isin(*TABLES) & F.col("isTemporary")).select(F.col("tableName").alias("name"))
 
 
-@query("SELECT column_name, column_type FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(column_name, column_type)")
+@query("SELECT column_name, data_type AS column_type FROM information_schema.columns WHERE table_name = 'orders'")
 def describe_table(spark, d):
-    views(spark, d, "region")
-    return spark.sql("DESCRIBE region").select(F.col("col_name").alias("column_name"), F.col("data_type").alias("column_type"))
+    views(spark, d, "orders")
+    kinds = F.create_map(*(F.lit(x) for kv in rows.TYPE_NAMES.items() for x in kv))
+    return spark.sql("DESCRIBE orders").select(F.col("col_name").alias("column_name"), kinds[F.col("data_type")].alias("column_type"))
 
 
-@query("SELECT r_regionkey, count(*) AS n FROM nation, region WHERE n_regionkey = r_regionkey GROUP BY r_regionkey")
+@query("SELECT r_regionkey, n_name, n_nationkey + 1 AS k FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey >= 3")
 def table_macro(spark, d):
+    """A function that returns a table, called for each row of another; its second parameter has a default."""
     views(spark, d, "nation, region")
     name = f"of_region_{uuid.uuid4().hex[:8]}"
-    spark.sql(f"CREATE TEMPORARY FUNCTION {name}(k INT) RETURNS INT RETURN (SELECT count(*) FROM nation WHERE n_regionkey = k)")
-    return spark.sql(f"SELECT r_regionkey, CAST({name}(r_regionkey) AS BIGINT) AS n FROM region")
+    spark.sql(f"CREATE TEMPORARY FUNCTION {name}(region INT, least INT DEFAULT 3) RETURNS TABLE (n_name STRING, k INT) RETURN SELECT n_name, n_nationkey + 1 FROM nation WHERE n_regionkey = region AND n_nationkey >= least")
+    return spark.sql(f"SELECT r_regionkey, n.n_name, n.k FROM region, LATERAL {name}(r_regionkey) n")
 
 
-@query("SELECT o_orderstatus, list_sort(list(DISTINCT o_custkey % 16))::VARCHAR AS bits FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, bit_count(bitstring_agg(o_custkey::INTEGER, 0, 10000000)) AS n, min(o_custkey) AS low FROM orders GROUP BY o_orderstatus")
 def fn_bitstring_agg(spark, d):
-    """A bitmap of the values that occur, read back as the list of its bits."""
-    m = t(spark, d, "orders").withColumn("k", F.col("o_custkey") % 16).groupBy("o_orderstatus").agg(F.bit_or(F.expr("shiftleft(1L, CAST(k AS INT))")).alias("m"))
-    on = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.getbit("m", i) == 1)
-    return m.select("o_orderstatus", F.concat(F.lit("["), F.array_join(F.transform(on, lambda i: i.cast("string")), ", "), F.lit("]")).alias("bits"))
+    """A bitmap of the values that occur, whatever their range: in buckets of 32,768, one aggregation."""
+    m = t(spark, d, "orders").groupBy("o_orderstatus", F.bitmap_bucket_number("o_custkey").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("o_custkey")).alias("m"), F.min("o_custkey").alias("low"))
+    return m.groupBy("o_orderstatus").agg(F.sum(F.bitmap_count("m")).alias("n"), F.min("low").alias("low"))
 
 
 @query("SELECT bin, count(*) AS n FROM (SELECT CASE WHEN l_quantity <= 10 THEN 10 WHEN l_quantity <= 20 THEN 20 WHEN l_quantity <= 30 THEN 30 ELSE 99 END AS bin FROM lineitem) GROUP BY bin")
@@ -104,14 +125,18 @@ def fn_equi_width_bins(spark, d):
     return e.select(F.explode(F.array(*[F.round(F.col("a") + (F.col("b") - F.col("a")) * i / 4, 6) for i in (1, 2, 3, 4)])).alias("bound"))
 
 
-@query()
+@query("SELECT o_orderstatus, true AS near FROM orders GROUP BY o_orderstatus")
 def fn_reservoir_quantile(spark, d):
-    return t(spark, d, "orders").sample(0.5, seed=1).agg(F.percentile("o_totalprice", 0.5).alias("median"))
+    """The median of a reservoir of each group, held against the true one: the share of values below it is a half, give or take 0.1."""
+    o = t(spark, d, "orders").select("o_orderstatus", "o_totalprice")
+    place = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.rand(1)))
+    drawn = o.withColumn("place", place).where("place <= 8192").groupBy("o_orderstatus").agg(F.percentile("o_totalprice", 0.5).alias("m"))
+    return o.join(drawn, "o_orderstatus").groupBy("o_orderstatus").agg((F.abs(F.avg((F.col("o_totalprice") <= F.col("m")).cast("int")) - 0.5) < 0.1).alias("near"))
 
 
-@query("SELECT 'STRUCT<k: BIGINT>' AS structure")
+@query("SELECT json_group_structure(props::JSON)::VARCHAR AS structure FROM events")
 def fn_json_structure(spark, d):
-    return t(spark, d, "events").agg(lists.schema_of_json_agg(F.col("props")).alias("structure"))
+    return lists.json_group_structure(t(spark, d, "events"), "props")
 
 
 @query("SELECT event_id, json_structure(props)::VARCHAR AS structure FROM events")
@@ -132,13 +157,8 @@ def fn_struct_concat_remap(spark, d):
     return n.select("n_nationkey", lists.struct_concat(n, "x", "y").alias("s")).select("n_nationkey", "s.*")
 
 
-@query("SELECT event_id, struct_depth FROM (SELECT event_id, unnest([[1, 2], [3]], recursive := true) AS struct_depth FROM events WHERE event_id < 20)")
-def unnest_recursive(spark, d):
-    return t(spark, d, "events").where("event_id < 20").select("event_id", F.explode(F.flatten(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))))).alias("struct_depth"))
-
-
 @query("SELECT event_id, unnest([[[event_id, user_id], [event_id % 3]], [range(event_id % 4)], CASE WHEN event_id % 5 > 0 THEN [[user_id], NULL] END], recursive := true) AS x FROM events")
-def unnest_recursive_whole(spark, d):
+def unnest_recursive(spark, d):
     """All rows; lists of columns with empty and null lists among them, three levels deep."""
     i, u = F.col("event_id"), F.col("user_id")
     counted = F.when(i % 4 > 0, F.sequence(F.lit(0).cast("long"), i % 4 - 1)).otherwise(F.array().cast("array<bigint>"))

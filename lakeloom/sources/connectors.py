@@ -60,26 +60,19 @@ def read_parquet(spark: SparkSession, *paths: str, union_by_name: bool = False,
 
 
 def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each row group and column of the files, read on the executors from the files' footers."""
-    schema = "file string, row_group int, row_group_rows long, column string, physical_type string, compression string, compressed_size long"
-
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        for b in batches:
-            out = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = pq.ParquetFile(pa.BufferReader(content)).metadata
-                for g in range(m.num_row_groups):
-                    r = m.row_group(g)
-                    for k in range(r.num_columns):
-                        c = r.column(k)
-                        out.append({"file": name.rsplit("/", 1)[-1], "row_group": g, "row_group_rows": r.num_rows, "column": c.path_in_schema, "physical_type": c.physical_type, "compression": c.compression, "compressed_size": c.total_compressed_size})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("row_group_rows", pa.int64()), ("column", pa.string()), ("physical_type", pa.string()), ("compression", pa.string()), ("compressed_size", pa.int64())]))
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    """One row for each row group and column of the files. Only footers are read, by Spark's own file systems, on the driver."""
+    jvm, found = spark.sparkContext._jvm, []
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in spark.read.parquet(path).inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        try:
+            for g, block in enumerate(reader.getFooter().getBlocks()):
+                for c in block.getColumns():
+                    found.append((at.getName(), g, block.getRowCount(), c.getPath().toDotString(), c.getPrimitiveType().getPrimitiveTypeName().toString().replace("BINARY", "BYTE_ARRAY"), c.getCodec().toString(), c.getTotalSize()))
+        finally:
+            reader.close()
+    return spark.createDataFrame(found, "file string, row_group int, row_group_rows long, column string, physical_type string, compression string, compressed_size long")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. Lines with equal sets are one class. A line is removed if an earlier line, by id and
-number, is equal or has a Jaccard similarity of 4/5 or more; blank lines stay. So of each class only the first line is in
-question, and for it only whether any class that begins earlier is similar.
-
-Classes meet by prefixes: with the words of a line in one order of rarity, two similar lines share a word among their
-first few. Where that word is frequent, they meet in two words of a prefix that is one word longer, which similar lines
-share as well; a word that only one line has is no key at all. Lines of one key are held in the order of occurrence and
-compared with those before them, by length, by the word's position and by a parity sketch of 128 bits (a word that only
-one of the lines has flips one bit). A line that has met ENOUGH lines which, by their sketches, are almost certainly similar
-looks no further, so that a group of near copies takes time in proportion to its size; any other line gives all its
-candidates. Candidates are verified on the words themselves. Should all candidates of a line fail that looked no further
-somewhere, a second round looks at everything that meets it. No candidate is dropped unseen."""
+A line is the set of its words. A line is removed if an earlier line, by id and number, is equal or has a Jaccard
+similarity of 4/5 or more; blank lines stay. So it is enough to find one such line for each.
+
+A line that its task has met before, earlier in the corpus, goes at once. Others meet by prefixes: with the words of a
+line in one order of rarity, two similar lines share a word among their first few. Where that word is frequent, they meet
+in two words of a prefix that is one word longer, which similar lines share as well; a word that only one line has is no
+key at all. Lines of one key are held in the order of occurrence; copies go, and others are compared with those before
+them, by length, by the word's position and by a parity sketch of 128 bits (a word that only one of the lines has flips
+one bit). A line that has met ENOUGH lines which, by their sketches, are almost certainly similar looks no further, so
+that a group of near copies takes time in proportion to its size; any other line gives all its candidates.
+
+Candidates are verified on the words themselves: for each line the likeliest one, then, where that fails, the others.
+Should all candidates of a line fail that looked no further somewhere, a second round looks at everything that meets it.
+No candidate is dropped unseen."""
 
 from __future__ import annotations
 
@@ -31,11 +33,15 @@ BUCKETS, FREQUENT, MEANS = 1 << 22, 4096, 64
 #: Rows and pairs that a step looks at together.
 ROWS, STEP = 1 << 16, 1 << 20
 #: A candidate is almost certainly similar if it is so many standard deviations of the sketches' estimate on the safe side; so many are enough.
-SURE, ENOUGH = 3.0, 4
+SURE, ENOUGH = 3.0, 2
 #: Bits that mark classes or keys: eight for each of them, at least and at most so many. A shared bit only moves more rows.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-#: Lines of a class from which on it is joined by broadcast, and how many such classes there can be at most.
-HOT, HOT_CLASSES = 1000, 50_000
+_random = np.random.default_rng(20)
+#: A word's hash is a polynomial of its bytes' random numbers, then mixed. Powers of BASE and of its inverse are kept for so many bytes.
+BYTES = _random.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
+BASE, AT_ONCE = 0x9E3779B97F4A7C15 | 5, 1 << 20
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: dict[int, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +50,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the 0, 1, .. n - 1, modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        x = np.full(max(n, AT_ONCE + 1), base, np.uint64)
+        x[0] = 1
+        _powers[base] = np.multiply.accumulate(x)
+    return _powers[base][:n]
+
+
+def words_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the different words of each line, in turn, and their number in each line); words are split at ASCII white space."""
+    if not lines:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    buf = np.frombuffer(b"\n".join(lines), np.uint8)
+    black = np.zeros(len(buf) + 2, bool)
+    black[1:-1] = ~WHITE[buf]
+    edge = black[1:] != black[:-1]
+    at = np.flatnonzero(edge)
+    a, z = at[::2], at[1::2]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTES[buf] * powers(BASE, len(buf)), out=total[1:])
+    h = _mix((total[z] - total[a]) * powers(pow(BASE, -1, 1 << 64), len(buf))[a] + (z - a).astype(np.uint64))
+    size = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    line = np.searchsorted(np.cumsum(size), a, side="right")
+    o = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    x, y = h[o], line[o]
+    if ((x[1:] >> np.uint64(24) == x[:-1] >> np.uint64(24)) & (y[1:] == y[:-1]) & (x[1:] != x[:-1])).any() or len(lines) >= 1 << 24:
+        o = np.lexsort((h, line))
+        x, y = h[o], line[o]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], np.bincount(y[new], minlength=len(lines))
+
+
 @dataclass
 class Lines:
     """The lines of a batch of texts that aren't blank. The hashes of line i's different words are h[start[i]] to h[start[i] + n[i] - 1], in any order."""
@@ -55,40 +95,38 @@ class Lines:
     n: np.ndarray
     start: np.ndarray
     h: np.ndarray
-    total: np.ndarray  # lines of each text, blank ones too
     raw: list[bytes]
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that depend on the set of words only: sums of two mixtures of their hashes."""
-        if not len(self.n):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.add.reduceat(x, self.start).view(np.int64) for x in (self.h, _mix(self.h ^ np.uint64(0x9E3779B97F4A7C15))))
-
+    def sets(self) -> np.ndarray:
+        """64 bits that depend on the set of words only."""
+        return np.add.reduceat(self.h, self.start) if len(self.n) else np.zeros(0, np.uint64)
 
-def lines_of(texts: list[str | None], want=None) -> Lines:
-    """Words are split at ASCII white space, capital A-Z made small; a line is the set of its words.
 
-    want(hash, text's place, number): whether a line is to be split; others are left out."""
-    from xxhash import xxh3_128_digest, xxh64_digest
+def lines_of(texts: list[str | None], want=None, split: bool = True) -> Lines:
+    """Capital A-Z are made small. want(hash, text's place, number): whether a line is wanted. split: whether its words are."""
+    from xxhash import xxh3_128_digest
 
-    text, number, total, raw, hashes, words = [], [], [], [], [], []
+    text, number, raw, hashes = [], [], [], []
     for i, t in enumerate(texts):
-        lines = (t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-        total.append(len(lines))
-        for k, line in enumerate(lines):
-            if not line or line.isspace():
-                continue
-            d = xxh3_128_digest(line)
-            if want is None or want(d, i, k):
-                text.append(i)
-                number.append(k)
-                hashes.append(d)
-                raw.append(line)
-                words.append(b"".join(map(xxh64_digest, set(line.split()))))
-    h = np.frombuffer(b"".join(words), "<u8")
-    n = np.fromiter(map(len, words), np.int64, len(words)) // 8
+        for k, line in enumerate((t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+            if line and not line.isspace():
+                d = xxh3_128_digest(line)
+                if want is None or want(d, i, k):
+                    text.append(i)
+                    number.append(k)
+                    hashes.append(d)
+                    raw.append(line)
+    parts, held, size = [], [], 0
+    for line in raw if split else []:
+        if held and size + len(line) > AT_ONCE:
+            parts.append(words_of(held))
+            held, size = [], 0
+        held.append(line)
+        size += len(line) + 1
+    parts.append(words_of(held))
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     t1, t2 = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2).T
-    return Lines(np.array(text, np.int64), np.array(number, np.int64), t1, t2, n, np.cumsum(n) - n, h, np.array(total, np.int64), raw)
+    return Lines(np.array(text, np.int64), np.array(number, np.int64), t1, t2, n, np.cumsum(n) - n, h, raw)
 
 
 def overlap(sizes):
@@ -116,7 +154,7 @@ def by_rarity(lines: Lines, line: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 def keys(lines: Lines, count: np.ndarray, frequent: int):
     """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. `count`: scaled counts.
-    Sets of fewer than four words resemble only their equals and have no keys."""
+    Sets of fewer than four words resemble only their equals; these, and lines without another key, have their set as a key."""
     line = np.repeat(np.arange(len(lines.n)), lines.n)
     often = count[(lines.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
     o = by_rarity(lines, line, often)
@@ -132,6 +170,8 @@ def keys(lines: Lines, count: np.ndarray, frequent: int):
     i, other = i[other != i], other[other != i]
     i, other = i[often[other] > 1], other[often[other] > 1]
     out.append((line[i], _pair(h[i], h[other]), pos[i]))
+    bare = np.flatnonzero(np.bincount(np.concatenate([out[0][0], out[1][0]]), minlength=len(lines.n)) == 0)
+    out.append((bare, lines.sets()[bare], np.zeros(len(bare), np.int64)))
     bit = lines.h >> np.uint64(57)
     flip = np.uint64(1) << (bit & np.uint64(63))
     halves = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), lines.start) if len(lines.n) else np.zeros(0, np.uint64) for k in (0, 1)]
@@ -140,8 +180,10 @@ def keys(lines: Lines, count: np.ndarray, frequent: int):
 
 def likely_most(sure: float) -> np.ndarray:
     """For each number of differing bits of two sketches, how many words differ at most: the estimate and `sure` standard deviations."""
-    even = np.maximum(1 - np.arange(129) / 64, 1e-3)
-    return np.log(even) / np.log(1 - 1 / 64) + sure * np.sqrt(32 * (1 - even**2)) / 2 / even
+    even = np.maximum(1 - np.arange(129) / 64, 1e-3)  # (1 - 1/64) to the number of words
+    words = np.log(even) / np.log(1 - 1 / 64)
+    spread = 32 * (1 - even**2) + 4064 * ((1 - 1 / 32) ** words - even**2)
+    return words + sure * np.sqrt(np.maximum(spread, 0)) / even
 
 
 def _pair(word: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -151,7 +193,8 @@ def _pair(word: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | None = None):
-    """(line, earlier line, looks no further) in places of `table`, whose rows are sorted by key, id and line number.
+    """First the places in `table` of copies of earlier lines, then (line, earlier line, words to spare, looks no further),
+    in pieces; rows are sorted by key, id and line number.
 
     With `probes` (one flag a row) only those lines are compared, and with everything before them."""
     import pyarrow.compute as pc
@@ -159,19 +202,24 @@ def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | N
     key, n, pos, t1 = (table[k].to_numpy() for k in ("key", "n", "pos", "t1"))
     s1, s2 = (table[k].to_numpy().view(np.uint64) for k in ("s1", "s2"))
     size = len(key)
+    lead, n = n & 1 == 1, n >> 1
     ids, line = table["id"].combine_chunks(), table["line_no"].to_numpy()
     new = np.ones(size, bool)  # whether a row is at another place of the corpus than the row before
     if size > 1:
         same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
         new[1:] = ~same | (line[1:] != line[:-1]) | (key[1:] != key[:-1])
     place = np.cumsum(new)
-    o = np.lexsort((t1, key))  # stable; a line that comes again is known for a copy, and of no use
-    again = np.ones(size, bool)
-    again[o[0]] = False
-    again[o[1:]] = (key[o[1:]] == key[o[:-1]]) & (t1[o[1:]] == t1[o[:-1]]) & (s1[o[1:]] == s1[o[:-1]]) & (s2[o[1:]] == s2[o[:-1]]) & (n[o[1:]] == n[o[:-1]])
+    o = np.lexsort((t1, key))  # stable
+    begins = np.ones(size, bool)
+    begins[1:] = (key[o[1:]] != key[o[:-1]]) | (t1[o[1:]] != t1[o[:-1]])
+    first = place[o[np.flatnonzero(begins)]][np.cumsum(begins) - 1]
+    again = np.zeros(size, bool)
+    again[o] = place[o] > first  # the line stands earlier
+    again |= n == 0  # its task has met it earlier
+    yield np.flatnonzero(again & (lead | (n == 0)))
     real = np.flatnonzero(~again)
     key, n, pos, s1, s2, place = (x[real] for x in (key, n, pos, s1, s2, place))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     start = np.repeat(first, np.diff(np.append(first, len(key))))
     met, likely = np.zeros(len(key), np.int64), likely_most(sure)
     at, d, out, held = np.arange(len(key)), 1, [], 0
@@ -189,10 +237,10 @@ def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | N
         x, y, need = x[ok], y[ok], need[ok]
         most = n[x] + n[y] - 2 * need
         far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
-        ok = (far <= most) & ((most > 1) | (n[x] != n[y]))  # classes differ, those of one size in two words
-        x, y, close = x[ok], y[ok], (likely[far] <= most)[ok]
-        met[y] += close
-        out.append((real[y], real[x], (met[y] >= enough) & (x > start[y]) if probes is None else np.zeros(len(y), bool)))
+        ok = (far <= most) & ((most > 1) | (n[x] != n[y]) | (far == 0))  # sets of one size that differ do so in two words
+        x, y, spare = x[ok], y[ok], most[ok] - likely[far[ok]]
+        met[y] += spare >= 0
+        out.append((real[y], real[x], spare, (met[y] >= enough) & (x > start[y]) if probes is None else np.zeros(len(y), bool)))
         held += len(y)
         d += 1
         if held > STEP:
@@ -241,7 +289,7 @@ def marked(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Join:
-    """One run of the join over the texts of `docs` (id, text)."""
+    """One run of the join over the texts of `docs` (id, text, doc: a hash of both)."""
 
     docs: DataFrame
     kind: str
@@ -251,7 +299,8 @@ class Join:
     sure: float = SURE
 
     def candidates(self, probes: tuple | None = None) -> DataFrame:
-        """(c, id, line_no, d, more): a line of hash d (t1) is a candidate for the line of hash c there, and comes earlier; more: others were not looked at.
+        """(id, doc, line_no, c, d, spare, more): a line of hash d (t1) is a candidate for the line of hash c there, and comes
+        earlier; more: others were not looked at. Where c is null, the line is a copy of an earlier one.
 
         probes: packed bits of lines and of their keys, where only those lines are asked for."""
         import pyarrow as pa
@@ -260,17 +309,19 @@ class Join:
         sent, frequent, enough, sure = self.count, self.frequent, self.enough, self.sure
         asked = spark.sparkContext.broadcast(tuple(zlib.compress(x.tobytes(), 1) for x in probes)) if probes else None
         unpack = lambda i: np.frombuffer(zlib.decompress(asked.value[i]), np.uint8)
+        names = ["key", "id", "line_no", "n", "pos", "s1", "s2", "t1", "doc"]
 
         def emit(batches):
             c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), {}
             only = unpack(1) if asked else None
             for b in batches:
-                ids = b.column(0).to_pylist()
+                ids, doc, copies = b.column(0).to_pylist(), b.column(2).to_numpy(), []
 
-                def first(d, i, k, ids=ids):
-                    """Whether this task hasn't met the line yet, or not so early in the corpus."""
+                def first(d, i, k, ids=ids, copies=copies):
+                    """Whether this task hasn't met the line earlier in the corpus."""
                     at = (ids[i] is not None, ids[i], k)
-                    if d in seen and not at < seen[d]:
+                    if d in seen and seen[d] < at:
+                        copies.append((i, k))
                         return False
                     seen[d] = at
                     return True
@@ -278,35 +329,48 @@ class Join:
                 x = lines_of(b.column(1).to_pylist(), first)
                 if len(seen) > 1 << 18:  # copies that come twice do no harm
                     seen.clear()
+                if copies and not asked:
+                    i, k = (np.array(v) for v in zip(*copies, strict=True))
+                    none = pa.array(np.zeros(len(i), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[i]), b.column(0).take(pa.array(i)), pa.array(k), none.cast(pa.int32()), none.cast(pa.int32()), none, none, none, pa.array(doc[i])], names=names)
                 if not len(x.n):
                     continue
                 (line, key, pos), (s1, s2) = keys(x, c, frequent)
+                lead = np.zeros(len(line), np.int64)
+                lead[np.unique(line, return_index=True)[1]] = 1
+                n = 2 * x.n[line] + lead
                 if only is not None:
                     ok = marked(only, key.view(np.int64))
-                    line, key, pos = line[ok], key[ok], pos[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(x.t1[line])], names=["key", "id", "line_no", "n", "pos", "s1", "s2", "t1"])
+                    line, key, pos, n = line[ok], key[ok], pos[ok], n[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(x.t1[line]), pa.array(doc[x.text[line]])], names=names)
 
         def pair(batches):
             lines = unpack(0) if asked else None
             for t in runs(batches, "key", ROWS):
                 t1 = t["t1"].to_numpy()
-                for y, x, more in meet(t, enough, sure, None if lines is None else marked(lines, t1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(t1[y]), t["id"].take(pa.array(y)).combine_chunks(), t["line_no"].take(pa.array(y)).combine_chunks(), pa.array(t1[x]), pa.array(more)], names=["c", "id", "line_no", "d", "more"])
-
-        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, t1 long")
+                found = meet(t, enough, sure, None if lines is None else marked(lines, t1))
+                take = lambda c, y, t=t: t[c].take(pa.array(y)).combine_chunks()
+                y = next(found)
+                none = lambda kind, y=y: pa.nulls(len(y), kind)
+                if asked is None and len(y):
+                    yield pa.RecordBatch.from_arrays([take("id", y), take("doc", y), take("line_no", y), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.bool_())], names=["id", "doc", "line_no", "c", "d", "spare", "more"])
+                for y, x, spare, more in found:
+                    yield pa.RecordBatch.from_arrays([take("id", y), take("doc", y), take("line_no", y), pa.array(t1[y]), pa.array(t1[x]), pa.array(spare), pa.array(more)], names=["id", "doc", "line_no", "c", "d", "spare", "more"])
+
+        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, t1 long, doc long")
         keyed = keyed.repartition(parts_of(spark), "key").sortWithinPartitions("key", "id", "line_no")
-        pairs = keyed.mapInArrow(pair, f"c long, id {self.kind}, line_no long, d long, more boolean")
-        return cut(pairs.groupBy("c", "id", "line_no", "d").agg(F.max("more").alias("more")))
+        found = keyed.mapInArrow(pair, f"id {self.kind}, doc long, line_no long, c long, d long, spare double, more boolean")
+        return cut(found.groupBy("id", "doc", "line_no", "c", "d").agg(F.max("spare").alias("spare"), F.max("more").alias("more")))
 
-    def verified(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(c, id, line_no, more, similar) of the candidates, and the words of all lines in them (t1, t2, words)."""
+    def words(self, pairs: DataFrame) -> DataFrame:
+        """(t1, t2, words) of all lines in the pairs."""
         import pyarrow as pa
 
         spark = self.docs.sparkSession
         both = pairs.select("c").union(pairs.select("d"))
         wanted = spark.sparkContext.broadcast(zlib.compress(marks_of(both, 2 * pairs.count()).tobytes(), 1))
 
-        def words(batches):
+        def run(batches):
             m, seen = zlib.decompress(wanted.value), set()
             last = 8 * len(m) - 1
 
@@ -318,101 +382,116 @@ class Join:
                 return True
 
             for b in batches:
-                x = lines_of(b.column(0).to_pylist(), asked)
+                x = lines_of(b.column(0).to_pylist(), asked, split=False)
                 if len(seen) > 1 << 18:
                     seen.clear()
-                if len(x.n):
+                if len(x.raw):
                     yield pa.RecordBatch.from_arrays([pa.array(x.t1), pa.array(x.t2), pa.array([b" ".join(set(r.split())) for r in x.raw], pa.binary())], names=["t1", "t2", "words"])
 
         # F.first: of one hash of 128 bits there is one text. Two texts may share t1: then both are compared.
-        text = self.docs.select("text").mapInArrow(words, "t1 long, t2 long, words binary").repartition(parts_of(spark), "t1")
-        text = text.groupBy("t1", "t2").agg(F.first("words").alias("words"))
+        text = self.docs.select("text").mapInArrow(run, "t1 long, t2 long, words binary").repartition(parts_of(spark), "t1")
+        return cut(text.groupBy("t1", "t2").agg(F.first("words").alias("words")))
+
+    def verified(self, pairs: DataFrame, text: DataFrame) -> DataFrame:
+        """The pairs that are similar."""
         split = lambda c: F.split(F.col(c).cast("string"), " ")
         earlier = text.select(F.col("t1").alias("d"), F.col("words").alias("wd"))
         own = text.select(F.col("t1").alias("c"), F.col("words").alias("wc"))
         rows = pairs.join(earlier, "d").join(own, "c").withColumn("wc", split("wc")).withColumn("wd", split("wd"))
         shared = F.size(F.array_intersect("wc", "wd"))
-        similar = (UP + DOWN) * shared >= UP * (F.size("wc") + F.size("wd"))
-        return rows.select("c", "id", "line_no", "more", similar.alias("similar")), text
+        return rows.where((UP + DOWN) * shared >= UP * (F.size("wc") + F.size("wd"))).drop("wc", "wd")
+
+    def late(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(id, doc, line_no) of lines for which a candidate is similar; (id, doc, line_no, c) of those for which none is but
+        others were not looked at; the words."""
+        text = self.words(pairs)
+        best = cut(pairs.groupBy(*LINE, "c").agg(F.max_by("d", "spare").alias("d"), F.max("more").alias("more"), F.count(F.lit(1)).alias("k")))
+        good = cut(self.verified(best, text).select(*LINE).distinct())
+        left = cut(without(best, good).select(*LINE, "c", "more", "k"))
+        rest = left.where("k > 1").select(*LINE)
+        if rest.limit(1).count():
+            more = self.verified(within(pairs, rest), text).select(*LINE).distinct()
+            good = cut(good.union(more))
+            left = without(left, more)
+        return good, left.where("more").select(*LINE, "c"), text
+
+
+LINE = ["id", "doc", "line_no"]
+
+
+def _same(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    o = other.select(*(F.col(c).alias(f"_{c}") for c in LINE))
+    return df.join(o, F.expr("doc = _doc AND line_no = _line_no AND id <=> _id"), how)
+
+
+def within(df: DataFrame, lines: DataFrame) -> DataFrame:
+    return _same(df, lines, "left_semi")
+
+
+def without(df: DataFrame, lines: DataFrame) -> DataFrame:
+    return _same(df, lines, "left_anti")
 
 
 def parts_of(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def similar_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
-    """(lines, near): lines has one row for each line that isn't blank (row, id, line_no, c1, c2, t1) and, with c1 null, one
-    for each row of df with its number of lines; near has (t1, id, line_no) of lines that have an earlier line that is
-    similar; of lines with equal sets of words, the first is there if that holds for it.
+def removed_lines(docs: DataFrame, kind: str, enough: int = ENOUGH, sure: float = SURE) -> DataFrame:
+    """(id, doc, line_no) of the lines of docs (id, text, doc) that are equal or similar to an earlier one.
 
-    Texts are read three times: for lines and counts of words, for keys, and for the words of lines in a pair. So words
-    move only for pairs. A second round, if there must be one, reads them three times more."""
+    Texts are read three times: for counts of words, for keys, and for the words of lines in a pair. So words move only for
+    pairs. A second round, if there must be one, reads them twice more."""
     import pyarrow as pa
 
-    spark = df.sparkSession
-    prepare(spark)
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["row", "id", "line_no", "c1", "c2", "t1", "counts"]
+    spark = docs.sparkSession
 
-    def split(batches):
-        from pyspark import TaskContext
+    def tally(batches):
+        count, seen = np.zeros(BUCKETS, np.uint32), set()
+
+        def fresh(d, i, k):
+            if d in seen:  # copies of a line add nothing to the counts of its words
+                return False
+            seen.add(d)
+            return True
 
-        row, count, seen = TaskContext.get().partitionId() << 33, np.zeros(BUCKETS, np.uint32), set()
         for b in batches:
-            x = lines_of(b.column(1).to_pylist())
-            fresh = np.zeros(len(x.n), bool)
-            for i, k in enumerate(zip(x.t1.tolist(), x.t2.tolist(), strict=True)):
-                if k not in seen:  # copies of a line add nothing to the counts of its words
-                    seen.add(k)
-                    fresh[i] = True
+            x = lines_of(b.column(0).to_pylist(), fresh)
             if len(seen) > 1 << 18:
                 seen.clear()
-            np.add.at(count, (x.h[np.repeat(fresh, x.n)] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            every, m, k = np.arange(b.num_rows), b.num_rows, len(x.n)
-            place = np.concatenate([every, x.text])
-            c = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(v, pa.int64())]) for v in (*x.classes(), x.t1)]
-            yield pa.RecordBatch.from_arrays([pa.array(row + place), b.column(0).take(pa.array(place)), pa.array(np.concatenate([x.total, x.number])), *c, pa.nulls(m + k, pa.binary())], names=names)
-            row += m
+            np.add.at(count, (x.h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         chunks, counts = packed_counts(count)
-        if k := len(chunks):
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, b.column(0).type), pa.array(chunks, pa.int64()), *[pa.nulls(k, pa.int64())] * 3, pa.array(counts, pa.binary())], names=names)
+        if chunks:
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
 
-    all_ = cut(docs.mapInArrow(split, f"row long, id {kind}, line_no long, c1 long, c2 long, t1 long, counts binary"))
-    lines = all_.where("row is not null").drop("counts")
-    count = summed_counts(all_.where("counts is not null").select(F.col("line_no").alias("chunk"), "counts"), BUCKETS)
+    count = summed_counts(docs.select("text").mapInArrow(tally, "chunk long, counts binary"), BUCKETS)
     frequent = int(scale(np.array([max(FREQUENT, MEANS * float(count.mean()))]))[0])
     sent = spark.sparkContext.broadcast(zlib.compress(scale(count).tobytes(), 1))  # at most 4 MB
     join = Join(docs, kind, sent, frequent, enough, sure)
-
-    pairs = join.candidates()
-    found, _ = join.verified(pairs)
-    found = cut(found.groupBy("c", "id", "line_no").agg(F.max("similar").alias("similar"), F.max("more").alias("more")))
-    near = found.where("similar").select(F.col("c").alias("t1"), "id", "line_no")
-    open_ = found.where("more and not similar").select("c")
+    found = join.candidates()
+    pairs = found.where("c is not null")
+    late, open_, text = join.late(pairs)
+    out = found.where("c is null").select(*LINE).union(late)
     if n := open_.count():
-        near = near.union(second_round(join, pairs, open_, n))
-    return lines, near
+        out = out.union(second_round(join, open_, text, n))
+    return out
 
 
-def second_round(join: Join, pairs: DataFrame, open_: DataFrame, n: int) -> DataFrame:
-    """(t1, id, line_no) of the lines of hash `open_` for which a similar earlier one is found among all that meet them."""
+def second_round(join: Join, open_: DataFrame, text: DataFrame, n: int) -> DataFrame:
+    """(id, doc, line_no) of the lines `open_` for which a similar earlier one is found among all that meet them."""
     import pyarrow as pa
 
-    spark = join.docs.sparkSession
-    _, text = join.verified(pairs.join(open_.distinct(), "c", "left_semi"))
     sent, frequent = join.count, join.frequent
 
     def of(batches):
         c = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for b in batches:
-            (_, key, _), _ = keys(lines_of([x.decode("utf-8", "replace") for x in b.column(0).to_pylist()]), c, frequent)
+            (_, key, _), _ = keys(lines_of([x.decode("utf-8", "surrogatepass") for x in b.column(0).to_pylist()]), c, frequent)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    asked = text.join(open_.select(F.col("c").alias("t1")).distinct(), "t1", "left_semi").select("words").mapInArrow(of, "key long").distinct()
-    probes = marks_of(open_, n), marks_of(asked, 16 * n)
-    found, _ = join.verified(join.candidates(probes))
-    return cut(found.where("similar").select(F.col("c").alias("t1"), "id", "line_no").distinct())
+    hashes = open_.select("c").distinct()
+    asked = text.join(hashes, F.col("t1") == F.col("c"), "left_semi").select("words").mapInArrow(of, "key long").distinct()
+    pairs = join.candidates((marks_of(hashes, n), marks_of(asked, 16 * n)))
+    return cut(join.verified(pairs, join.words(pairs)).select(*LINE).distinct())
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, sure: float = SURE) -> DataFrame:
@@ -420,18 +499,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", en
 
     Null texts count as empty, which is one blank line. Null ids come first in the order of lines. Where rows repeat an
     id, equal or similar lines at one number are none earlier than the other, and both stay. Other columns are not read."""
-    lines, near = similar_lines(df, id_col, text_col, enough, sure)
-    real = lines.where("c1 is not null")
-    own = cut(real.groupBy("c1", "c2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("k")).where("k > 1"))
-    bound = max(HOT, real.count() // HOT_CLASSES)
-    hot = F.broadcast(own.where(F.col("k") > bound).drop("k"))  # at most HOT_CLASSES rows
-    there = real.join(hot, ["c1", "c2"], "left")
-    rest = own.where(F.col("k") <= bound).drop("k")
-    copies = there.where("first is not null").unionByName(there.where("first is null").drop("first").join(rest, ["c1", "c2"]))
-    copies = copies.where(F.struct("id", "line_no") > F.col("first")).select("row", "line_no")
-    late = near.select(F.col("t1").alias("t"), F.col("id").alias("at"), F.col("line_no").alias("no")).distinct()
-    late = real.join(late, F.expr("t1 = t AND line_no = no AND id <=> at")).select("row", "line_no")
-    gone = copies.union(late).groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    docs = lines.where("c1 is null").select("row", "id", F.col("line_no").alias("n_lines"))
-    out = docs.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
+    prepare(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
+    gone = removed_lines(docs, df.schema[id_col].dataType.simpleString(), enough, sure)
+    gone = gone.groupBy("id", "doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "removed")
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    out = docs.select("id", "doc", lines.cast("long").alias("n_lines")).join(gone, F.expr("doc = _doc AND id <=> _id"), "left")
+    out = out.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

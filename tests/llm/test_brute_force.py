@@ -176,6 +176,28 @@ def test_line_dedup(spark, monkeypatch, frequent, enough, sure):
     assert got[500] == (1, []) and linedup.line_dedup(d.limit(0)).count() == 0
 
 
+def test_words_of_lines():
+    r = random.Random(5)
+    lines = [bytes(r.choice(b"ab \t\r\x0b\x0cxyz\xc3\xa9") for _ in range(r.randrange(1, 60))) for _ in range(500)] + [b"", b"   ", b"x" * 3000]
+    h, n = linedup.words_of(lines)
+    assert n.tolist() == [len(set(x.split())) for x in lines]
+    known: dict = {}
+    for x, part in zip(lines, np.split(h, np.cumsum(n)[:-1]), strict=True):
+        for w in set(x.split()):
+            known.setdefault(w, set(part.tolist())).intersection_update(part.tolist())
+    one = {w: linedup.words_of([w])[0][0] for w in known}
+    assert all(int(one[w]) in known[w] for w in known) and len(set(one.values())) == len(known)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that share an id are rows of their own: lines at one place are none earlier than the other."""
+    a, b, c = "one two three four five", "six seven eight nine ten", "one two three four five six"
+    rows = [(7, f"{a}\n{b}"), (7, f"{a}\nother words are in this line"), (7, f"{a}\n{b}"), (None, "tiny"), (None, "tiny\nTINY"), (9, f"{c}\ntiny\nfour five one two three"), (3, "x\n\n x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_lines, r.removed) for r in linedup.line_dedup(d).collect())
+    assert got == [("3", 3, [2]), ("7", 2, []), ("7", 2, []), ("7", 2, []), ("9", 3, [0, 1, 2]), ("None", 1, []), ("None", 2, [1])]
+
+
 @pytest.mark.parametrize(("n", "enough", "sure"), [(20_000, linedup.ENOUGH, linedup.SURE), (3000, 1, -99.0)])
 def test_line_dedup_of_a_large_group(spark, monkeypatch, n, enough, sure):
     """Near copies of one line, many of them similar to none but distant ones. With sure = -99 any candidate is trusted to

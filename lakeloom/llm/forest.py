@@ -5,7 +5,7 @@ rows sorted. A query descends each tree to its longest common prefix and then as
 step, until the rows that share so long a prefix are enough; those are compared exactly. Rows with equal prefixes lie
 side by side, so a step up widens one range in each sorted array.
 
-Index rows and queries are dealt out in blocks; each pair of blocks is one group with a forest of its own. Equal vectors
+Index rows and queries are dealt out in blocks; each pair of blocks is one group, and builds its rows' forest once. Equal vectors
 are indexed once with their smallest ids, as many as any query can need."""
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from lakeloom.llm._util import cut, prepare
 TREES, BITS = 16, 32
 #: Rows that trees offer a query, copies of one row counted in each tree, as a share of a block's rows.
 SHARE = 1.6
-INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows and queries of one group, and queries that are looked up together.
+INDEX_BLOCK, QUERY_BLOCK, AT_ONCE = 8192, 8192, 1024
 SALTS = 16
 
 
@@ -107,7 +108,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         x = x.sort_by("vid")
         base, ask = vectors(x["vec"]), vectors(q["qvec"])
         out_q, out_c, out_s = [], [], []
-        for i, c in enumerate(Forest(base, trees).candidates(ask, int(share * len(base)) + keep, keep)):
+        forest, least_rows = Forest(base, trees), int(share * len(base)) + keep
+        every = (c for k in range(0, len(ask), AT_ONCE) for c in forest.candidates(ask[k : k + AT_ONCE], least_rows, keep))
+        for i, c in enumerate(every):
             s = base[c] @ ask[i]
             if len(c) > keep:
                 least = np.partition(s, len(s) - keep)[len(s) - keep]

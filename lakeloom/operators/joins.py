@@ -73,14 +73,25 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 
 
 def interval_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], width: float) -> DataFrame:  # noqa: E741
-    """Pairs whose closed intervals overlap. Both go to all buckets they touch; a pair is made only in the first bucket that both touch, so none comes twice."""
+    """Pairs whose closed intervals overlap.
+
+    An interval has a size, `width` times a power of two that is no shorter, and a pair meets at the larger of its two
+    sizes. There each touches two or three buckets, however lengths differ; a pair is made only in the first bucket that
+    both touch, so none comes twice."""
+    level = lambda start, end: F.when((n := F.col(end).cast("double") - F.col(start).cast("double")) <= width, 0).otherwise(F.ceil(F.log2(n / width))).cast("int")
+    sized = [d.where(F.col(a) <= F.col(b)).withColumn(name, level(a, b)) for d, (a, b), name in ((left, l, "_ll"), (right, r, "_rl"))]
+    levels = sorted({x[0] for d, name in zip(sized, ("_ll", "_rl"), strict=True) for x in d.select(name).distinct().collect()})  # at most about 60 sizes
+    all_ = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
 
-    def dealt(df, start, end, name):
-        a, b = (F.floor(F.col(c).cast("double") / width) for c in (start, end))
-        return df.where(F.col(start) <= F.col(end)).withColumn(name, a).withColumn("_b", F.explode(F.sequence(a, b)))
+    def dealt(df, start, end, own, name):
+        d = df.withColumn("_level", F.explode(F.filter(all_, lambda x: x >= F.col(own))))
+        a, b = (F.floor(F.col(c).cast("double") / size) for c in (start, end))
+        return d.withColumn(name, a).withColumn("_b", F.explode(F.sequence(a, b)))
 
-    both = dealt(left, *l, "_lb").join(dealt(right, *r, "_rb"), "_b")
-    return both.where((F.col("_b") == F.greatest("_lb", "_rb")) & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop("_b", "_lb", "_rb")
+    both = dealt(sized[0], *l, "_ll", "_lb").join(dealt(sized[1], *r, "_rl", "_rb"), ["_level", "_b"])
+    both = both.where((F.col("_level") == F.greatest("_ll", "_rl")) & (F.col("_b") == F.greatest("_lb", "_rb")))
+    return both.where((F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop("_level", "_b", "_lb", "_rb", "_ll", "_rl")
 
 
 def with_row_index(df: DataFrame, *order, name: str = "_i") -> DataFrame:

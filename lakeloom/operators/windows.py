@@ -21,11 +21,18 @@ def sum_excluding(df: DataFrame, value: str, by: list, order: list, preceding: i
         before, after = F.sum(value).over(w.rowsBetween(low, -1)), F.sum(value).over(w.rowsBetween(1, high))
         total = F.when(before.isNull() & after.isNull(), None).otherwise(F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0)))
         return df.withColumn(name, total)
-    rows = F.collect_list(F.struct(F.col(value).alias("v"), F.struct(*order).alias("k"), F.col("_row").alias("i"))).over(w.rowsBetween(low, high))
-    d = df.withColumn("_row", F.row_number().over(w)).withColumn("_f", rows).withColumn("_k", F.struct(*order))
-    keep = (lambda x: x["k"] != F.col("_k")) if exclude == "group" else (lambda x: (x["k"] != F.col("_k")) | (x["i"] == F.col("_row")))
-    kept = F.filter("_f", keep)
-    return d.withColumn(name, F.when(F.size(kept) > 0, F.aggregate(F.transform(kept, lambda x: x["v"].cast("double")), F.lit(0.0), lambda a, x: a + x))).drop("_f", "_k", "_row")
+    # the frame's sum less that of the peers in it: both are running sums, whatever the width of the frame
+    d = df.withColumn("_row", F.row_number().over(w))
+    frame = Window.partitionBy(*by).orderBy("_row").rowsBetween(low, high)
+    peers = Window.partitionBy(*by, *order).orderBy("_row").rangeBetween(low, high)
+    v = F.col(value)
+    left = F.count(v).over(frame) - F.count(v).over(peers)
+    total = F.coalesce(F.sum(v).over(frame), F.lit(0)) - F.coalesce(F.sum(v).over(peers), F.lit(0))
+    if exclude == "ties":
+        own = (low <= 0 <= high) if preceding is not None and following is not None else True
+        if own:
+            left, total = left + v.isNotNull().cast("int"), total + F.coalesce(v, F.lit(0))
+    return d.withColumn(name, F.when(left > 0, total.cast("double"))).drop("_row")
 
 
 def qualify(df: DataFrame, name: str, value: Column, condition: Column | str) -> DataFrame:

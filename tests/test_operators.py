@@ -1,10 +1,13 @@
 """Operators on small fixtures: edges that the tables don't hold."""
 
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import lists, text
-from lakeloom.operators import joins, rows
+from lakeloom.operators import joins, rows, windows
 
 
 def test_asof_edges(spark):
@@ -53,3 +56,27 @@ def test_upsert_and_recursion(spark):
     assert sorted(map(tuple, rows.upsert(base, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
     got = rows.recursive(spark.createDataFrame([(0,)], "k int"), lambda n: n.select(((F.col("k") + 2) % 7).cast("int").alias("k")))
     assert sorted(r.k for r in got.collect()) == list(range(7))
+
+
+def test_interval_join_of_any_lengths(spark):
+    r = random.Random(2)
+    make = lambda n: [(i, a := r.uniform(0, 1000), a + r.choice([0, 0.5, 3, 40, 900])) for i in range(n)]
+    a, b = make(150), make(120) + [(999, 5.0, 1.0), (998, None, 3.0)]
+    x, y = spark.createDataFrame(a, "i int, a double, b double"), spark.createDataFrame(b, "k int, c double, d double")
+    got = sorted((q.i, q.k) for q in joins.interval_join(x, y, ("a", "b"), ("c", "d"), 2.0).collect())
+    assert got == sorted((i, k) for i, p, q in a for k, s, e in b if s is not None and s <= e and p <= e and s <= q)
+
+
+@pytest.mark.parametrize("exclude", ["group", "ties"])
+@pytest.mark.parametrize(("before", "after"), [(2, 1), (None, 0), (0, None), (None, None)])
+def test_sums_without_peers(spark, exclude, before, after):
+    r = random.Random(4)
+    data = [(i, i % 3, r.choice([None, *range(4)]), r.choice([None, *range(20)])) for i in range(90)]
+    d = spark.createDataFrame(data, "i int, g int, k int, v int")
+    got = windows.sum_excluding(d, "v", ["g"], ["k"], before, after, "s", exclude).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).collect()
+    for g in range(3):
+        part = sorted((x for x in got if x.g == g), key=lambda x: x.n)
+        for p, x in enumerate(part):
+            frame = part[0 if before is None else max(0, p - before) : len(part) if after is None else p + after + 1]
+            kept = [y.v for y in frame if (y.k != x.k or exclude == "ties" and y.i == x.i) and y.v is not None]
+            assert x.s == (sum(kept) if kept else None)

@@ -30,8 +30,11 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder in spark.checkpoint.dir; sets a local one only where none is set, as in tests."""
+    """Keeps the folder in spark.checkpoint.dir; sets a local one only where none is set and the master is local, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lakeloom-"))

@@ -185,7 +185,7 @@ class Relation:
         connectors.copy_to(self.frame, path, "json", **options)
 
 
-for _name, _f in {"count": F.count, "sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "mode": F.mode, "std": F.stddev, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "var": F.variance, "variance": F.variance, "var_pop": F.var_pop, "product": F.product, "bit_and": F.bit_and, "bit_or": F.bit_or, "bit_xor": F.bit_xor, "bool_and": F.bool_and, "bool_or": F.bool_or, "any_value": F.any_value, "list": F.collect_list}.items():
+for _name, _f in {"count": F.count, "sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "mode": F.mode, "std": F.stddev, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "var": F.variance, "variance": F.variance, "var_pop": F.var_pop, "product": F.product, "bit_and": F.bit_and, "bit_or": F.bit_or, "bit_xor": F.bit_xor, "bool_and": F.bool_and, "bool_or": F.bool_or, "any_value": F.any_value, "list": lambda c: F.transform(F.collect_list(F.struct(F.col(c).alias("x"))), lambda s: s["x"])}.items():
     setattr(Relation, _name, (lambda f: lambda self, column="*", group="": self._one(f, column, group))(_f))
 
 

@@ -17,6 +17,8 @@ from lakeloom.llm._util import prepare
 from lakeloom.llm.tok import encoder
 
 SEQUENCE, ROWS = 2048, 64
+#: Bytes of text that a file has at most, where ids are even.
+PART_BYTES = 128 << 20
 
 
 def place(uri: str):
@@ -92,7 +94,8 @@ def write_token_files(df: DataFrame, path: str, folder: str, id_col: str = "doc_
 
     spark = df.sparkSession
     prepare(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
 
@@ -160,7 +163,7 @@ def read_documents(spark, folder: str, files: list[dict], id_type: str = "bigint
                                 mask = x.column(1).values.to_numpy(zero_copy_only=False)
                                 chunks.append(x.column(0).values.to_numpy()[mask].astype("<u4"))
                                 have += len(chunks[-1])
-                            held = np.concatenate(chunks)
+                            held = np.concatenate(chunks) if len(chunks) > 1 else held
                             got.append(held[:n].tobytes())
                             held = held[n:]
                         n = lengths[i : i + 64]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import cut, packed_counts, prepare, runs, summed_counts
+from lakeloom.llm._util import cut, packed_counts, prepare, release, runs, summed_counts
 
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
@@ -33,9 +33,11 @@ BUCKETS, FREQUENT, MEANS = 1 << 22, 4096, 64
 #: Rows and pairs that a step looks at together.
 ROWS, STEP = 1 << 16, 1 << 20
 #: A candidate is almost certainly similar if it is so many standard deviations of the sketches' estimate on the safe side; so many are enough.
-SURE, ENOUGH = 3.0, 2
+SURE, ENOUGH = 3.0, 6
 #: Bits that mark classes or keys: eight for each of them, at least and at most so many. A shared bit only moves more rows.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Pairs up to which the words of their lines are picked by a broadcast of hashes (at most 16 bytes a pair).
+FEW = 200_000
 _random = np.random.default_rng(20)
 #: A word's hash is a polynomial of its bytes' random numbers, then mixed. Powers of BASE and of its inverse are kept for so many bytes.
 BYTES = _random.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
@@ -360,7 +362,10 @@ class Join:
         keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, t1 long, doc long")
         keyed = keyed.repartition(parts_of(spark), "key").sortWithinPartitions("key", "id", "line_no")
         found = keyed.mapInArrow(pair, f"id {self.kind}, doc long, line_no long, c long, d long, spare double, more boolean")
-        return cut(found.groupBy("id", "doc", "line_no", "c", "d").agg(F.max("spare").alias("spare"), F.max("more").alias("more")))
+        found = cut(found.groupBy("id", "doc", "line_no", "c", "d").agg(F.max("spare").alias("spare"), F.max("more").alias("more")))
+        del keyed
+        release(spark)
+        return found
 
     def words(self, pairs: DataFrame) -> DataFrame:
         """(t1, t2, words) of all lines in the pairs."""
@@ -394,6 +399,9 @@ class Join:
 
     def verified(self, pairs: DataFrame, text: DataFrame) -> DataFrame:
         """The pairs that are similar."""
+        if pairs.count() <= FEW:
+            hashes = pairs.select(F.col("c").alias("t1")).union(pairs.select("d")).distinct()
+            text = text.join(F.broadcast(hashes), "t1", "left_semi")
         split = lambda c: F.split(F.col(c).cast("string"), " ")
         earlier = text.select(F.col("t1").alias("d"), F.col("words").alias("wd"))
         own = text.select(F.col("t1").alias("c"), F.col("words").alias("wc"))

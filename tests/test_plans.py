@@ -20,8 +20,9 @@ def test_no_cartesian_product_and_no_python(spark, name):
 
 
 def test_scans_read_what_is_needed(spark):
-    p = plan(QUERIES["tpch_q6"](spark, SF))
-    assert "GreaterThanOrEqual(l_discount" in p and "LessThan(l_quantity" in p and "l_orderkey" not in p
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    p = QUERIES["tpch_q6"](spark, SF)._jdf.queryExecution().explainString(mode)
+    assert "GreaterThanOrEqual(l_shipdate" in p and "LessThan(l_quantity" in p and "l_orderkey" not in p
     p = plan(QUERIES["dialect_star_replace"](spark, SF).select("c_acctbal"))
     assert "ReadSchema: struct<c_acctbal:double>" in p
 

@@ -103,7 +103,9 @@ sql("join_using", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FRO
 sql("join_null_safe", "SELECT a.c_custkey AS x, n_name FROM customer a JOIN nation ON nullif(c_nationkey, 3) <=> nullif(n_nationkey, 3)", "SELECT a.c_custkey AS x, n_name FROM customer a JOIN nation ON nullif(c_nationkey, 3) IS NOT DISTINCT FROM nullif(n_nationkey, 3)")
 sql("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey + b.n_nationkey < 12 AND a.n_regionkey <> b.n_regionkey")
 sql("join_inequality", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey WHERE s_acctbal > 5000")
-sql("join_lateral", "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) o")
+# the price must come out of the query with the LIMIT: else Spark puts a projection between LIMIT and sort, and numbers rows without the order
+sql("join_lateral", "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1)) o",
+    "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) o")
 sql("join_scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer")
 sql("join_exists", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount > 0.095)")
 

@@ -24,6 +24,14 @@ def fmod_floor(x: Column, y: Column) -> Column:
     return x - y * F.floor(x / y)
 
 
+def rounded(x: str, digits: int) -> str:
+    """SQL text that rounds a double as the dialect does: times a power of ten, halves away from zero, divided again. Spark's
+    round takes the shortest decimal that stands for the double, so that it sees halves where the product is just below one."""
+    v = f"CAST({x} AS DOUBLE)"
+    r = f"round({v} * 1e{digits}D, 0) / 1e{digits}D"
+    return f"CASE WHEN {r} = 0 THEN {v} * 0D WHEN abs({r}) < double('infinity') THEN {r} ELSE {v} END"
+
+
 def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != float("inf"))
 

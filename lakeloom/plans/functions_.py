@@ -10,7 +10,7 @@ c = F.col
 
 family("fn_math_basic", "customer", "c_custkey", [
     ("add", "d", "c_acctbal + 1.5"), ("subtract", "d", "c_acctbal - c_custkey"), ("multiply", "d", "c_acctbal * 2"), ("divide", "d", "c_acctbal / (c_custkey + 1)"), ("int_div", "i", "c_custkey div 7", "c_custkey // 7"),
-    ("modulo", "i", "c_custkey % 7"), ("mod_fn", "i", "mod(c_custkey, 11)"), ("negate", "d", "-c_acctbal"), ("abs", "d", "abs(c_acctbal)"), ("ceil", "d", "ceil(c_acctbal)"), ("floor", "d", "floor(c_acctbal)"), ("round", "d", "round(c_acctbal, 1)"),
+    ("modulo", "i", "c_custkey % 7"), ("mod_fn", "i", "mod(c_custkey, 11)"), ("negate", "d", "-c_acctbal"), ("abs", "d", "abs(c_acctbal)"), ("ceil", "d", "ceil(c_acctbal)"), ("floor", "d", "floor(c_acctbal)"), ("round", "d", numbers.rounded("c_acctbal", 1), "round(c_acctbal, 1)"),
     ("round_even", "d", "bround(CAST(c_custkey AS DOUBLE) / 2, 0)", "round_even(CAST(c_custkey AS DOUBLE) / 2, 0)"), ("trunc", "d", lambda: numbers.trunc(c("c_acctbal")), "trunc(c_acctbal)"), ("even", "d", lambda: numbers.even(c("c_acctbal")), "even(c_acctbal)"),
     ("sign", "i", "signum(c_acctbal)", "sign(c_acctbal)"), ("signbit", "b", "c_acctbal < 0", "signbit(c_acctbal)"), ("greatest", "d", "greatest(c_acctbal, 100.0, CAST(c_custkey AS DOUBLE))"), ("least", "d", "least(c_acctbal, 100.0, CAST(c_custkey AS DOUBLE))"),
     ("greatest_null", "i", "greatest(c_custkey, CAST(NULL AS BIGINT))"), ("fdiv", "d", "floor(c_acctbal / 7)", "fdiv(c_acctbal, 7)"), ("fmod", "d", lambda: numbers.fmod_floor(c("c_acctbal"), F.lit(7.0)), "fmod(c_acctbal, 7)"),

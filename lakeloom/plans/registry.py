@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.functions.numbers import rounded
 from lakeloom.session import views
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,7 @@ def query(oracle: str | None = None):
 #: How results of an expression are made comparable: Spark and oracle texts.
 KINDS = {
     "i": ("CAST({} AS BIGINT)", "CAST({} AS BIGINT)"),
-    "d": ("round(CAST({} AS DOUBLE), 6)", "round(CAST({} AS DOUBLE), 6)"),
+    "d": (rounded("{0}", 6), "round(CAST({} AS DOUBLE), 6)"),
     "s": ("CAST({} AS STRING)", "CAST({} AS VARCHAR)"),
     "b": ("CAST({} AS BOOLEAN)", "CAST({} AS BOOLEAN)"),
     "t": ("CAST({} AS TIMESTAMP_NTZ)", "CAST({} AS TIMESTAMP)"),

@@ -40,3 +40,24 @@ def test_lateral_limit_keeps_its_order(spark, compare):
     # on one machine an unordered number still follows the sort; over several executors it doesn't
     window = next(x for x in plan(QUERIES["join_lateral"](spark, "/root/testdata/sf0.001")).split("\n") if "row_number() windowspec" in x)
     assert "DESC NULLS LAST, o_orderkey" in window
+
+
+def test_doubles_are_rounded_as_in_sql(spark, compare):
+    # 5622.12 / 22400 is 0.2509875 in decimals, but the product with a million is just below a half
+    customers = pa.table({"c_custkey": pa.array([22399, 5, 6, 7, 8], pa.int64()), "c_acctbal": [5622.12, 0.00000049999999999999996, 1e305, -2.5, None]})
+    got, want = compare("fn_math_transcendental", customer=customers)
+    assert got == want
+    customers = customers.set_column(1, "c_acctbal", pa.array([5622.12, 4.35, -1234.56, -2.5, None]))
+    got, want = compare("fn_math_basic", customer=customers)
+    assert got == want
+    assert [r[4] for r in got if r[0] == 22399] == [0.250987]
+
+
+def test_rounding_bit_by_bit(spark, tmp_path):
+    from lakeloom.functions.numbers import rounded
+
+    values = [n / 1e7 * 5 for n in range(-3000, 3000)] + [k / 100 / (7 * k % 4096 + 1) for k in range(1, 3000)] + [0.0, -0.0, -1e-9, 1e305, -1e305, float("inf"), float("-inf"), float("nan"), 0.49999999999999994, 2.5, -2.5, None]
+    pq.write_table(pa.table({"x": values}), tmp_path / "x.parquet")
+    got = spark.read.parquet(str(tmp_path)).selectExpr("x", *[f"{rounded('x', n)} AS r{n}" for n in (0, 1, 6)]).toArrow()
+    want = duckdb.connect().sql(f"SELECT x, round(x, 0) AS r0, round(x, 1) AS r1, round(x, 6) AS r6 FROM '{tmp_path}/x.parquet'").fetchall()
+    assert sorted(map(repr, zip(*got.to_pydict().values(), strict=True))) == sorted(map(repr, want))

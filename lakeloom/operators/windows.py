@@ -12,19 +12,31 @@ def groups_frame(df: DataFrame, agg: Column, by: list, order, start: int, end: i
     return df.withColumn("_g", rank).withColumn(name, agg.over(Window.partitionBy(*by).orderBy("_g").rangeBetween(start, end))).drop("_g")
 
 
+def row_frame(by: list, row: str, low: int, high: int, kind: str = "rows"):
+    """A ROWS or RANGE frame over numbered rows. One that only ends open is taken in reverse, where it only begins open: Spark
+    keeps that as a running aggregate, but would go through the rest of the partition anew for each row of the other."""
+    order = F.col(row)
+    if high == Window.unboundedFollowing and low != Window.unboundedPreceding:
+        order, low, high = order.desc(), Window.unboundedPreceding, -low
+    w = Window.partitionBy(*by).orderBy(order)
+    return w.rowsBetween(low, high) if kind == "rows" else w.rangeBetween(low, high)
+
+
 def sum_excluding(df: DataFrame, value: str, by: list, order: list, preceding: int | None, following: int | None, name: str, exclude: str = "current row") -> DataFrame:
     """A sum over ROWS preceding..following without the current row, its group of peers, or its ties; None is UNBOUNDED."""
     w = Window.partitionBy(*by).orderBy(*order)
     low = Window.unboundedPreceding if preceding is None else -preceding
     high = Window.unboundedFollowing if following is None else following
     if exclude == "current row":
-        before, after = F.sum(value).over(w.rowsBetween(low, -1)), F.sum(value).over(w.rowsBetween(1, high))
+        d = df.withColumn("_row", F.row_number().over(w)) if following is None else df
+        after = F.sum(value).over(w.rowsBetween(1, high) if following is not None else row_frame(by, "_row", 1, high))
+        before = F.sum(value).over(w.rowsBetween(low, -1) if following is not None else row_frame(by, "_row", low, -1))
         total = F.when(before.isNull() & after.isNull(), None).otherwise(F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0)))
-        return df.withColumn(name, total)
+        return d.withColumn(name, total).drop("_row")
     # the frame's sum less that of the peers in it: both are running sums, whatever the width of the frame
     d = df.withColumn("_row", F.row_number().over(w))
-    frame = Window.partitionBy(*by).orderBy("_row").rowsBetween(low, high)
-    peers = Window.partitionBy(*by, *order).orderBy("_row").rangeBetween(low, high)
+    frame = row_frame(by, "_row", low, high)
+    peers = row_frame([*by, *order], "_row", low, high, "range")
     v = F.col(value)
     left = F.count(v).over(frame) - F.count(v).over(peers)
     total = F.coalesce(F.sum(v).over(frame), F.lit(0)) - F.coalesce(F.sum(v).over(peers), F.lit(0))

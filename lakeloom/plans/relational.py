@@ -228,7 +228,10 @@ def agg_state_combine(spark, d):
 W = "PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey"
 sql("win_rank_per_nation", f"SELECT c_custkey, CAST(row_number() OVER ({W}) AS BIGINT) AS a, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS b, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS c, round(percent_rank() OVER ({W}), 6) AS d, round(cume_dist() OVER ({W}), 6) AS e FROM customer")
 sql("win_ntile", f"SELECT c_custkey, CAST(ntile(4) OVER ({W}) AS BIGINT) AS q FROM customer")
-sql("win_nth_value", f"SELECT c_custkey, nth_value(c_custkey, 2) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, first_value(c_custkey) OVER ({W}) AS f, last_value(c_custkey) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM customer")
+# the last row from the current one on is the last of all; Spark would go through the rest of the partition anew for each row
+ALL = "PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+sql("win_nth_value", f"SELECT c_custkey, nth_value(c_custkey, 2) OVER ({ALL}) AS second, first_value(c_custkey) OVER ({ALL}) AS f, last_value(c_custkey) OVER ({ALL}) AS l FROM customer",
+    f"SELECT c_custkey, nth_value(c_custkey, 2) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, first_value(c_custkey) OVER ({W}) AS f, last_value(c_custkey) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM customer")
 sql("win_lag_lead", "SELECT event_id, lag(event_id, 1, -1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events", "SELECT event_id, lag(event_id, 1, -1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
 sql("win_ignore_nulls", "SELECT event_id, last_value(e) IGNORE NULLS OVER w AS l, lag(e) IGNORE NULLS OVER w AS g FROM (SELECT *, CASE WHEN event_type = 'error' THEN event_id END AS e FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "SELECT event_id, last_value(e IGNORE NULLS) OVER w AS l, lag(e IGNORE NULLS) OVER w AS g FROM (SELECT *, CASE WHEN event_type = 'error' THEN event_id END AS e FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 sql("win_moving_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 6) AS m FROM events")

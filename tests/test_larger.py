@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lakeloom.operators import windows
 from lakeloom.plans import registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -61,3 +62,26 @@ def test_rounding_bit_by_bit(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path)).selectExpr("x", *[f"{rounded('x', n)} AS r{n}" for n in (0, 1, 6)]).toArrow()
     want = duckdb.connect().sql(f"SELECT x, round(x, 0) AS r0, round(x, 1) AS r1, round(x, 6) AS r6 FROM '{tmp_path}/x.parquet'").fetchall()
     assert sorted(map(repr, zip(*got.to_pydict().values(), strict=True))) == sorted(map(repr, want))
+
+
+def test_no_frame_goes_through_the_rest_of_its_partition_for_each_row(spark, compare):
+    customers = pa.table({"c_custkey": pa.array([1, 2, None, 4, 5, 6, 7], pa.int64()), "c_nationkey": pa.array([1, 1, 1, 1, None, None, 2], pa.int32()), "c_acctbal": [5.0, None, 5.0, 7.5, -1.0, 3.0, 0.0]})
+    got, want = compare("win_nth_value", customer=customers)
+    assert got == want
+    p = plan(QUERIES["win_nth_value"](spark, "/root/testdata/sf0.001"))
+    assert "currentrow$(), unboundedfollowing$()" not in p and p.count("Window [") == 1
+
+
+@pytest.mark.parametrize("exclude", ["current row", "group", "ties"])
+@pytest.mark.parametrize("before", [0, 2])
+def test_sums_to_an_open_end_are_running_sums(spark, exclude, before):
+    data = [(i, i // 3, None if i % 7 == 0 else i) for i in range(60)]
+    got = windows.sum_excluding(spark.createDataFrame(data, "i int, k int, v int"), "v", [], ["k", "i"] if exclude == "current row" else ["k"], before, None, "s", exclude)
+    assert "unboundedfollowing$()" not in plan(got)
+    if exclude == "current row":
+        want = {i: sum(v for j, _, v in data if j >= i - before and j != i and v is not None) for i, _, _ in data}
+    elif before == 0:
+        want = {i: sum(v for _, p, v in data if p > k and v is not None) + (v or 0) * (exclude == "ties") for i, k, v in data}
+    else:
+        return  # which peers are in the frame is left open
+    assert {r.i: r.s or 0 for r in got.collect()} == want

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.numbers import rounded
 from lakeloom.operators import joins, rows, windows
 from lakeloom.plans.registry import query, sql
 from lakeloom.session import table as t
@@ -226,7 +227,8 @@ def agg_state_combine(spark, d):
 
 # windows
 W = "PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey"
-sql("win_rank_per_nation", f"SELECT c_custkey, CAST(row_number() OVER ({W}) AS BIGINT) AS a, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS b, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS c, round(percent_rank() OVER ({W}), 6) AS d, round(cume_dist() OVER ({W}), 6) AS e FROM customer")
+sql("win_rank_per_nation", f"SELECT c_custkey, a, b, c, {rounded('d', 6)} AS d, {rounded('e', 6)} AS e FROM (SELECT c_custkey, CAST(row_number() OVER ({W}) AS BIGINT) AS a, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS b, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS c, percent_rank() OVER ({W}) AS d, cume_dist() OVER ({W}) AS e FROM customer)",
+    f"SELECT c_custkey, CAST(row_number() OVER ({W}) AS BIGINT) AS a, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS b, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS c, round(percent_rank() OVER ({W}), 6) AS d, round(cume_dist() OVER ({W}), 6) AS e FROM customer")
 sql("win_ntile", f"SELECT c_custkey, CAST(ntile(4) OVER ({W}) AS BIGINT) AS q FROM customer")
 # the last row from the current one on is the last of all; Spark would go through the rest of the partition anew for each row
 ALL = "PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import lists
+from lakeloom.functions.numbers import rounded
 from lakeloom.operators import rows
 from lakeloom.plans.registry import query, sql
 from lakeloom.session import checkpoint_dir
@@ -170,7 +171,8 @@ def unnest_recursive(spark, d):
 # group-by benchmark: ten shapes of keys and aggregates
 sql("groupby_1", "SELECT l_returnflag AS k, round(sum(l_quantity), 1) AS v FROM lineitem GROUP BY l_returnflag")
 sql("groupby_2", "SELECT l_returnflag AS k1, l_linestatus AS k2, round(sum(l_quantity), 1) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus")
-sql("groupby_3", "SELECT l_partkey AS k, round(sum(l_quantity), 1) AS v1, round(avg(l_discount), 6) AS v3 FROM lineitem GROUP BY l_partkey")
+sql("groupby_3", f"SELECT l_partkey AS k, round(sum(l_quantity), 1) AS v1, {rounded('avg(l_discount)', 6)} AS v3 FROM lineitem GROUP BY l_partkey",
+    "SELECT l_partkey AS k, round(sum(l_quantity), 1) AS v1, round(avg(l_discount), 6) AS v3 FROM lineitem GROUP BY l_partkey")
 sql("groupby_4", "SELECT l_linenumber AS k, round(avg(l_quantity), 6) AS v1, round(avg(l_tax), 6) AS v2, round(avg(l_discount), 6) AS v3 FROM lineitem GROUP BY l_linenumber")
 sql("groupby_5", "SELECT l_suppkey AS k, round(sum(l_quantity), 1) AS v1, CAST(sum(l_linenumber) AS BIGINT) AS v2 FROM lineitem GROUP BY l_suppkey")
 sql("groupby_6", "SELECT l_linenumber AS k1, l_returnflag AS k2, median(l_quantity) AS m, round(stddev(l_quantity), 6) AS s FROM lineitem GROUP BY l_linenumber, l_returnflag")

@@ -85,3 +85,16 @@ def test_sums_to_an_open_end_are_running_sums(spark, exclude, before):
     else:
         return  # which peers are in the frame is left open
     assert {r.i: r.s or 0 for r in got.collect()} == want
+
+
+def test_ranks_are_rounded_as_in_sql(spark, compare):
+    n = 640  # 201 / 3200 and the like end in a 5 at the seventh place
+    customers = pa.table({"c_custkey": pa.array(range(n), pa.int64()), "c_nationkey": pa.array([0] * n, pa.int32()), "c_acctbal": [float(i) for i in range(n)], "c_mktsegment": ["A"] * n})
+    got, want = compare("win_rank_per_nation", customer=customers)
+    assert got == want
+
+
+def test_averages_of_groups_are_rounded_as_in_sql(spark, compare):
+    lines = pa.table({"l_partkey": pa.array([1, 2, 3], pa.int64()), "l_quantity": [1.0, 2.0, None], "l_discount": [5622.12 / 22400, 0.05, None]})
+    got, want = compare("groupby_3", lineitem=lines)
+    assert got == want and got[0][2] == 0.250987

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lakeloom.api import connect
 from lakeloom.operators import windows
 from lakeloom.plans import registry
 
@@ -98,3 +99,26 @@ def test_averages_of_groups_are_rounded_as_in_sql(spark, compare):
     lines = pa.table({"l_partkey": pa.array([1, 2, 3], pa.int64()), "l_quantity": [1.0, 2.0, None], "l_discount": [5622.12 / 22400, 0.05, None]})
     got, want = compare("groupby_3", lineitem=lines)
     assert got == want and got[0][2] == 0.250987
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o",
+        "SELECT c_custkey, o.k FROM customer, LATERAL (SELECT o_orderkey + 1 AS k FROM orders WHERE o_custkey = c_custkey ORDER BY k DESC LIMIT 1) o",
+        "SELECT c_custkey, o.* FROM customer, LATERAL (SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_custkey = c_custkey GROUP BY o_orderstatus ORDER BY max(o_totalprice) % 1000, 1 LIMIT 1) o",
+        "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice ** 2 DESC, orders.o_orderkey LIMIT 1) AS k FROM customer",
+        "SELECT k, count(*) AS n FROM (FROM orders SELECT o_orderstatus AS k ORDER BY o_totalprice, o_orderkey LIMIT 50) t GROUP BY k",
+        "SELECT count(*) AS n FROM (SELECT * FROM orders ORDER BY o_totalprice + 1, o_orderkey LIMIT 50) t WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 700)",
+    ],
+)
+def test_statements_with_a_limit_inside(spark, text):
+    sf = "/root/testdata/sf0.001"
+    con, duck = connect(spark), duckdb.connect()
+    for t in ("customer", "orders"):
+        con.read_parquet(f"{sf}/{t}.parquet").create_view(t)
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = con.sql(text)
+    want = duck.sql(text)
+    assert got.columns == list(want.columns) and sorted(got.fetchall(), key=repr) == sorted(want.fetchall(), key=repr)
+    assert all(" ASC NULLS" in x or " DESC NULLS" in x for x in plan(got.spark()).split("\n") if "row_number() windowspec" in x)

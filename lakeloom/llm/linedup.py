@@ -11,6 +11,9 @@ them, by length, by the word's position and by a parity sketch of 128 bits (a wo
 one bit). A line that has met ENOUGH lines which, by their sketches, are almost certainly similar looks no further, so
 that a group of near copies takes time in proportion to its size; any other line gives all its candidates.
 
+Rows of lines and keys go through the shuffle in blocks of numpy columns, a block for each bucket of keys that a task has,
+and are sorted as numbers; so Spark moves few rows.
+
 Candidates are verified on the words themselves: for each line the likeliest one, then, where that fails, the others.
 Should all candidates of a line fail that looked no further somewhere, a second round looks at everything that meets it.
 No candidate is dropped unseen."""
@@ -18,30 +21,35 @@ No candidate is dropped unseen."""
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import cut, packed_counts, prepare, runs, summed_counts
+from lakeloom.llm._util import BATCH_BYTES, cut, packed_counts, prepare, runs, summed_counts
 
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
 #: Words are counted in so many hashed buckets; a word is frequent if its bucket has so many lines, or so many times the mean.
 BUCKETS, FREQUENT, MEANS = 1 << 22, 4096, 64
-#: Rows and pairs that a step looks at together.
-ROWS, STEP = 1 << 16, 1 << 20
+#: Pairs that a step gives together.
+STEP = 1 << 20
 #: A candidate is almost certainly similar if it is so many standard deviations of the sketches' estimate on the safe side; so many are enough.
 SURE, ENOUGH = 3.0, 2
 #: Bits that mark classes or keys: eight for each of them, at least and at most so many. A shared bit only moves more rows.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-_random = np.random.default_rng(20)
-#: A word's hash is a polynomial of its bytes' random numbers, then mixed. Powers of BASE and of its inverse are kept for so many bytes.
-BYTES = _random.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-BASE, AT_ONCE = 0x9E3779B97F4A7C15 | 5, 1 << 20
-WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_powers: dict[int, np.ndarray] = {}
+#: Bits of a word's hash (two words of a line of 50 share them once in 10^12 lines) and of a key, where a shared one only makes more candidates.
+WORD, KEY = 52, 40
+#: Lines, and bytes of them, whose words are sorted together: in the cache, and with the line's number in the other bits of a hash.
+LINES, AT_ONCE = 1 << 64 - WORD, 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: A task's rows are dealt out in blocks, so many parts of each partition by themselves, from so many rows at a time.
+SUB, BLOCK = 4, 1 << 19
+#: Columns of a block and their bytes.
+COLUMNS = {"key": KEY // 8, "line_no": 4, "n": 4, "pos": 4, "s1": 8, "s2": 8, "t1": 8, "doc": 8}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,38 +58,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base to the 0, 1, .. n - 1, modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, AT_ONCE + 1), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.multiply.accumulate(x)
-    return _powers[base][:n]
-
-
 def words_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the different words of each line, in turn, and their number in each line); words are split at ASCII white space."""
+    size, parts, k = np.fromiter(map(len, lines), np.int64, len(lines)) + 1, [], 0
+    end = np.cumsum(size)
+    while k < len(lines) or not parts:
+        z = min(max(int(np.searchsorted(end, AT_ONCE + (end[k - 1] if k else 0), side="right")), k + 1), k + LINES)
+        parts.append(_words_of(lines[k:z], size[k:z]))
+        k = z
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, n
+
+
+def _words_of(lines: list[bytes], bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words_of, of LINES lines at most, and their bytes with the line's end. A word is read eight bytes at a time, where it begins."""
+    from xxhash import xxh3_64_intdigest
+
     if not lines:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    buf = np.frombuffer(b"\n".join(lines), np.uint8)
-    black = np.zeros(len(buf) + 2, bool)
-    black[1:-1] = ~WHITE[buf]
-    edge = black[1:] != black[:-1]
-    at = np.flatnonzero(edge)
-    a, z = at[::2], at[1::2]
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTES[buf] * powers(BASE, len(buf)), out=total[1:])
-    h = _mix((total[z] - total[a]) * powers(pow(BASE, -1, 1 << 64), len(buf))[a] + (z - a).astype(np.uint64))
-    size = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-    line = np.searchsorted(np.cumsum(size), a, side="right")
-    o = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
-    x, y = h[o], line[o]
-    if ((x[1:] >> np.uint64(24) == x[:-1] >> np.uint64(24)) & (y[1:] == y[:-1]) & (x[1:] != x[:-1])).any() or len(lines) >= 1 << 24:
-        o = np.lexsort((h, line))
-        x, y = h[o], line[o]
+    raw = b"\n".join(lines)
+    buf = np.frombuffer(raw + bytes(8), np.uint8)
+    black = np.zeros(len(raw) + 2, bool)
+    black[1:-1] = (buf[:-8] != 32) & (buf[:-8] - np.uint8(9) > 4)
+    at = np.flatnonzero(black[1:] != black[:-1])
+    a, size = at[::2].copy(), at[1::2] - at[::2]
+    eight = np.ndarray(len(raw) + 1, "<u8", buf, strides=(1,)).copy()
+    h = _mix((eight.take(a) & MASKS.take(size, mode="clip")) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < LONG:
+        h[more] = _mix(h[more] + (eight.take(a[more] + k) & MASKS.take(size[more] - k, mode="clip")))
+        k += 8
+        more = more[size[more] > k]
+    for i in more.tolist():
+        h[i] = xxh3_64_intdigest(raw[a[i] : a[i] + size[i]])
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.searchsorted(a, np.cumsum(bytes_)), prepend=0))
+    x = np.sort(line << np.uint64(WORD) | h >> np.uint64(64 - WORD))
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[new], np.bincount(y[new], minlength=len(lines))
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    x = x[new]
+    return x & np.uint64((1 << WORD) - 1), np.bincount((x >> np.uint64(WORD)).astype(np.int64), minlength=len(lines))
 
 
 @dataclass
@@ -116,15 +131,7 @@ def lines_of(texts: list[str | None], want=None, split: bool = True) -> Lines:
                     number.append(k)
                     hashes.append(d)
                     raw.append(line)
-    parts, held, size = [], [], 0
-    for line in raw if split else []:
-        if held and size + len(line) > AT_ONCE:
-            parts.append(words_of(held))
-            held, size = [], 0
-        held.append(line)
-        size += len(line) + 1
-    parts.append(words_of(held))
-    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, n = words_of(raw if split else [])
     t1, t2 = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2).T
     return Lines(np.array(text, np.int64), np.array(number, np.int64), t1, t2, n, np.cumsum(n) - n, h, raw)
 
@@ -144,38 +151,48 @@ def scale(count: np.ndarray) -> np.ndarray:
     return np.where(count > 1, np.minimum(1 + np.ceil(8 * np.log2(np.maximum(count, 1))), 255), count).astype(np.uint8)
 
 
-def by_rarity(lines: Lines, line: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The order of words by line, scaled count and hash: sorted by the first 64 bits of these, and by all if that leaves a tie."""
-    short = (line.astype(np.uint64) << np.uint64(40)) | (often.astype(np.uint64) << np.uint64(32)) | (lines.h >> np.uint64(32))
-    o = np.argsort(short)
-    x = short[o]
-    return o if len(lines.n) < 1 << 24 and not (x[1:] == x[:-1]).any() else np.lexsort((lines.h, often, line))
+def by_rarity(lines: Lines, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each line in the order of their scaled count and hash: (44 bits of the hash, scaled count). Words that share both are one to the join."""
+    bits, out = np.uint64(WORD - 8), [np.zeros(0, np.uint64)]
+    for k in range(0, len(lines.n), LINES):
+        n = lines.n[k : k + LINES]
+        h = lines.h[lines.start[k] : lines.start[k] + n.sum()]
+        often = count[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
+        out.append(np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(WORD), n) | often << bits | h >> np.uint64(8)))
+    x = np.concatenate(out)
+    return x & np.uint64((1 << int(bits)) - 1), (x >> bits).astype(np.uint8)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n[i] numbers from start[i], for each i in turn."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
 def keys(lines: Lines, count: np.ndarray, frequent: int):
     """(line, key, position) of each line in the join, and a parity sketch of each line in two halves. `count`: scaled counts.
     Sets of fewer than four words resemble only their equals; these, and lines without another key, have their set as a key."""
-    line = np.repeat(np.arange(len(lines.n)), lines.n)
-    often = count[(lines.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    o = by_rarity(lines, line, often)
-    h, often = lines.h[o], often[o]
-    pos = np.arange(len(h)) - lines.start[line]
-    one = (lines.n[line] >= 4) & (pos < prefix(lines.n)[line]) & (often > 1)
-    at = np.flatnonzero(one & (often < frequent))
-    out = [(line[at], h[at], pos[at])]
-    at = np.flatnonzero(one & (often >= frequent))  # in pairs with every other word of the longer prefix
-    wide = prefix(lines.n, 2)[line[at]]
-    i = np.repeat(at, wide)
-    other = np.arange(len(i)) - np.repeat(np.cumsum(wide) - wide, wide) + lines.start[line[i]]
-    i, other = i[other != i], other[other != i]
-    i, other = i[often[other] > 1], other[often[other] > 1]
-    out.append((line[i], _pair(h[i], h[other]), pos[i]))
+    h, often = by_rarity(lines, count)
+    some = np.flatnonzero(lines.n >= 4)
+    size = prefix(lines.n[some])
+    at = _ranges(lines.start[some], size)
+    line, pos = np.repeat(some, size), at - np.repeat(lines.start[some], size)
+    few = (often[at] > 1) & (often[at] < frequent)
+    out = [(line[few], h[at[few]], pos[few])]
+    many = often[at] >= max(frequent, 2)  # in pairs with every other word of the longer prefix
+    at, line, pos = at[many], line[many], pos[many]
+    wide = prefix(lines.n, 2)[line]
+    i, other = np.repeat(at, wide), _ranges(lines.start[line], wide)
+    line, pos = np.repeat(line, wide), np.repeat(pos, wide)
+    ok = (other != i) & (often[other] > 1)
+    out.append((line[ok], _pair(h[i[ok]], h[other[ok]]), pos[ok]))
     bare = np.flatnonzero(np.bincount(np.concatenate([out[0][0], out[1][0]]), minlength=len(lines.n)) == 0)
-    out.append((bare, lines.sets()[bare], np.zeros(len(bare), np.int64)))
-    bit = lines.h >> np.uint64(57)
+    out.append((bare, _mix(lines.sets()[bare]), np.zeros(len(bare), np.int64)))
+    bit = lines.h >> np.uint64(WORD - 7)
     flip = np.uint64(1) << (bit & np.uint64(63))
-    halves = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), lines.start) if len(lines.n) else np.zeros(0, np.uint64) for k in (0, 1)]
-    return [np.concatenate(x) for x in zip(*out, strict=True)], halves
+    low = np.where(bit < 64, flip, np.uint64(0))
+    halves = [np.bitwise_xor.reduceat(x, lines.start) if len(lines.n) else np.zeros(0, np.uint64) for x in (low, flip ^ low)]
+    line, key, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+    return (line, key & np.uint64((1 << KEY) - 1), pos), halves
 
 
 def likely_most(sure: float) -> np.ndarray:
@@ -192,57 +209,143 @@ def _pair(word: np.ndarray, others: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32)) ^ word
 
 
-def meet(table, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | None = None):
-    """First the places in `table` of copies of earlier lines, then (line, earlier line, words to spare, looks no further),
-    in pieces; rows are sorted by key, id and line number.
+class Blocks:
+    """Rows (id and COLUMNS) that a task holds, dealt out as blocks: one row for each bucket of keys, (bucket, ids, rows)."""
 
-    With `probes` (one flag a row) only those lines are compared, and with everything before them."""
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, ids, *columns):
+        """More rows; gives the batches of blocks once BLOCK rows are held."""
+        self.held.append((ids, *columns))
+        self.size += len(ids)
+        return self.out() if self.size >= BLOCK else ()
+
+    def out(self):
+        import pyarrow as pa
+
+        if not self.size:
+            return
+        ids, *columns = zip(*self.held, strict=True)
+        self.held, self.size = [], 0
+        columns = [np.concatenate(x) for x in columns]
+        bucket = (columns[0].view(np.uint64) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        o = np.argsort(bucket, kind="stable")
+        ids = pa.concat_arrays(ids).take(pa.array(o))
+        rows, k = np.empty((sum(COLUMNS.values()), len(o)), np.uint8), 0
+        for x, width in zip(columns, COLUMNS.values(), strict=True):  # bytes of one place stand together, for the shuffle's compression
+            rows[k : k + width] = x[o].astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T
+            k += width
+        bucket = bucket[o]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends, step = np.append(first, len(o)), max(1, BATCH_BYTES * len(first) // rows.size)
+        for k in range(0, len(first), step):
+            e = ends[k : k + step + 1]
+            data = pa.array([rows[:, a:z].copy().tobytes() for a, z in zip(e, e[1:], strict=False)], pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), ids.slice(e[0], e[-1] - e[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[e[:-1]].astype(np.int32)), lists, data], names=["bucket", "ids", "rows"])
+
+
+def _in_order(ids, number: np.ndarray) -> np.ndarray:
+    """The order of rows by id, null first, and line number."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    key, n, pos, t1 = (table[k].to_numpy() for k in ("key", "n", "pos", "t1"))
-    s1, s2 = (table[k].to_numpy().view(np.uint64) for k in ("s1", "s2"))
-    size = len(key)
+    if not (pa.types.is_integer(ids.type) or pa.types.is_floating(ids.type)):
+        by = pa.table({"id": ids, "number": number})
+        return pc.sort_indices(by, sort_keys=[("id", "ascending"), ("number", "ascending")], null_placement="at_start").to_numpy().astype(np.int64)
+    v = pc.fill_null(ids, 0).to_numpy()
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        low = int(v.min())
+        bits = [(int(v.max()) - low).bit_length(), int(number.max()).bit_length(), len(v).bit_length()]
+        if sum(bits) < 64:  # all in one number: much faster to sort
+            return np.sort((v.astype(np.int64) - low) << bits[1] + bits[2] | number << bits[2] | np.arange(len(v))) & (1 << bits[2]) - 1
+    return np.lexsort((number, v, pc.is_valid(ids).to_numpy(zero_copy_only=False)))
+
+
+def unpacked(batches):
+    """For each bucket of sorted blocks its rows, sorted by key, id (null first) and line number: the ids, a dict of the
+    columns, and whether a row is at another place of the corpus, or of another key, than the row before."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for t in runs(batches, "bucket"):
+        bucket = t["bucket"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            part = t.slice(a, z - a)
+            ids = pa.concat_arrays([c.flatten() for c in part["ids"].chunks])
+            rows = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(sum(COLUMNS.values()), -1) for x in part["rows"]], axis=1)
+            x, k = {}, 0
+            for name, width in COLUMNS.items():
+                wide = np.zeros((rows.shape[1], 8), np.uint8)
+                wide[:, :width] = rows[k : k + width].T
+                x[name] = wide.view("<i8").ravel()
+                k += width
+            o = _in_order(ids, x["line_no"])
+            key = x["key"][o]
+            if len(o) < 1 << 63 - KEY:
+                o = o[np.sort(key << 63 - KEY | np.arange(len(o))) & (1 << 63 - KEY) - 1]
+            else:
+                o = o[np.argsort(key, kind="stable")]
+            ids, x = ids.take(pa.array(o)), {c: v[o] for c, v in x.items()}
+            new = np.ones(len(o), bool)
+            same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
+            new[1:] = ~same | (x["line_no"][1:] != x["line_no"][:-1]) | (x["key"][1:] != x["key"][:-1])
+            yield ids, x, new
+
+
+def meet(x: dict[str, np.ndarray], new: np.ndarray, enough: int = ENOUGH, sure: float = SURE, probes: np.ndarray | None = None):
+    """First the places of copies of earlier lines, then (line, earlier line, words to spare, looks no further), in pieces;
+    rows and `new` as `unpacked` gives them.
+
+    With `probes` (one flag a row) only those lines are compared, and with everything before them."""
+    key, n, pos, t1 = x["key"], x["n"], x["pos"], x["t1"]
+    s1, s2 = x["s1"].view(np.uint64), x["s2"].view(np.uint64)
     lead, n = n & 1 == 1, n >> 1
-    ids, line = table["id"].combine_chunks(), table["line_no"].to_numpy()
-    new = np.ones(size, bool)  # whether a row is at another place of the corpus than the row before
-    if size > 1:
-        same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
-        new[1:] = ~same | (line[1:] != line[:-1]) | (key[1:] != key[:-1])
     place = np.cumsum(new)
-    o = np.lexsort((t1, key))  # stable
-    begins = np.ones(size, bool)
-    begins[1:] = (key[o[1:]] != key[o[:-1]]) | (t1[o[1:]] != t1[o[:-1]])
-    first = place[o[np.flatnonzero(begins)]][np.cumsum(begins) - 1]
-    again = np.zeros(size, bool)
-    again[o] = place[o] > first  # the line stands earlier
-    again |= n == 0  # its task has met it earlier
+    again = n == 0  # its task has met it earlier
+    both = t1.view(np.uint64) ^ _mix(key.view(np.uint64))
+    o = np.argsort(both)
+    both = both[o]
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    o = np.unique(np.concatenate([o[twice], o[twice + 1]]))  # rows that share a key and t1 with another one, and few others
+    o = o[np.lexsort((t1[o], key[o]))]  # stable
+    if len(o):
+        begins = np.ones(len(o), bool)
+        begins[1:] = (key[o[1:]] != key[o[:-1]]) | (t1[o[1:]] != t1[o[:-1]])
+        again[o] |= place[o] > place[o[np.flatnonzero(begins)]][np.cumsum(begins) - 1]  # the line stands earlier
     yield np.flatnonzero(again & (lead | (n == 0)))
     real = np.flatnonzero(~again)
     key, n, pos, s1, s2, place = (x[real] for x in (key, n, pos, s1, s2, place))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     start = np.repeat(first, np.diff(np.append(first, len(key))))
+    n = n.astype(np.int32 if (n < 1 << 28).all() else np.int64)
+    room, rest = np.arange(len(key)) - start, n - pos.astype(n.dtype)
     met, likely = np.zeros(len(key), np.int64), likely_most(sure)
-    at, d, out, held = np.arange(len(key)), 1, [], 0
-    if probes is not None:
-        at = at[probes[real]]
+    at, d, out, held = np.flatnonzero(room > 0 if probes is None else (room > 0) & probes[real]), 1, [], 0
     while len(at):
-        at = at[at - d >= start[at]]
-        if probes is None:
-            at = at[met[at] < enough]
-        y, x = at, at - d
-        ok = (np.minimum(n[x], n[y]) * DOWN >= UP * np.maximum(n[x], n[y])) & (place[x] != place[y])
-        x, y = x[ok], y[ok]
-        need = overlap(n[x] + n[y])
-        ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
-        x, y, need = x[ok], y[ok], need[ok]
-        most = n[x] + n[y] - 2 * need
+        a, b = n[at - d], n[at]
+        ok = np.flatnonzero(np.minimum(a, b) * DOWN >= UP * np.maximum(a, b))
+        y, both = at[ok], a[ok] + b[ok]
+        need = overlap(both)
+        ok = np.flatnonzero(np.minimum(rest[y - d], rest[y]) >= need)
+        y = y[ok]
+        x, most = y - d, both[ok] - 2 * need[ok]
         far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
-        ok = (far <= most) & ((most > 1) | (n[x] != n[y]) | (far == 0))  # sets of one size that differ do so in two words
+        # sets of one size that differ do so in two words
+        ok = np.flatnonzero((far <= most) & ((most > 1) | (n[x] != n[y]) | (far == 0)) & (place[x] != place[y]))
+        d += 1
+        at = at[room[at] >= d]
+        if not len(ok):
+            continue
         x, y, spare = x[ok], y[ok], most[ok] - likely[far[ok]]
         met[y] += spare >= 0
-        out.append((real[y], real[x], spare, (met[y] >= enough) & (x > start[y]) if probes is None else np.zeros(len(y), bool)))
+        full = met[y] >= enough
+        out.append((real[y], real[x], spare, full & (room[y] >= d) if probes is None else np.zeros(len(y), bool)))
         held += len(y)
-        d += 1
+        if probes is None and full.any():
+            at = at[met[at] < enough]
         if held > STEP:
             yield [np.concatenate(v) for v in zip(*out, strict=True)]
             out, held = [], 0
@@ -309,11 +412,11 @@ class Join:
         sent, frequent, enough, sure = self.count, self.frequent, self.enough, self.sure
         asked = spark.sparkContext.broadcast(tuple(zlib.compress(x.tobytes(), 1) for x in probes)) if probes else None
         unpack = lambda i: np.frombuffer(zlib.decompress(asked.value[i]), np.uint8)
-        names = ["key", "id", "line_no", "n", "pos", "s1", "s2", "t1", "doc"]
+        parts = parts_of(spark)
 
         def emit(batches):
             c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), {}
-            only = unpack(1) if asked else None
+            only, blocks = unpack(1) if asked else None, Blocks(parts * SUB)
             for b in batches:
                 ids, doc, copies = b.column(0).to_pylist(), b.column(2).to_numpy(), []
 
@@ -331,8 +434,8 @@ class Join:
                     seen.clear()
                 if copies and not asked:
                     i, k = (np.array(v) for v in zip(*copies, strict=True))
-                    none = pa.array(np.zeros(len(i), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[i]), b.column(0).take(pa.array(i)), pa.array(k), none.cast(pa.int32()), none.cast(pa.int32()), none, none, none, pa.array(doc[i])], names=names)
+                    none = np.zeros(len(i), np.int64)
+                    yield from blocks.add(b.column(0).take(pa.array(i)), doc[i] & (1 << KEY) - 1, k, *[none] * 5, doc[i])
                 if not len(x.n):
                     continue
                 (line, key, pos), (s1, s2) = keys(x, c, frequent)
@@ -342,26 +445,61 @@ class Join:
                 if only is not None:
                     ok = marked(only, key.view(np.int64))
                     line, key, pos, n = line[ok], key[ok], pos[ok], n[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(x.text[line])), pa.array(x.number[line]), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(v[line].view(np.int64)) for v in (s1, s2)), pa.array(x.t1[line]), pa.array(doc[x.text[line]])], names=names)
+                yield from blocks.add(b.column(0).take(pa.array(x.text[line])), key.view(np.int64), x.number[line], n, pos, *(v[line].view(np.int64) for v in (s1, s2)), x.t1[line], doc[x.text[line]])
+            yield from blocks.out()
 
         def pair(batches):
             lines = unpack(0) if asked else None
-            for t in runs(batches, "key", ROWS):
-                t1 = t["t1"].to_numpy()
-                found = meet(t, enough, sure, None if lines is None else marked(lines, t1))
-                take = lambda c, y, t=t: t[c].take(pa.array(y)).combine_chunks()
+            names = ["id", "doc", "line_no", "c", "d", "spare", "more"]
+            for ids, t, new in unpacked(batches):
+                t1 = t["t1"]
+                found = meet(t, new, enough, sure, None if lines is None else marked(lines, t1))
+                of = lambda y, ids=ids, t=t: [ids.take(pa.array(y)), pa.array(t["doc"][y]), pa.array(t["line_no"][y])]
                 y = next(found)
-                none = lambda kind, y=y: pa.nulls(len(y), kind)
                 if asked is None and len(y):
-                    yield pa.RecordBatch.from_arrays([take("id", y), take("doc", y), take("line_no", y), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.bool_())], names=["id", "doc", "line_no", "c", "d", "spare", "more"])
+                    yield pa.RecordBatch.from_arrays([*of(y), *(pa.nulls(len(y), kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=names)
                 for y, x, spare, more in found:
-                    yield pa.RecordBatch.from_arrays([take("id", y), take("doc", y), take("line_no", y), pa.array(t1[y]), pa.array(t1[x]), pa.array(spare), pa.array(more)], names=["id", "doc", "line_no", "c", "d", "spare", "more"])
+                    yield pa.RecordBatch.from_arrays([*of(y), pa.array(t1[y]), pa.array(t1[x]), pa.array(spare), pa.array(more)], names=names)
 
-        keyed = self.docs.mapInArrow(emit, f"key long, id {self.kind}, line_no long, n int, pos int, s1 long, s2 long, t1 long, doc long")
-        keyed = keyed.repartition(parts_of(spark), "key").sortWithinPartitions("key", "id", "line_no")
+        keyed = self.docs.mapInArrow(emit, f"bucket int, ids array<{self.kind}>, rows binary")
+        keyed = keyed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
         found = keyed.mapInArrow(pair, f"id {self.kind}, doc long, line_no long, c long, d long, spare double, more boolean")
         return cut(found.groupBy("id", "doc", "line_no", "c", "d").agg(F.max("spare").alias("spare"), F.max("more").alias("more")))
 
+    def only(self, wanted: np.ndarray) -> Join:
+        """The join over those lines alone that have a key marked in `wanted`: texts without one go, other lines are blank.
+        Of lines that a task has met earlier in the corpus the earlier one is enough."""
+        import pyarrow as pa
+
+        sent, frequent = self.count, self.frequent
+        bits = self.docs.sparkSession.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
+
+        def run(batches):
+            c, m, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), np.frombuffer(zlib.decompress(bits.value), np.uint8), {}
+            for b in batches:
+                ids = b.column(0).to_pylist()
+
+                def first(d, i, k, ids=ids):
+                    at = (ids[i] is not None, ids[i], k)
+                    if d in seen and seen[d] < at:
+                        return False
+                    seen[d] = at
+                    return True
+
+                x = lines_of(b.column(1).to_pylist(), first)
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                (line, key, _), _ = keys(x, c, frequent)
+                texts: dict = {}
+                for k in np.unique(line[marked(m, key.view(np.int64))]).tolist():
+                    texts.setdefault(int(x.text[k]), {})[int(x.number[k])] = x.raw[k]
+                if texts:
+                    at = pa.array(list(texts))
+                    text = [b"\n".join(t.get(k, b"") for k in range(max(t) + 1)).decode("utf-8", "surrogatepass") for t in texts.values()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(text, pa.string()), b.column(2).take(at)], names=["id", "text", "doc"])
+
+        return replace(self, docs=cut(self.docs.mapInArrow(run, f"id {self.kind}, text string, doc long")))
+
     def words(self, pairs: DataFrame) -> DataFrame:
         """(t1, t2, words) of all lines in the pairs."""
         import pyarrow as pa
@@ -410,9 +548,8 @@ class Join:
         left = cut(without(best, good).select(*LINE, "c", "more", "k"))
         rest = left.where("k > 1").select(*LINE)
         if rest.limit(1).count():
-            more = self.verified(within(pairs, rest), text).select(*LINE).distinct()
-            good = cut(good.union(more))
-            left = without(left, more)
+            more = cut(self.verified(within(pairs, rest), text).select(*LINE).distinct())
+            good, left = good.union(more), cut(without(left, more))
         return good, left.where("more").select(*LINE, "c"), text
 
 
@@ -440,7 +577,7 @@ def removed_lines(docs: DataFrame, kind: str, enough: int = ENOUGH, sure: float
     """(id, doc, line_no) of the lines of docs (id, text, doc) that are equal or similar to an earlier one.
 
     Texts are read three times: for counts of words, for keys, and for the words of lines in a pair. So words move only for
-    pairs. A second round, if there must be one, reads them twice more."""
+    pairs. A second round, if there must be one, reads them once more."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -458,7 +595,7 @@ def removed_lines(docs: DataFrame, kind: str, enough: int = ENOUGH, sure: float
             x = lines_of(b.column(0).to_pylist(), fresh)
             if len(seen) > 1 << 18:
                 seen.clear()
-            np.add.at(count, (x.h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            np.add.at(count, (x.h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))  # of one type: else 15 times slower
         chunks, counts = packed_counts(count)
         if chunks:
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
@@ -490,7 +627,9 @@ def second_round(join: Join, open_: DataFrame, text: DataFrame, n: int) -> DataF
 
     hashes = open_.select("c").distinct()
     asked = text.join(hashes, F.col("t1") == F.col("c"), "left_semi").select("words").mapInArrow(of, "key long").distinct()
-    pairs = join.candidates((marks_of(hashes, n), marks_of(asked, 16 * n)))
+    lines, wanted = marks_of(hashes, n), marks_of(asked, 16 * n)
+    join = join.only(wanted)
+    pairs = join.candidates((lines, wanted))
     return cut(join.verified(pairs, join.words(pairs)).select(*LINE).distinct())
 
 
@@ -504,7 +643,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", en
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
     gone = removed_lines(docs, df.schema[id_col].dataType.simpleString(), enough, sure)
     gone = gone.groupBy("id", "doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "removed")
-    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     out = docs.select("id", "doc", lines.cast("long").alias("n_lines")).join(gone, F.expr("doc = _doc AND id <=> _id"), "left")
     out = out.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

@@ -46,8 +46,8 @@ LINES, AT_ONCE = 1 << 64 - WORD, 1 << 18
 #: Words of more bytes are hashed one by one.
 LONG = 64
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-#: A task's rows are dealt out in blocks, so many parts of each partition by themselves, from so many rows at a time.
-SUB, BLOCK = 4, 1 << 19
+#: A task deals out so many rows at a time in blocks, to buckets of about so many rows, whatever the number of partitions.
+BLOCK, BUCKET = 1 << 19, 1 << 17
 #: Columns of a block and their bytes.
 COLUMNS = {"key": KEY // 8, "line_no": 4, "n": 4, "pos": 4, "s1": 8, "s2": 8, "t1": 8, "doc": 8}
 
@@ -400,6 +400,7 @@ class Join:
     frequent: int
     enough: int = ENOUGH
     sure: float = SURE
+    words_in_all: int = 0  # the sum of the lines' different words
 
     def candidates(self, probes: tuple | None = None) -> DataFrame:
         """(id, doc, line_no, c, d, spare, more): a line of hash d (t1) is a candidate for the line of hash c there, and comes
@@ -413,10 +414,11 @@ class Join:
         asked = spark.sparkContext.broadcast(tuple(zlib.compress(x.tobytes(), 1) for x in probes)) if probes else None
         unpack = lambda i: np.frombuffer(zlib.decompress(asked.value[i]), np.uint8)
         parts = parts_of(spark)
+        buckets = parts * max(1, -(-int(prefix(self.words_in_all)) // (parts * BUCKET)))
 
         def emit(batches):
             c, seen = np.frombuffer(zlib.decompress(sent.value), np.uint8), {}
-            only, blocks = unpack(1) if asked else None, Blocks(parts * SUB)
+            only, blocks = unpack(1) if asked else None, Blocks(buckets)
             for b in batches:
                 ids, doc, copies = b.column(0).to_pylist(), b.column(2).to_numpy(), []
 
@@ -603,7 +605,7 @@ def removed_lines(docs: DataFrame, kind: str, enough: int = ENOUGH, sure: float
     count = summed_counts(docs.select("text").mapInArrow(tally, "chunk long, counts binary"), BUCKETS)
     frequent = int(scale(np.array([max(FREQUENT, MEANS * float(count.mean()))]))[0])
     sent = spark.sparkContext.broadcast(zlib.compress(scale(count).tobytes(), 1))  # at most 4 MB
-    join = Join(docs, kind, sent, frequent, enough, sure)
+    join = Join(docs, kind, sent, frequent, enough, sure, int(count.sum()))
     found = join.candidates()
     pairs = found.where("c is not null")
     late, open_, text = join.late(pairs)
